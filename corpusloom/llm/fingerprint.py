@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, let
 
 PIECE = 200
 HASHES = 3
@@ -35,134 +35,154 @@ RANGES = 512
 def digests(text: Column) -> Column:
     """The set of paragraph digests of a text; null and empty texts have none."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\n.!?]{{1,{PIECE}}}[\n.!?]*|[\n.!?]+"), F.lit(0))
-    once = F.array_sort(F.transform(pieces, lambda p: F.xxhash64(p)))
     # equal digests stand together; the distance to the first of them tells repetitions apart
-    return F.when(F.size(F.array_distinct(once)) == F.size(once), once).otherwise(
-        F.transform(once, lambda d, i: F.when((i > 0) & (F.get(once, i - 1) == d), F.xxhash64(d, i - F.array_position(once, d).cast("int"))).otherwise(d))
+    return let(
+        F.array_sort(F.transform(pieces, lambda p: F.xxhash64(p))),
+        lambda once: F.when(F.size(F.array_distinct(once)) == F.size(once), once).otherwise(
+            F.transform(once, lambda d, i: F.when((i > 0) & (F.get(once, i - 1) == d), F.xxhash64(d, i - F.array_position(once, d).cast("int"))).otherwise(d))
+        ),
     )
 
 
 def sketch(keys: Column, cells: int = PRINT_CELLS) -> Column:
     """A sketch of ``HASHES * cells`` cells as text: per cell a count (4 hex digits), keys (16) and checks (8)."""
 
-    def cell(index: Column) -> Column:
+    def cell(keys: Column, index: Column) -> Column:
         own = F.filter(keys, lambda k: F.pmod(F.call_function("shiftright", k, (F.floor(index / cells) * 16).cast("int")), F.lit(cells)) == F.pmod(index, F.lit(cells)))
-        key = F.aggregate(own, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(k))
-        check = F.aggregate(own, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.xxhash64(k)))
-        return F.concat(
-            F.lpad(F.hex(F.pmod(F.size(own), F.lit(65536)).cast("long")), 4, "0"),
-            F.lpad(F.hex(key), 16, "0"),
-            F.lpad(F.hex(F.pmod(check, F.lit(1 << 32))), 8, "0"),
+        return let(
+            own,
+            lambda own: F.concat(
+                F.lpad(F.hex(F.pmod(F.size(own), F.lit(65536)).cast("long")), 4, "0"),
+                F.lpad(F.hex(F.aggregate(own, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(k))), 16, "0"),
+                F.lpad(F.hex(F.pmod(F.aggregate(own, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.xxhash64(k))), F.lit(1 << 32))), 8, "0"),
+            ),
         )
 
-    return F.lower(F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(HASHES * cells - 1)), cell)))
+    return F.lower(let(keys, lambda keys: F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(HASHES * cells - 1)), lambda i: cell(keys, i)))))
 
 
-def _place(key: Column, table: int, cells: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(seed * HASHES + table)), cells)
+#: A cell's address is one number: ((cell * 64 + log2 of the sub-table's cells) * PAIRS + pair) * 4 + sub-table, where sub-table 3 stands for what was recovered.
+PAIRS = 4
+RECOVERED = 3
+FOUND = "array<struct<pair:int,sign:int,n:bigint,rec:bigint>>"
 
 
-def _peel(rows: DataFrame, within: list[str], factor: int, steps: int, seed: int) -> DataFrame:
-    """Subtracts and peels the pairs that are not settled in each payload.
+def _place(key: Column, table: int, lg: Column, seed: int) -> Column:
+    """The cell of a digest in a sub-table of 2**lg cells."""
+    return F.call_function("shiftrightunsigned", F.xxhash64(key, F.lit(seed * HASHES + table)), (F.lit(64) - lg).cast("int"))
 
-    rows: ``within`` and payload struct<..., pairs array<struct<plus, minus, ok, gone, come>>>.
-    """
-    rest = "struct<pair:int, cells:bigint, tab:int, cell:bigint, cnt:bigint, key:bigint, chk:bigint, rec:bigint>"
-
-    def signed(keys: Column, sign: int, pair: Column, cells: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                keys,
-                lambda k: F.array(
-                    *[
-                        F.struct(pair.cast("int").alias("pair"), cells.alias("cells"), F.lit(t).alias("tab"), _place(k, t, cells, seed).alias("cell"), F.lit(sign).cast("long").alias("cnt"), k.alias("key"), F.xxhash64(k).alias("chk"), F.lit(None).cast("long").alias("rec"))
-                        for t in range(HASHES)
-                    ]
-                ),
-            )
-        )
 
-    def of_pair(p: Column, i: Column) -> Column:
-        need = F.greatest(F.size(p["plus"]) + F.size(p["minus"]), F.lit(LEAST_CELLS))
-        cells = (F.pow(F.lit(2.0), F.ceil(F.log2(need.cast("double")))) * factor).cast("long")
-        return F.when(p["ok"], F.array().cast(f"array<{rest}>")).otherwise(F.concat(signed(p["plus"], 1, i, cells), signed(p["minus"], -1, i, cells)))
-
-    nothing = F.lit(None).cast(rest)
-    exploded = rows.select(*within, "payload", F.explode(F.concat(F.array(nothing), F.flatten(F.transform("payload.pairs", of_pair)))).alias("c"))
-    keys = ["pair", "cells", "tab", "cell", "rec"]
-    flow = exploded.select(*within, F.when(F.col("c").isNull(), F.col("payload")).alias("payload"), "c.*")
-
-    def summed(df: DataFrame) -> DataFrame:
-        return (
-            df.groupBy(*within, "payload", *keys)
-            .agg(F.sum("cnt").alias("cnt"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk"))
-            .where("payload IS NOT NULL OR cnt <> 0 OR key <> 0 OR chk <> 0")
-        )
+def _address(cell: Column, lg: Column, pair: Column, table: int) -> Column:
+    return ((cell * 64 + lg) * PAIRS + pair) * 4 + F.lit(table)
 
-    flow = summed(flow)
-    for step in range(steps):
-        table = step % HASHES
-        # the digest goes to the recovered rows (tab = -1) and leaves the cells of the other sub-tables
-        moved = [(-1, F.lit(0).cast("long"), F.col("cnt"), F.col("key"))] + [(t, _place(F.col("key"), t, F.col("cells"), seed), -F.col("cnt"), F.lit(None).cast("long")) for t in range(HASHES) if t != table]
 
-        def out(tab, cell, cnt, rec, recovered):
-            return F.struct(tab.alias("tab"), cell.alias("cell"), cnt.alias("cnt"), F.col("key"), F.col("chk"), rec.alias("rec"))
+def _tagged(*tags: Column):
+    return lambda key: F.struct(*tags, key.alias("key"))
 
-        pure = (F.col("tab") == table) & (F.abs("cnt") == 1) & (F.col("chk") == F.xxhash64("key"))
-        same = out(F.col("tab"), F.col("cell"), F.col("cnt"), F.col("rec"), False)
-        flow = flow.withColumn("c", F.explode(F.when(pure, F.array(*[out(F.lit(t), cell, cnt, rec, t < 0) for t, cell, cnt, rec in moved])).otherwise(F.array(same))))
-        flow = summed(flow.select(*within, "payload", "pair", "cells", *[f"c.{n}" for n in ("tab", "cell", "cnt", "key", "chk", "rec")]))
-    ended = flow.groupBy(*within).agg(
-        F.max("payload").alias("payload"),
-        F.collect_set(F.when(F.col("tab") >= 0, F.col("pair"))).alias("left_over"),
-        F.collect_list(F.when(F.col("tab") == -1, F.struct("pair", "cnt", "rec"))).alias("found"),
-    )
 
-    def settle(p: Column, i: Column) -> Column:
-        def side(sign: int) -> Column:
-            return F.transform(F.filter("found", lambda f: (f["pair"] == i.cast("int")) & (f["cnt"] == sign)), lambda f: f["rec"])
+def _summed(df: DataFrame, within: list[str]) -> DataFrame:
+    """Adds up cells; those that nothing is left in disappear."""
+    return df.groupBy(*within, "payload", "at", "rec").agg(F.sum("cnt").alias("cnt"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk")).where("payload IS NOT NULL OR cnt <> 0 OR key <> 0 OR chk <> 0")
 
-        ok = p["ok"] | ~F.array_contains("left_over", i.cast("int"))
-        fresh = ok & ~p["ok"]
-        return F.struct(p["plus"].alias("plus"), p["minus"].alias("minus"), ok.alias("ok"), F.when(fresh, side(1)).otherwise(p["gone"]).alias("gone"), F.when(fresh, side(-1)).otherwise(p["come"]).alias("come"))
 
-    return ended.select(*within, F.col("payload").withField("pairs", F.transform("payload.pairs", settle)).alias("payload"))
+def _peel(rows: DataFrame, within: list[str], pairs: list[tuple[str, str]], factor: int, steps: int, seed: int, digests_too: bool) -> DataFrame:
+    """Subtracts and peels the pairs (plus, minus) that ``done`` does not hold yet.
 
-
-def pair_of(plus: Column, minus: Column) -> Column:
-    none = F.array().cast("array<bigint>")
-    return F.struct(plus.alias("plus"), minus.alias("minus"), F.lit(False).alias("ok"), none.alias("gone"), none.alias("come"))
+    rows: ``within``, payload (text that identifies what is carried along), the
+    digest arrays named in ``pairs`` and done array<int>.  Returns ``within``,
+    payload, left_over array<int> and found array<struct<pair, sign, n, rec>>.
+    """
+    cells = []
+    for i, (plus, minus) in enumerate(pairs):
+        need = F.greatest(F.size(plus) + F.size(minus), F.lit(LEAST_CELLS)).cast("double")
+        lg = F.ceil(F.log2(need * factor)).cast("long")
+        for name, sign in ((plus, 1), (minus, -1)):
+            side = F.lit(i * 2 + (sign < 0))
+            signed = F.transform(F.col(name), _tagged(side.alias("side"), lg.alias("lg")))
+            cells.append(F.when(F.array_contains("done", F.lit(i)), F.array().cast("array<struct<side:int,lg:bigint,key:bigint>>")).otherwise(signed))
+    nothing = F.lit(None).cast("struct<side:int,lg:bigint,key:bigint>")
+    keys = rows.select(*within, "payload", F.explode(F.concat(F.array(nothing), *cells)).alias("c")).select(*within, F.when(F.col("c").isNull(), F.col("payload")).alias("payload"), "c.*")
+    pair = F.floor(F.col("side") / 2).cast("long")
+    places = F.when(F.col("key").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.array(*[_address(_place(F.col("key"), t, F.col("lg"), seed), F.col("lg"), pair, t) for t in range(HASHES)]))
+    one = F.when(F.col("side") % 2 == 0, F.lit(1).cast("long")).otherwise(F.lit(-1).cast("long"))
+    flow = keys.select(*within, "payload", F.explode(places).alias("at"), F.lit(None).cast("long").alias("rec"), one.alias("cnt"), "key", F.xxhash64("key").alias("chk"))
+    flow = _summed(flow, within)
+    for step in range(steps):
+        table = step % HASHES
+        pair = F.pmod(F.floor(F.col("at") / 4), F.lit(PAIRS))
+        lg = F.pmod(F.floor(F.col("at") / (4 * PAIRS)), F.lit(64))
+        pure = (F.pmod("at", F.lit(4)) == table) & (F.abs("cnt") == 1) & (F.col("chk") == F.xxhash64("key"))
+        # a digest that a cell gives away is recovered and leaves the cells of the other sub-tables
+        away = [_address(_place(F.col("key"), t, lg, seed), lg, pair, t) for t in range(HASHES) if t != table]
+        taken = F.array(_address(F.col("cnt"), F.lit(0), pair, RECOVERED), *away)
+        flow = flow.select("*", F.posexplode(F.when(pure, taken).otherwise(F.array("at"))).alias("i", "to"))
+        recovered = (F.pmod("to", F.lit(4)) == RECOVERED) & (F.pmod("at", F.lit(4)) != RECOVERED)
+        rec = F.when(recovered, F.col("key") if digests_too else F.lit(None).cast("long")).otherwise(F.col("rec"))
+        none = F.lit(0).cast("long")
+        flow = flow.select(*within, "payload", F.col("to").alias("at"), rec.alias("rec"), F.when(F.col("i") > 0, -F.col("cnt")).otherwise(F.col("cnt")).alias("cnt"), F.when(recovered, none).otherwise(F.col("key")).alias("key"), F.when(recovered, none).otherwise(F.col("chk")).alias("chk"))
+        flow = _summed(flow, within)
+    pair = F.pmod(F.floor(F.col("at") / 4), F.lit(PAIRS)).cast("int")
+    is_found = F.pmod("at", F.lit(4)) == RECOVERED
+    return flow.groupBy(*within).agg(
+        F.max("payload").alias("payload"),
+        F.collect_set(F.when(~is_found, pair)).alias("left_over"),
+        F.collect_list(F.when(is_found, F.struct(pair.alias("pair"), F.signum("cnt").cast("int").alias("sign"), F.abs("cnt").alias("n"), "rec"))).alias("found"),
+    )
 
 
-def recover(rows: DataFrame, within: list[str]) -> DataFrame:
-    """Settles every pair of each payload: ``gone`` are digests of plus alone, ``come`` those of minus alone.
+def recover(rows: DataFrame, within: list[str], pairs: list[tuple[str, str]], digests_too: bool = False) -> DataFrame:
+    """Settles the pairs (plus, minus) of digest arrays in each row; ``within`` identifies a row.
 
-    ``within`` identifies a row.  What no sketch settles (about one pair in
-    millions) is settled by comparing the digests themselves.
+    Adds found, an array of (pair, sign, n, rec): ``n`` digests of the pair
+    stand on one side only (sign 1: plus), one by one as ``rec`` if
+    ``digests_too``.  A pair that no sketch settles (one in millions) is
+    settled by comparing its digests.
     """
+    names = list(dict.fromkeys(n for p in pairs for n in p))
+    rest = [c for c in rows.columns if c not in within]
+    kind = rows.select(*rest).schema.simpleString()
+    rows = rows.select(*within, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("payload"), *names, F.array().cast("array<int>").alias("done"), F.array().cast(FOUND).alias("found"))
+    numbers = range(len(pairs))
     for seed, (factor, steps) in enumerate(TRIES):
-        rows = _peel(rows, within, factor, steps, seed)
+        carried = F.to_json(F.struct("payload", "done", "found"), {"ignoreNullFields": "false"})
+        out = _peel(rows.withColumn("payload", carried), within, pairs, factor, steps, seed, digests_too)
+        back = F.from_json("payload", "payload string, done array<int>, found " + FOUND)
+        out = out.select(*within, back.alias("b"), "left_over", F.col("found").alias("fresh"))
+        settled = F.array_except(F.array(*[F.lit(i) for i in numbers]), "left_over")
+        fresh = F.filter("fresh", lambda f: ~F.array_contains("left_over", f["pair"]) & ~F.array_contains("b.done", f["pair"]))
+        out = out.select(*within, F.col("b.payload").alias("payload"), F.array_union("b.done", settled).alias("done"), F.concat("b.found", fresh).alias("found"))
+        rows = out.select("*", F.from_json("payload", kind).alias("own")).select(*within, "payload", *[F.col(f"own.{n}").alias(n) for n in names], "done", "found")
+    certain = []
+    for i, (plus, minus) in enumerate(pairs):
+        for sign, a, b in ((1, plus, minus), (-1, minus, plus)):
+            rest_of = F.transform(F.array_except(a, b), _tagged(F.lit(i).alias("pair"), F.lit(sign).alias("sign"), F.lit(1).cast("long").alias("n")))
+            certain.append(F.when(F.array_contains("done", F.lit(i)), F.array().cast(FOUND)).otherwise(rest_of.cast(FOUND)))
+    return rows.select(*within, F.from_json("payload", kind).alias("own"), "done", F.concat("found", *certain).alias("found")).select(*within, "own.*", "done", "found")
 
-    def certain(p: Column) -> Column:
-        return F.struct(p["plus"].alias("plus"), p["minus"].alias("minus"), p["ok"].alias("ok"), F.when(p["ok"], p["gone"]).otherwise(F.array_except(p["plus"], p["minus"])).alias("gone"), F.when(p["ok"], p["come"]).otherwise(F.array_except(p["minus"], p["plus"])).alias("come"))
 
-    return rows.withColumn("payload", F.col("payload").withField("pairs", F.transform("payload.pairs", certain)))
+def one_sided(pair: int, sign: int) -> Column:
+    """How many digests of the pair stand on one side only."""
+    return F.aggregate(F.filter("found", lambda f: (f["pair"] == pair) & (f["sign"] == sign)), F.lit(0).cast("long"), lambda a, f: a + f["n"])
 
 
-def likeness(p: Column) -> Column:
-    """1 less the share of digests that have no counterpart; two empty sets are alike."""
-    total = F.size(p["plus"]) + F.size(p["minus"])
-    return F.when(total == 0, 1.0).otherwise(1.0 - (F.size(p["gone"]) + F.size(p["come"])) / total)
+def likeness(size: Column, pair: int) -> Column:
+    """1 less the share of the ``size`` digests of both sides that have no counterpart; two empty sets are alike."""
+    return F.when(size == 0, 1.0).otherwise(1.0 - (one_sided(pair, 1) + one_sided(pair, -1)) / size)
 
 
 def diff_versions(df: DataFrame, old: str, new: str) -> DataFrame:
-    """Adds removed_digests and added_digests (array<bigint>) between two versions of a text in each row."""
+    """Adds removed_digests and added_digests (array<bigint>, sorted) between two versions of a text in each row.
+
+    Null versions count as empty; columns of these names are replaced.
+    """
     own = [c for c in df.columns if c not in ("removed_digests", "added_digests")]
-    body = F.struct(F.struct(*own).alias("row"), F.array(pair_of(digests(F.col(old)), digests(F.col(new)))).alias("pairs"))
-    rows = df.select(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (old, new)]).alias("part"), F.monotonically_increasing_id().alias("rn"), body.alias("payload"))
-    out = recover(rows.repartition("part"), ["part", "rn"])
-    pair = F.col("payload.pairs")[0]
-    return out.select("payload.row.*", F.sort_array(pair["gone"]).alias("removed_digests"), F.sort_array(pair["come"]).alias("added_digests"))
+    rows = df.select(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (old, new)]).alias("part"), F.monotonically_increasing_id().alias("rn"), F.struct(*own).alias("row"), digests(F.col(old)).alias("plus"), digests(F.col(new)).alias("minus"))
+    out = recover(rows.repartition("part"), ["part", "rn"], [("plus", "minus")], digests_too=True)
+
+    def side(sign: int) -> Column:
+        return F.sort_array(F.transform(F.filter("found", lambda f: f["sign"] == sign), lambda f: f["rec"]))
+
+    return out.select("row.*", side(1).alias("removed_digests"), side(-1).alias("added_digests"))
 
 
 def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
@@ -206,16 +226,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 2) as int))"))
     rows = rows.withColumn("edited", F.when(half > 0, edited).otherwise(F.col("text")))
     rows = rows.select("part", "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("changed"), digests(F.col("next_text")).alias("following"))
-    payload = F.struct("doc_id", "n_chars", "edited_sha256", sketch(F.col("own")).alias("fingerprint"), sketch(F.col("changed")).alias("edited_fingerprint"), F.array(pair_of(F.col("own"), F.col("changed")), pair_of(F.col("own"), F.col("following"))).alias("pairs"))
-    out = recover(rows.select("part", "rn", payload.alias("payload")), ["part", "rn"])
-    first, second = F.col("payload.pairs")[0], F.col("payload.pairs")[1]
+    rows = rows.select("part", "rn", "doc_id", "n_chars", "edited_sha256", sketch(F.col("own")).alias("fingerprint"), sketch(F.col("changed")).alias("edited_fingerprint"), "own", "changed", "following")
+    out = recover(rows, ["part", "rn"], [("own", "changed"), ("own", "following")])
     return out.select(
-        *[f"payload.{c}" for c in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")],
-        likeness(first).alias("near_edited"),
-        likeness(second).alias("near_next"),
-        F.size(first["gone"]).cast("long").alias("n_removed_paragraphs"),
-        F.size(first["come"]).cast("long").alias("n_added_paragraphs"),
-        first["ok"].alias("peeled"),
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(F.size("own") + F.size("changed"), 0).alias("near_edited"),
+        likeness(F.size("own") + F.size("following"), 1).alias("near_next"),
+        one_sided(0, 1).alias("n_removed_paragraphs"),
+        one_sided(0, -1).alias("n_added_paragraphs"),
+        (F.size("done") == 2).alias("peeled"),
     )
 
 

@@ -51,3 +51,8 @@ def partitions(spark: SparkSession) -> int:
 def size_of_input(df: DataFrame) -> int:
     """Bytes of the files that Spark will read for ``df``, from the plan's statistics."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+
+
+def let(value, body):
+    """``body(value)`` with ``value`` evaluated once, even where ``body`` uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
