@@ -118,7 +118,7 @@ def scan(docs: DataFrame, base: list | None = None, more: list | None = None) ->
         F.max("cover").alias("score"),
         F.count("*").alias("n_places"),
     )
-    plain = docs.select("doc_id", digest, F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
+    plain = docs.select("doc_id", digest, F.coalesce(F.regexp_count(F.lower("text"), F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
     out = plain.join(per_text, "digest", "left")
     return out.select(
         "doc_id",
