@@ -6,10 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op5_bpe_roundtrip
 from .fingerprint import op1_document_fingerprints
+from .language import op10_language_id
+from .licenses import op2_license_scan
+from .neardup import op3_near_duplicates
+from .quality import op9_quality_rules
+from .substrings import op6_substring_dedup
+from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_document_fingerprints": op1_document_fingerprints,
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints,
+        op2_license_scan,
+        op3_near_duplicates,
+        op5_bpe_roundtrip,
+        op6_substring_dedup,
+        op8_toxicity,
+        op9_quality_rules,
+        op10_language_id,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
