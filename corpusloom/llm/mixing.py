@@ -20,7 +20,7 @@ SWEEPS = 8
 #: Targets are the given shares to this power, made to sum to 1: below 1 small groups gain.
 FLATTEN = 0.8
 #: Expected share of tokens that stay.
-KEEP = 0.8
+KEEP = 0.9
 CLIP_ROUNDS = 6
 MISSING = "(none)"
 
@@ -86,6 +86,25 @@ def calibrated(cells: DataFrame, keep: float = KEEP) -> DataFrame:
     return cells.select(*DIMENSIONS, "tokens", "weight", F.col("p").alias("probability"))
 
 
+def _celled(docs: DataFrame) -> DataFrame:
+    """``docs`` with the cell and the tokens of each row as c_source, c_lang, c_topic, c_tokens."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    dims = {f"c_{d}": F.coalesce(F.col(d).cast("string"), F.lit(MISSING)) for d in ("source", "lang")}
+    return docs.withColumns(dims | {"c_topic": topic_of(text), "c_tokens": F.regexp_count(text, F.lit(WORD)).cast("long")})
+
+
+def weights_of(celled: DataFrame, flatten: float, keep: float, targets: dict[str, dict[str, float]] | None) -> DataFrame:
+    cells = celled.groupBy(*[F.col(f"c_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("c_tokens").alias("tokens"))
+    weights = calibrated(rake(cells, flatten, targets=targets), keep)
+    return written(weights.select(*[F.col(d).alias(f"c_{d}") for d in DIMENSIONS], F.col("weight").alias("c_weight"), F.col("probability").alias("c_p")).coalesce(1), "weights")
+
+
+def _drawn(celled: DataFrame, weights: DataFrame, keep: float, seed: int) -> DataFrame:
+    out = celled.join(weights, [f"c_{d}" for d in DIMENSIONS], "left")
+    p = F.round(F.coalesce("c_p", F.lit(float(keep))), 6)
+    return out.withColumns({"c_weight": F.round(F.coalesce("c_weight", F.lit(0.0)), 6), "c_p": p, "c_kept": uniform(F.col("doc_id"), seed) < p})
+
+
 def mixed(docs: DataFrame, flatten: float = FLATTEN, keep: float = KEEP, seed: int = 0, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Every document's cell, weight and draw: doc_id, source, lang, topic, n_tokens, weight, probability, is_kept.
 
@@ -93,15 +112,16 @@ def mixed(docs: DataFrame, flatten: float = FLATTEN, keep: float = KEEP, seed: i
     text.  Documents without tokens take no part in the weights and are kept
     with probability ``keep``.  Equal ids have equal draws.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    dims = [F.coalesce(F.col(d).cast("string"), F.lit(MISSING)).alias(d) for d in ("source", "lang")]
-    rows = docs.select("doc_id", *dims, topic_of(text).alias("topic"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"))
-    rows = written(rows, "token-counts")
-    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
-    weights = written(calibrated(rake(cells, flatten, targets=targets), keep).coalesce(1), "weights")
-    out = rows.join(weights.drop("tokens"), list(DIMENSIONS), "left")
-    p = F.coalesce("probability", F.lit(float(keep)))
-    return out.select("doc_id", *DIMENSIONS, "n_tokens", F.round(F.coalesce("weight", F.lit(0.0)), 6).alias("weight"), F.round(p, 6).alias("probability"), (uniform(F.col("doc_id"), seed) < F.round(p, 6)).alias("is_kept"))
+    rows = written(_celled(docs.select("doc_id", "text", "source", "lang")).drop("text", "source", "lang"), "token-counts")
+    out = _drawn(rows, weights_of(rows, flatten, keep, targets), keep, seed)
+    return out.select("doc_id", *[F.col(f"c_{d}").alias(d) for d in DIMENSIONS], F.col("c_tokens").alias("n_tokens"), F.col("c_weight").alias("weight"), F.col("c_p").alias("probability"), F.col("c_kept").alias("is_kept"))
+
+
+def sampled(docs: DataFrame, flatten: float = FLATTEN, keep: float = KEEP, seed: int = 0, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``mixed`` keeps, with the same columns."""
+    celled = _celled(docs)
+    drawn = _drawn(celled, weights_of(celled, flatten, keep, targets), keep, seed)
+    return drawn.where("c_kept").select(*docs.columns)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

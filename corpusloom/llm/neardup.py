@@ -208,5 +208,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     return joined.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("is_kept")))
 
 
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class, with the columns of ``docs``; rows with a null id stay, equal rows of one id are one."""
+    kept = near_duplicates(docs.select("doc_id", "text"), similarity).where("is_kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept, "doc_id").select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))

@@ -10,7 +10,9 @@ from .bpe import op5_bpe_roundtrip
 from .fingerprint import op1_document_fingerprints
 from .language import op10_language_id
 from .licenses import op2_license_scan
+from .mixing import OP7_SQL, op7_source_mixing
 from .neardup import op3_near_duplicates
+from .ngrams import op4_lm_scores
 from .quality import op9_quality_rules
 from .substrings import op6_substring_dedup
 from .toxicity import op8_toxicity
@@ -21,12 +23,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_document_fingerprints,
         op2_license_scan,
         op3_near_duplicates,
+        op4_lm_scores,
         op5_bpe_roundtrip,
         op6_substring_dedup,
+        op7_source_mixing,
         op8_toxicity,
         op9_quality_rules,
         op10_language_id,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_source_mixing": OP7_SQL}

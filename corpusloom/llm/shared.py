@@ -50,7 +50,7 @@ def partitions(spark: SparkSession) -> int:
 
 def size_of_input(df: DataFrame) -> int:
     """Bytes of the files that Spark will read for ``df``, from the plan's statistics."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def let(value, body):
