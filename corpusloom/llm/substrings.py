@@ -200,15 +200,18 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
     """
     added = ("n_words", "n_removed", "kept_sha256", "kept_text", "places")
     own = [c for c in docs.columns if c not in added]
-    docs = docs.select(*own).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    found = rows.mapInPandas(_emit_places(window), "ph long, sh long, doc_id long, a int, b int")
+    docs = docs.select(*own)
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    known = docs.where("doc_id IS NOT NULL")
+    found = known.select("doc_id", "text").mapInPandas(_emit_places(window), "ph long, sh long, doc_id long, a int, b int")
     phrases = found.groupBy("ph").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("sh") == F.max("sh")).alias("single")).where("low < high")
     wanted = found.join(phrases, "ph").select("doc_id", F.struct("ph", "sh", "a", "b", "single", (F.col("doc_id") > F.col("low")).alias("repeats")).alias("p"))
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list("p").alias("p"))
 
     several = per_doc.select("doc_id", F.filter("p", lambda x: ~x["single"]).alias("places")).where(F.size("places") > 0)
-    windows = rows.join(several, "doc_id").mapInPandas(_emit_windows(window), "wh long, ph long, doc_id long, at int")
+    # all columns, as in the last join below, so that Spark deals the texts out by id once for both
+    windows = known.join(several, "doc_id").mapInPandas(_emit_windows(window), "wh long, ph long, doc_id long, at int")
     first = windows.groupBy("wh").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     bad = windows.join(first, "wh").where("doc_id > low").groupBy("doc_id", "ph").agg(F.collect_list("at").alias("bad"))
     bad = bad.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("ph", "bad"))).alias("bad"))
@@ -218,10 +221,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
         return F.struct(x["ph"].alias("ph"), x["sh"].alias("sh"), x["a"].alias("a"), x["b"].alias("b"), x["single"].alias("single"), x["repeats"].alias("repeats"), inside.alias("bad"))
 
     marks = per_doc.join(bad, "doc_id", "left").select("doc_id", F.filter(F.transform("p", judged), lambda x: (x["single"] & x["repeats"]) | (F.size(x["bad"]) > 0)).alias("places")).where(F.size("places") > 0)
-    full = docs.join(marks, "doc_id", "left")
+    nothing = F.lit(None).cast(f"array<{PLACE}>").alias("places")
+    full = known.join(marks, "doc_id", "left").select(*docs.columns, F.col("places").cast(f"array<{PLACE}>").alias("places"))
+    full = full.unionByName(docs.where("doc_id IS NULL").select(*docs.columns, nothing))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if with_text or c != "text"), "n_words long, n_removed long, kept_sha256 string", *(["kept_text string"] if with_text else [])])
     kept = [c for c in docs.columns if with_text or c != "text"]
-    return full.select(*docs.columns, F.col("places").cast(f"array<{PLACE}>").alias("places")).mapInPandas(_remove(window, with_text, kept), schema)
+    return full.mapInPandas(_remove(window, with_text, kept), schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
