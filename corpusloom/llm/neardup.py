@@ -13,9 +13,14 @@ weighted Jaccard similarity.
 ``BANDS`` bands of ``ROWS`` coordinates are joined.  Exact copies are joined by
 a hash of all their words first, and only one text of each takes part.  Within a
 band's group, members are compared to one pivot, the one that shares most
-groups with others; what the verified links leave apart is compared across the
-parts.  A link needs a Jaccard similarity of the shingle sets of 0.8 or more.
-Classes are the connected components of the links.
+groups with others.  What those links leave apart is compared across the parts,
+but only pairs that can reach the similarity: x and y have at most
+``min(|x & pivot|, |y & pivot|)`` shingles of the pivot in common, so either
+that is enough, or they share shingles that the pivot lacks, and then one of
+the first few of them in hash order (prefix filtering).  Both bounds are exact,
+and a large group of copies that differ from each other makes no pairs.  A link
+needs a Jaccard similarity of the shingle sets of 0.8 or more.  Classes are the
+connected components of the links.
 """
 
 from __future__ import annotations
@@ -136,24 +141,42 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield out[signed(span_hashes(w.hash, w.first[:-1], w.first[1:])) == out["node"].to_numpy()]
 
 
-def _similarity(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        common = np.zeros(len(pdf))
-        for i, (x, y) in enumerate(zip(pdf["x"], pdf["y"], strict=True)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common[i] = len(np.intersect1d(x, y, assume_unique=True))
-        total = pdf["nx"].to_numpy() + pdf["ny"].to_numpy() - common
-        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "jaccard": np.where(total > 0, common / np.maximum(total, 1), 0.0)})
+        sizes = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
+        yield pdf[["a", "b", "nx", "ny"]].assign(common=np.array(sizes, np.int64))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose sets are similar enough; sizes alone rule many out before sets are moved."""
-    sizes = sets.select("node", "size")
-    near = pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("nx")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("ny")), "b")
-    near = near.where(F.least("nx", "ny") >= F.lit(similarity) * F.greatest("nx", "ny"))
-    full = near.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    scored = full.select("a", "b", "nx", "ny", "x", "y").mapInPandas(_similarity, "a long, b long, jaccard double")
-    return scored.where(F.col("jaccard") >= similarity)
+def _prefixes(similarity: float):
+    """The first shingles, by hash, that a member has and its pivot lacks: enough of them to meet any partner's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for x, y, p in zip(pdf["x"], pdf["y"], pdf["common"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                own = np.setdiff1d(x, y, assume_unique=True)
+                need = max(int(np.ceil(similarity * len(x) - p - 1e-9)), 1)
+                out.append(np.sort(own)[: len(own) - need + 1].view(np.int64) if len(own) >= need else np.zeros(0, np.int64))
+            yield pdf[["a", "b"]].assign(items=out)
+
+    return run
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both sets and sizes."""
+    x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"), F.col("size").alias("nx"))
+    y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"), F.col("size").alias("ny"))
+    own = [c for c in pairs.columns if c not in ("nx", "ny")]
+    return pairs.select(*own).join(x, "a").join(y, "b")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return _with_sets(pairs.select("a", "b"), sets).select("a", "b", "nx", "ny", "x", "y").mapInPandas(_common, "a long, b long, nx int, ny int, common long")
+
+
+def _linked(compared: DataFrame, similarity: float) -> DataFrame:
+    return compared.where(F.col("common") >= F.lit(similarity) * (F.col("nx") + F.col("ny") - F.col("common"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -178,24 +201,34 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     ranked = shared.join(weight, "node").select("band", "key", "node", F.struct("weight", (-F.col("node")).alias("minus")).alias("rank"))
     pivots = ranked.groupBy("band", "key").agg((-F.max("rank")["minus"]).alias("pivot"))
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    stars = written(shared.join(pivots, ["band", "key"]).where("node <> pivot").select(*pair("node", "pivot")).distinct(), "stars")
+    stars = written(shared.join(pivots, ["band", "key"]).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     involved = nodes.select("node", "rep").join(shared.select("node").distinct(), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(involved, "rep").select("node", "text")
     sets = written(texts.mapInPandas(_sets, "node long, items binary, size int").dropDuplicates(["node"]), "shingle-sets")
-    links = written(_verified(stars, sets, similarity), "links")
-
-    # across the parts that the first links leave in a group: smaller parts against all others
-    parts = components(links.select("a", "b"))
-    placed = shared.join(parts, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("part"))
-    mixed = placed.groupBy("band", "key").agg((F.min("part") < F.max("part")).alias("mixed")).where("mixed").select("band", "key")
-    placed = written(placed.join(mixed, ["band", "key"]), "parts")
-    sized = placed.groupBy("band", "key", "part").agg(F.count("*").alias("n"))
-    largest = sized.groupBy("band", "key").agg(F.max(F.struct("n", "part"))["part"].alias("largest"))
-    minor = placed.join(largest, ["band", "key"]).where("part <> largest").select("band", "key", F.col("node").alias("x"), F.col("part").alias("px"))
-    cross = minor.join(placed, ["band", "key"]).where("px <> part").select(*pair("x", "node")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(_verified(cross, sets, similarity), "links")
-    edges = links.unionByName(more)
+    compared = written(_compared(stars, sets), "compared")
+    links = _linked(compared, similarity)
+
+    # across the parts that these links leave around a pivot
+    parts = written(components(links), "parts")
+    part_of = lambda name, out: parts.select(F.col("node").alias(name), F.col("component").alias(out))
+    around = compared.join(part_of("a", "part"), "a", "left").join(part_of("b", "pivot_part"), "b", "left")
+    around = around.select("a", "b", F.col("nx").alias("n"), "common", F.coalesce("part", "a").alias("part"), F.coalesce("pivot_part", "b").alias("pivot_part"))
+    apart = around.where("part <> pivot_part").groupBy("b").agg(F.count("*").alias("n_apart"))
+    around = written(around.join(apart, "b").join(around.groupBy("b").agg(F.min("n").alias("least")), "b"), "around")
+    mine = lambda x: [F.col("a").alias(f"{x}_a"), F.col("n").alias(f"{x}_n"), F.col("common").alias(f"{x}_p"), F.col("part").alias(f"{x}_part")]
+    most = (1 + similarity) / similarity
+    sized = (F.col("x_part") != F.col("y_part")) & (F.least("x_n", "y_n") >= F.lit(similarity) * F.greatest("x_n", "y_n"))
+    minor = around.where("part <> pivot_part")
+    # pairs that the pivot's shingles can make similar
+    by_pivot = minor.where(F.col("common") * most - F.col("n") >= F.col("least")).select("b", *mine("x")).join(around.select("b", *mine("y")), "b").where(sized & (F.least("x_p", "y_p") * most >= F.col("x_n") + F.col("y_n")))
+    # pairs that share other shingles
+    lists = _with_sets(around.select("a", "b", "common"), sets).select("a", "b", "common", "x", "y").mapInPandas(_prefixes(similarity), "a long, b long, items array<long>")
+    lists = written(around.join(lists, ["a", "b"]), "prefixes")
+    item = F.explode("items").alias("item")
+    by_item = lists.where("part <> pivot_part").select("b", *mine("x"), item).join(lists.select("b", *mine("y"), item), ["b", "item"]).where(sized)
+    pairs = by_pivot.select("x_a", "y_a").unionByName(by_item.select("x_a", "y_a")).select(F.least("x_a", "y_a").alias("a"), F.greatest("x_a", "y_a").alias("b")).distinct()
+    more = _linked(_compared(pairs, sets), similarity)
+    edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(more).distinct(), "links")
     classes = components(edges.select("a", "b"))
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Words, chunks, encoded, mix
-from .shared import crc_remainder, documents, new_path, size_of_input
+from .shared import crc_remainder, documents, new_path, size_of_text
 
 #: Bytes of input for each shard, and fewest shards.
 SHARD_BYTES = 12 << 20
@@ -280,7 +280,7 @@ def _less(count: np.ndarray, discount: tuple[float, float, float]) -> np.ndarray
 def fit(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Layout:
     """Counts a model over the text of ``docs``; null texts are empty and still have an end."""
     spark = docs.sparkSession
-    shards = max(LEAST_SHARDS, -(-size_of_input(docs) // shard_bytes))
+    shards = max(LEAST_SHARDS, -(-size_of_text(docs) // shard_bytes))
     layout = Layout(new_path(spark, "ngrams"), shards)
     texts = docs.select("text")
 

@@ -48,9 +48,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def size_of_input(df: DataFrame) -> int:
-    """Bytes of the files that Spark will read for ``df``, from the plan's statistics."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def size_of_text(df: DataFrame, column: str = "text") -> int:
+    """Bytes to be read for ``df`` by the plan's statistics, or the length of its texts where Spark knows no size."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 56 else df.agg(F.sum(F.length(column))).first()[0] or 0
 
 
 def let(value, body):
