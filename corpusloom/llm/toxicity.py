@@ -146,11 +146,12 @@ class ToxicityModel:
 
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` without its text, with score in 0..1."""
-        kept = [c for c in df.columns if c != "text"]
+        kept = [c for c in df.columns if c not in ("text", "score")]
         if self.trees is None:
             return df.select(*kept, F.lit(self.prior).alias("score"))
-        rows = _raw_score(self.trees, with_features(df, self.words))
-        return self.calibration.transform(rows).select(*kept, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction_iso"))).alias("score"))
+        # the caller's columns travel in one, so that none clashes with those of the models
+        rows = _raw_score(self.trees, with_features(df.select(F.struct(*kept).alias("own"), "text"), self.words))
+        return self.calibration.transform(rows).select("own.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction_iso"))).alias("score"))
 
 
 def _assembled(df: DataFrame) -> DataFrame:
@@ -159,7 +160,7 @@ def _assembled(df: DataFrame) -> DataFrame:
 
 def _raw_score(trees, df: DataFrame) -> DataFrame:
     out = trees.transform(_assembled(df))
-    return out.withColumn("raw_score", vector_to_array("f_probability")[1])
+    return out.withColumn("raw_score", vector_to_array("probability")[1])
 
 
 def fit_model(labelled: DataFrame, most_rows: int = MOST_ROWS, trees: int = 25, depth: int = 4) -> ToxicityModel:
@@ -181,8 +182,8 @@ def fit_model(labelled: DataFrame, most_rows: int = MOST_ROWS, trees: int = 25,
     if any(not split.get((part, y)) for part in (True, False) for y in (0, 1)):
         return ToxicityModel(words, None, None, sum(v for (_, y), v in split.items() if y == 1) / total if total else 0.0)
     table = _assembled(table)
-    trees_model = GBTClassifier(featuresCol="f_all", labelCol="label", probabilityCol="f_probability", rawPredictionCol="f_raw", predictionCol="f_prediction", maxIter=trees, maxDepth=depth, stepSize=0.15, subsamplingRate=0.8, seed=7, maxBins=32).fit(table.where(~F.col("part")))
-    aside = trees_model.transform(table.where("part")).withColumn("raw_score", vector_to_array("f_probability")[1])
+    trees_model = GBTClassifier(featuresCol="f_all", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.15, subsamplingRate=0.8, seed=7, maxBins=32).fit(table.where(~F.col("part")))
+    aside = trees_model.transform(table.where("part")).withColumn("raw_score", vector_to_array("probability")[1])
     calibration = IsotonicRegression(featuresCol="raw_score", labelCol="label", predictionCol="prediction_iso").fit(aside)
     return ToxicityModel(words, trees_model, calibration, 0.0)
 
