@@ -63,7 +63,10 @@ def coded(text: str, codes: np.ndarray) -> np.ndarray:
 
 
 def automaton(sequence: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``sequence``: state * width + code -> state, or -1."""
+    """Transitions of the suffix automaton of ``sequence``: state * width + code -> state * width, or -1.
+
+    The last state has none: from it any code begins a phrase.
+    """
     nexts, link, length, last = [{}], [-1], [0], 0
     for c in sequence.tolist():
         state = len(nexts)
@@ -88,7 +91,7 @@ def automaton(sequence: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = twin
         last = state
-    table = np.full(len(nexts) * width, -1, np.int32)
+    table = np.full((len(nexts) + 1) * width, -1, np.int32)
     for s, out in enumerate(nexts):
         for c, to in out.items():
             table[s * width + c] = to * width
@@ -124,8 +127,9 @@ class Model:
             return counts, sizes
         active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # pieces longer than the step
         for k, table in enumerate(self.tables):
-            at = np.zeros(len(owner), np.int32)
-            n = np.ones(len(owner), np.int32)
+            nowhere = len(table) - self.width
+            at = np.full(len(owner), nowhere, np.int32)
+            n = np.zeros(len(owner), np.int32)
             for step in range(int(length[0])):
                 m = active[step]
                 c = flat[begin[:m] + step]
@@ -134,7 +138,7 @@ class Model:
                 if len(lost):
                     n[lost] += 1
                     again = table[c[lost]]
-                    to[lost] = np.maximum(again, 0)  # a code that no sample has is a phrase of its own
+                    to[lost] = np.where(again < 0, nowhere, again)  # a code that no sample has is a phrase of its own
                 at[:m] = to
             counts[:, k] = np.bincount(owner, weights=n, minlength=len(texts))
         return counts, sizes
