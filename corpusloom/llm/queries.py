@@ -13,6 +13,7 @@ from .licenses import op2_license_scan
 from .mixing import OP7_SQL, op7_source_mixing
 from .neardup import op3_near_duplicates
 from .ngrams import op4_lm_scores
+from .oracles import OP2_SQL, OP9_SQL
 from .quality import op9_quality_rules
 from .substrings import op6_substring_dedup
 from .toxicity import op8_toxicity
@@ -33,4 +34,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_source_mixing": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": OP2_SQL, "op7_source_mixing": OP7_SQL, "op9_quality_rules": OP9_SQL}
