@@ -44,10 +44,9 @@ def sections(df: DataFrame, key: str, text: str, header: str = r"^(#{1,6})\s+(.+
 
 
 def with_context(chunks: DataFrame, group: str, order: str, content: str, overlap: int = 50) -> DataFrame:
-    """Adds the last ``overlap`` characters of the chunk before."""
-    w = Window.partitionBy(group).orderBy(order)
-    before = F.lag(content).over(w)
-    return chunks.withColumn("context", F.coalesce(F.expr(f"right(__before, {overlap})"), F.lit(""))) if "__before" in chunks.columns else chunks.withColumn("__before", before).withColumn("context", F.coalesce(F.expr(f"right(__before, {overlap})"), F.lit(""))).drop("__before")
+    """Adds context: the last ``overlap`` characters of the chunk before, empty for the first."""
+    before = F.lag(content).over(Window.partitionBy(group).orderBy(order))
+    return chunks.withColumn("context", F.coalesce(F.right(before, F.lit(overlap)), F.lit("")))
 
 
 # Blocks of code: balanced braces and indentation are no regular languages, so
