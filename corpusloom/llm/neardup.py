@@ -244,7 +244,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class, with the columns of ``docs``; rows with a null id stay, equal rows of one id are one."""
     kept = near_duplicates(docs.select("doc_id", "text"), similarity).where("is_kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
+    out = docs.join(kept, "doc_id").select(*docs.columns)
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
