@@ -52,7 +52,7 @@ def differences(spark: SparkSession, sf_dir: str, name: str, queries: dict | Non
 def main(names: list[str], sf_dir: str) -> None:
     from .. import queries  # noqa: F401
 
-    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     for name in names or sorted(ORACLE_SQL):
         begun = time.time()

@@ -1,4 +1,4 @@
 """All registered queries of the library."""
 
-from .plans import analytics, changes, graphs, processing, quality, search, structure, texts  # noqa: F401  each registers its queries
+from .plans import analytics, changes, graphs, hierarchy, processing, quality, search, structure, texts  # noqa: F401  each registers its queries
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
