@@ -223,9 +223,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     by_pivot = minor.where(F.col("common") * most - F.col("n") >= F.col("least")).select("b", *mine("x")).join(around.select("b", *mine("y")), "b").where(sized & (F.least("x_p", "y_p") * most >= F.col("x_n") + F.col("y_n")))
     # pairs that share other shingles
     lists = _with_sets(around.select("a", "b", "common"), sets).select("a", "b", "common", "x", "y").mapInPandas(_prefixes(similarity), "a long, b long, items array<long>")
-    lists = written(around.join(lists, ["a", "b"]), "prefixes")
     item = F.explode("items").alias("item")
-    by_item = lists.where("part <> pivot_part").select("b", *mine("x"), item).join(lists.select("b", *mine("y"), item), ["b", "item"]).where(sized)
+    placed = around.join(lists, ["a", "b"]).select("a", "b", "n", "common", "part", "pivot_part", item)
+    met = placed.groupBy("b", "item").agg(F.count("*").alias("holders"), F.max((F.col("part") != F.col("pivot_part")).cast("int")).alias("minor")).where("holders > 1 AND minor = 1")
+    lists = placed.join(met.select("b", "item"), ["b", "item"]).groupBy("a", "b", "n", "common", "part", "pivot_part").agg(F.collect_list("item").alias("items"))
+    lists = written(lists, "prefixes")
+    # a pair comes from the smallest item that both have, not from each of them
+    first = F.array_min(F.array_intersect("x_items", "y_items")) == F.col("item")
+    by_item = lists.where("part <> pivot_part").select("b", *mine("x"), F.col("items").alias("x_items"), item).join(lists.select("b", *mine("y"), F.col("items").alias("y_items"), item), ["b", "item"]).where(sized & first)
     pairs = by_pivot.select("x_a", "y_a").unionByName(by_item.select("x_a", "y_a")).select(F.least("x_a", "y_a").alias("a"), F.greatest("x_a", "y_a").alias("b")).distinct()
     more = _linked(_compared(pairs, sets), similarity)
     edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(more).distinct(), "links")
