@@ -37,9 +37,9 @@ from .shared import crc_remainder, documents, new_path, size_of_text
 SHARD_BYTES = 12 << 20
 LEAST_SHARDS = 12
 #: Entries that a task gathers before it hands them on.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 #: Texts scored at once, in bytes.
-SCORE_BYTES = 8 << 20
+SCORE_BYTES = 2 << 20
 
 _U = np.uint64
 
