@@ -163,26 +163,28 @@ def _raw_score(trees, df: DataFrame) -> DataFrame:
     return out.withColumn("raw_score", vector_to_array("probability")[1])
 
 
-def fit_model(labelled: DataFrame, most_rows: int = MOST_ROWS, trees: int = 25, depth: int = 4) -> ToxicityModel:
-    """Fits on rows of doc_id, text and toxic (0 or 1; rows with null are left out).
+def fit_model(texts: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, trees: int = 25, depth: int = 3) -> ToxicityModel:
+    """Fits on texts (doc_id, text) and labels (doc_id, toxic: 0 or 1; rows with null are left out).
 
-    At most about ``most_rows`` rows are used, chosen by a hash of id and text.
-    Without rows of both labels the model returns the share of label 1 (0 if
-    there is none).
+    At most about ``most_rows`` labels are used, chosen by a hash of the id
+    before texts are read, so that the chosen labels may be broadcast and texts
+    are not shuffled.  Without rows of both labels the model returns the share
+    of label 1 (0 if there is none).
     """
-    labelled = labelled.where("toxic IS NOT NULL")
-    n = labelled.count()
-    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    sample = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), h.alias("h")).where(F.col("h") < min(1 << 20, -(-most_rows * (1 << 20) // max(n, 1))))
-    sample = sample.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(1000)) < int(1000 * CALIBRATION_SHARE))
+    labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    n = labels.count()
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1000)) < int(1000 * CALIBRATION_SHARE)
+    chosen = labels.where(h < min(1 << 20, -(-most_rows * (1 << 20) // max(n, 1)))).withColumn("part", part)
+    sample = written(texts.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "part"), "toxicity-texts")
     words = learn_lexicon(sample)
-    table = written(with_features(sample.drop("h"), words).withColumn("label", F.col("toxic").cast("double")).coalesce(6), "toxicity-sample")
+    table = written(with_features(sample, words).withColumn("label", F.col("toxic").cast("double")).coalesce(6), "toxicity-sample")
     split = {(r[0], r[1]): r[2] for r in table.groupBy("part", "toxic").count().collect()}
     total = sum(split.values())
     if any(not split.get((part, y)) for part in (True, False) for y in (0, 1)):
         return ToxicityModel(words, None, None, sum(v for (_, y), v in split.items() if y == 1) / total if total else 0.0)
     table = _assembled(table)
-    trees_model = GBTClassifier(featuresCol="f_all", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.15, subsamplingRate=0.8, seed=7, maxBins=32).fit(table.where(~F.col("part")))
+    trees_model = GBTClassifier(featuresCol="f_all", labelCol="label", maxIter=trees, maxDepth=depth, minInstancesPerNode=10, stepSize=0.15, subsamplingRate=0.8, seed=7, maxBins=32).fit(table.where(~F.col("part")))
     aside = trees_model.transform(table.where("part")).withColumn("raw_score", vector_to_array("probability")[1])
     calibration = IsotonicRegression(featuresCol="raw_score", labelCol="label", predictionCol="prediction_iso").fit(aside)
     return ToxicityModel(words, trees_model, calibration, 0.0)
@@ -192,6 +194,6 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = crc_remainder("doc_id", 4) == 2
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = fit_model(docs.where(~held_out).join(labels, "doc_id"))
+    model = fit_model(docs, labels.where(~held_out))
     scored = model.score(docs.select("doc_id", "text", held_out.alias("held_out")))
     return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

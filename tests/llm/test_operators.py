@@ -353,12 +353,12 @@ def test_toxicity(spark, none):
             w[rng.randrange(40)] = rng.choice(["idiot", "MORON!", "scum"])
         data.append((i, " ".join(w), int(bad), "s"))
     df = spark.createDataFrame([*data, (900, None, None, "s"), (901, "", 0, "s"), (902, "you 1d1ot", 1, "s")], "doc_id long, text string, toxic int, score string")
-    model = toxicity.fit_model(df.where("doc_id % 4 <> 2").drop("score"))
+    model = toxicity.fit_model(df, df.where("doc_id % 4 <> 2"))
     assert {"idiot", "moron", "scum"} <= set(model.words)
     got = {r["doc_id"]: r["score"] for r in model.score(df).collect()}
     assert len(got) == 403 and all(0 <= x <= 1 for x in got.values())
     held = [(got[i], y) for i, _, y, _ in data if i % 4 == 2]
     assert np.mean([(s >= 0.3) == bool(y) for s, y in held]) > 0.95
     assert toxicity.Lexicon(["idiot"]).code("1d1ot") == 4 and toxicity.Lexicon(["idiot"]).code("Idiot,") == 1
-    empty = toxicity.fit_model(none.select("doc_id", "text", F.lit(1).alias("toxic")))
+    empty = toxicity.fit_model(none, none.select("doc_id", F.lit(1).alias("toxic")))
     assert empty.score(df).where("score <> 0").isEmpty()
