@@ -1,16 +1,18 @@
 """Operator 3: near-duplicate documents by DartMinHash and banded joining.
 
-A document is a weighted set: its runs of ``SHINGLE`` words, each with weight
-``1 + ln(count)``.  Darts are thrown at every element: hashed arrival times make
-a Poisson process on its strips of weight [0, 1), [1, 2), [2, 4), ..., the same
-in every document, and a dart counts where its hashed weight lies under the
-element's.  A document looks at darts up to the time when about
-``k (ln k + 2)`` have come, deals them to ``k`` coordinates by a hash and keeps
-the earliest of each, so a signature takes one draw per element and a few per
-coordinate.  Two documents agree in a coordinate with the probability of their
-weighted Jaccard similarity.
-
-``BANDS`` bands of ``ROWS`` coordinates are joined.  Exact copies are joined by
+A document is a set: its different runs of ``SHINGLE`` words, each with weight 1
+however often it occurs, because links are decided by the similarity of sets; a
+weight by counts would draw a text apart from the same text pasted twice.
+Darts are thrown at every element: hashed arrival times make a Poisson process
+on its strips of weight [0, 1), [1, 2), [2, 4), ..., the same in every document,
+and a dart counts where its hashed weight lies under the element's.  A document
+looks at darts up to the time when about ``k (ln k + 2)`` have come, deals them
+to ``k`` coordinates by a hash and keeps the earliest of each, so a signature
+takes one draw per element and a few per coordinate.  Two documents agree in a
+coordinate with the probability of their (weighted) Jaccard similarity.
+
+``BANDS`` bands of ``ROWS`` coordinates are joined; at a similarity of 0.8 two
+texts meet in none of them with a probability of 0.00007.  Exact copies are joined by
 a hash of all their words first, and only one text of each takes part.  Within a
 band's group, members are compared to one pivot, the one that shares most
 groups with others.  What those links leave apart is compared across the parts,
@@ -89,7 +91,7 @@ def _throw(of: np.ndarray, element: np.ndarray, weight: np.ndarray, until: np.nd
 
 
 def signatures(of: np.ndarray, element: np.ndarray, count: np.ndarray, n: int, k: int) -> np.ndarray:
-    """The earliest dart of each coordinate of each of ``n`` texts (n x k); zero rows for texts without elements."""
+    """The earliest dart of each coordinate of each of ``n`` texts (n x k); an element weighs 1 + ln(count); zero rows for texts without elements."""
     out = np.zeros((n, k), np.uint64)
     weight = 1.0 + np.log(count)
     total = np.bincount(of, weights=weight, minlength=n)
@@ -121,8 +123,8 @@ def _sign(bands: int, rows: int):
             texts = encoded(pdf["text"])
             for a, z in chunks(texts):
                 w = Words(texts[a:z], lower=True)
-                of, element, count = shingles(w)
-                s = signatures(of, element, count, z - a, bands * rows).reshape(z - a, bands, rows)
+                of, element, _ = shingles(w)
+                s = signatures(of, element, np.ones(len(of)), z - a, bands * rows).reshape(z - a, bands, rows)
                 keys = mix((mix(s + columns * _U(0x8CB92BA72F3D8DD7))).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
                 whole = span_hashes(w.hash, w.first[:-1], w.first[1:])
                 yield pd.DataFrame({"row": pdf["row"].iloc[a:z].to_numpy(), "doc_id": pdf["doc_id"].iloc[a:z].to_numpy(), "n_words": w.count, "node": signed(whole), "bands": list(signed(keys))})

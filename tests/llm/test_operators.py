@@ -154,6 +154,19 @@ def test_links_beside_the_pivot(spark):
     assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()} == want
 
 
+def test_links_of_texts_pasted_several_times(spark):
+    """A text and the same text two, three and five times over have nearly equal sets, however often a shingle occurs."""
+    rng = random.Random(17)
+    texts = []
+    for i in range(24):
+        base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60 + i))
+        texts += [base, " ".join([base] * (2, 3, 5)[i % 3])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = classes([(i, t) for i, t in enumerate(texts)])
+    assert len(set(want.values())) == 24
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()} == want
+
+
 def test_darts_agree_as_often_as_the_weights():
     rng = np.random.default_rng(5)
     elements = rng.integers(1, 2**63, 600, dtype=np.uint64)
