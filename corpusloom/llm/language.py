@@ -6,15 +6,17 @@ the sample is a phrase, and the next phrase begins behind it.  A language whose
 sample holds long matches needs few phrases; phrases are normalised by the
 letters read and by the log of the sample's size, and the fewest wins.
 
-The automata are dense transition tables of at most ``2 * SAMPLE_CHARS`` states
-a language, which bounds what is broadcast.  Inside a task many pieces of text
+The automata have at most ``2 * SAMPLE_CHARS`` states and ``3 * SAMPLE_CHARS``
+transitions a language, whatever its alphabet.  They are dense tables while all
+of them together fit in ``DENSE_BYTES``, else sorted lists of transitions; both
+give the same phrases.  Every letter of the samples has its own code, and every
+labelled language is learned.  Inside a task many pieces of text
 are parsed in step with numpy; a long text is cut into pieces whose phrases add
 up, so all of it is read.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,43 +31,38 @@ SAMPLE_CHARS = 24_000
 SAMPLE_DOCS = 48
 #: Lengths of documents that may be sampled; each is used whole.
 SAMPLE_LENGTHS = (300, 6_000)
-#: Most languages that are learned, the most frequent first.
-MOST_LANGUAGES = 64
+#: Automata larger than this in all are kept as lists instead of dense tables.
+DENSE_BYTES = 128 << 20
 PIECE = 400
 BATCH_CHARS = 3_000_000
 UNKNOWN = "und"
 
 
 def _alphabet(samples: dict[str, str]) -> np.ndarray:
-    """Code of each character of the basic plane: 0 is white space or anything that is no letter, 1 a letter of no sample."""
-    codes = np.zeros(0x11000, np.uint8)
-    letters = sorted({c for t in samples.values() for c in t.lower() if c.isalpha() and ord(c) < 0x10000})[:250]
-    for c in range(0x10000):
-        if unicodedata.category(chr(c))[0] == "L":
-            codes[c] = 1
-    codes[0x10000:] = 1
+    """Code of each character: 0 is white space or anything that is no letter, 1 a letter of no sample."""
+    codes = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.uint32, 0x110000)
+    letters = sorted({c for t in samples.values() for c in t.lower() if c.isalpha()})
     for i, c in enumerate(letters):
         codes[ord(c)] = i + 2
     for i, c in enumerate(letters):
         if len(c.upper()) == 1 and c.upper() != c:
             codes[ord(c.upper())] = i + 2
-    return codes
+    return codes.astype(np.min_scalar_type(len(letters) + 1))
 
 
 def coded(text: str, codes: np.ndarray) -> np.ndarray:
     """The text's codes, each run of non-letters as one 0."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where(points < 0x10000, points, 0x10000 + (points & 0xFFF))
     c = codes[points]
     keep = np.ones(len(c), bool)
     keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
     return c[keep]
 
 
-def automaton(sequence: np.ndarray, width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``sequence``: state * width + code -> state * width, or -1.
+def automaton(sequence: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Transitions of the suffix automaton of ``sequence``: (state * width + code, state * width) and a further state * width.
 
-    The last state has none: from it any code begins a phrase.
+    The further state has none: from it any code begins a phrase.
     """
     nexts, link, length, last = [{}], [-1], [0], 0
     for c in sequence.tolist():
@@ -91,11 +88,34 @@ def automaton(sequence: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = twin
         last = state
-    table = np.full((len(nexts) + 1) * width, -1, np.int32)
-    for s, out in enumerate(nexts):
-        for c, to in out.items():
-            table[s * width + c] = to * width
-    return table
+    moves = np.array([(s * width + c, to * width) for s, out in enumerate(nexts) for c, to in sorted(out.items())], np.int64).reshape(-1, 2)
+    return moves[:, 0], moves[:, 1], len(nexts) * width
+
+
+class Dense:
+    """Transitions in a table of all states and codes; -1 where there is none."""
+
+    def __init__(self, keys: np.ndarray, to: np.ndarray, nowhere: int, width: int):
+        self.nowhere = nowhere
+        self.table = np.full(nowhere + width, -1, np.int32)
+        self.table[keys] = to
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        return self.table[keys]
+
+
+class Listed:
+    """Transitions in ascending order, found by bisection; -1 where there is none."""
+
+    def __init__(self, keys: np.ndarray, to: np.ndarray, nowhere: int, width: int):
+        self.nowhere = nowhere
+        self.keys = np.append(keys, np.iinfo(np.int64).max)
+        self.to = np.append(to, -1)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.astype(np.int64)
+        i = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[i] == keys, self.to[i], -1)
 
 
 class Model:
@@ -106,7 +126,9 @@ class Model:
         self.codes = _alphabet(samples)
         self.width = int(self.codes.max()) + 1
         sequences = [coded(samples[lang], self.codes) for lang in self.languages]
-        self.tables = [automaton(s, self.width) for s in sequences]
+        moves = [automaton(s, self.width) for s in sequences]
+        kind = Dense if sum(4 * (nowhere + self.width) for _, _, nowhere in moves) <= DENSE_BYTES else Listed
+        self.tables = [kind(*m, self.width) for m in moves]
         self.norm = [float(np.log2(max(len(s), 2))) for s in sequences]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +137,7 @@ class Model:
         sizes = np.array([len(s) for s in seqs])
         pieces = (sizes + PIECE - 1) // PIECE
         owner = np.repeat(np.arange(len(seqs)), pieces)
-        flat = np.concatenate([*seqs, np.zeros(1, np.uint8)])
+        flat = np.concatenate([*seqs, np.zeros(1, self.codes.dtype)])
         starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin = starts[owner] + nth * PIECE
@@ -127,8 +149,8 @@ class Model:
             return counts, sizes
         active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # pieces longer than the step
         for k, table in enumerate(self.tables):
-            nowhere = len(table) - self.width
-            at = np.full(len(owner), nowhere, np.int32)
+            nowhere = table.nowhere
+            at = np.full(len(owner), nowhere, np.int32 if isinstance(table, Dense) else np.int64)
             n = np.zeros(len(owner), np.int32)
             for step in range(int(length[0])):
                 m = active[step]
@@ -158,14 +180,12 @@ class Model:
 
 
 def learn(docs: DataFrame) -> Model:
-    """A model from the text and non-null lang of the given rows.
+    """A model of every non-null lang of the given rows, from their texts.
 
     At most ``SAMPLE_DOCS`` whole documents of each language, those with the
     smallest hashes, and ``SAMPLE_CHARS`` characters come to the driver.
     """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    common = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    rows = rows.where(F.col("lang").isin(common)) if common else rows.limit(0)
     fits = F.length("text").between(*SAMPLE_LENGTHS)
     ranked = rows.select("lang", "text", fits.alias("fits"), F.xxhash64("text").alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("fits"), "h")))
     chosen = ranked.where(F.col("n") <= SAMPLE_DOCS).select("lang", "n", "text").orderBy("lang", "n")

@@ -327,6 +327,37 @@ def test_language(docs, none):
     assert language.identify(docs, language.learn(none)).where("lang_pred <> 'und'").isEmpty() and language.identify(none, model).isEmpty()
 
 
+@pytest.mark.parametrize("dense_bytes", [128 << 20, 0])
+def test_every_letter_has_its_code(monkeypatch, dense_bytes):
+    """Languages are told apart by letters behind the first 250, also beyond the basic plane and for any form of the automata."""
+    monkeypatch.setattr(language, "DENSE_BYTES", dense_bytes, raising=False)
+    rng = random.Random(2)
+    first = {"aa": 0x100, "ko": 0xAC00, "xx": 0x20000, "yy": 0x21000, "zh": 0x4E00}
+    letters = {k: [chr(c) for c in range(a, a + 300)] for k, a in first.items()}
+    text = {k: ["".join(rng.choice(x) for _ in range(800)) for _ in range(2)] for k, x in letters.items()}
+    got, _ = language.Model({k: t[0] for k, t in text.items()}).predict([t[1] for t in text.values()])
+    assert got == list(first)
+
+
+def test_lists_and_tables_of_transitions_agree(monkeypatch):
+    rng = random.Random(4)
+    samples = {k: "".join(rng.choice(x) for _ in range(500)) for k, x in (("a", "abc "), ("b", "cdé "))}
+    texts = ["".join(rng.choice("abcdéfA ,") for _ in range(n)) for n in (1, 7, 300, 1000)]
+    dense = language.Model(samples)
+    monkeypatch.setattr(language, "DENSE_BYTES", 0)
+    listed = language.Model(samples)
+    assert type(dense.tables[0]) is not type(listed.tables[0])
+    assert (dense.phrases(texts)[0] == listed.phrases(texts)[0]).all()
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(f"l{i:02}", " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for _ in range(20))) for i in range(70)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = language.learn(df)
+    assert model.languages == [r[0] for r in rows]
+    assert model.predict([r[1] for r in rows])[0] == model.languages
+
+
 def test_cross_parsing_is_exact():
     rng = random.Random(1)
     sample, text = "".join(rng.choice("abc ") for _ in range(300)), "".join(rng.choice("abcd ") for _ in range(390))
