@@ -108,7 +108,18 @@ def code_blocks(df: DataFrame, key: str, text: str, language: str) -> DataFrame:
     return df.select(key, text, language).mapInPandas(run, f"`{key}` {kind}, kind string, name string, start_line int, end_line int, content string, complexity int")
 
 
-def tag_sections(html: Column, tags: list[str]) -> Column:
-    """array<struct<tag, content>>: the first section of each tag; tags that are missing are left out."""
-    found = [F.struct(F.lit(t).alias("tag"), F.regexp_extract(html, rf"(?s)<{t}[^>]*>(.*?)</{t}>", 1).alias("content")) for t in tags]
-    return F.filter(F.array(*found), lambda x: F.length(x["content"]) > 0)
+#: Tags of the sections of a page.
+SECTION_TAGS = ["header", "nav", "main", "section", "article", "aside", "footer"]
+
+
+def tag_sections(html: Column, tags: list[str] = SECTION_TAGS) -> Column:
+    """array<struct<tag, content>>: all sections in their order, from a tag to the next that closes it; empty ones are left out.
+
+    A section within another is part of the outer one.  A page without such tags
+    is split at blank lines into parts section_0, section_1, ...
+    """
+    pattern = F.lit(rf"(?is)<({'|'.join(tags)})\b[^>]*>(.*?)</\1>")
+    names, contents = F.regexp_extract_all(html, pattern, F.lit(1)), F.regexp_extract_all(html, pattern, F.lit(2))
+    found = F.zip_with(names, contents, lambda t, c: F.struct(F.lower(t).alias("tag"), c.alias("content")))
+    parts = F.transform(F.split(html, r"\n\s*\n"), lambda c, i: F.struct(F.concat(F.lit("section_"), i.cast("string")).alias("tag"), c.alias("content")))
+    return F.when(F.size(names) > 0, F.filter(found, lambda x: F.length(x["content"]) > 0)).otherwise(F.filter(parts, lambda x: x["content"].rlike(r"\S")))

@@ -49,7 +49,7 @@ _TAG_SQL = " UNION ALL ".join(f"SELECT page_id, '{t}' AS tag, regexp_extract(htm
 
 @query(f"""SELECT page_id, tag, CAST(length(content) AS BIGINT) AS size, md5(content) AS digest, CASE tag WHEN 'article' THEN 0.9::DOUBLE WHEN 'nav' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END AS importance FROM ({_TAG_SQL}) WHERE length(content) > 0""")
 def template_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", F.inline(C.tag_sections(F.col("html"), _TAGS)))
+    p = table(spark, sf_dir, "pages").select("page_id", F.inline(C.tag_sections(F.col("html"))))
     return p.select("page_id", "tag", F.length("content").cast("long").alias("size"), F.md5("content").alias("digest"), F.when(F.col("tag") == "article", 0.9).when(F.col("tag") == "nav", 0.6).otherwise(0.4).alias("importance"))
 
 

@@ -83,6 +83,20 @@ def test_sections_and_windows(spark):
     assert [(r["start_line"], r["end_line"]) for r in w] == [(1, 4), (5, 6)]
 
 
+def test_tag_sections(spark):
+    pages = [
+        (1, "<nav a='1'>x</nav><main>m\n<article>in</article></main><article>p</article>\n<ARTICLE>q</ARTICLE><aside></aside><footer>f</footer>"),
+        (2, "one\ntwo\n \n\nthree <navy>n</navy>\n\n"), (3, None), (4, "<header>a</header><section>b</section><section>c</section>"),
+    ]
+    df = spark.createDataFrame(pages, "id int, html string")
+    got = {r["id"]: [tuple(x) for x in r["s"]] for r in df.select("id", C.tag_sections(F.col("html")).alias("s")).collect() if r["s"] is not None}
+    assert got == {
+        1: [("nav", "x"), ("main", "m\n<article>in</article>"), ("article", "p"), ("article", "q"), ("footer", "f")],
+        2: [("section_0", "one\ntwo"), ("section_1", "three <navy>n</navy>")],
+        4: [("header", "a"), ("section", "b"), ("section", "c")],
+    }
+
+
 def test_code_blocks(spark):
     js = "class A {\n  run() { if (a) { b(); } }\n}\nfunction f(x) { return x && y; }\n"
     py = "class P:\n    def m(self):\n        return 1\n\n\ndef g():\n    for i in x:\n        pass\nz = 1\n"
