@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,22 +16,26 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.withColumn("instability", F.col("fan_out") / (F.col("fan_out") + F.col("fan_in")))
 
 
-def reachable(spark, edges: DataFrame, starts: DataFrame, most_steps: int = 20) -> DataFrame:
+def reachable(spark, edges: DataFrame, starts: DataFrame, most_steps: int | None = None) -> DataFrame:
     """(start, node, steps): nodes that each start reaches and the fewest edges needed.
 
-    The frontier of new nodes is joined to the edges; the visited table is cut
-    off with a checkpoint each few rounds where a checkpoint folder is set.
+    The frontier of new nodes is joined to the edges until no node is new.  New
+    nodes are cut off with a checkpoint each round where a checkpoint folder is
+    set.  If ``most_steps`` is given, more steps are an error, never a shorter result.
     """
     edges = edges.select("source", "target").distinct()
     frontier = starts.select(F.col("node").alias("start"), "node")
     seen = None
-    for step in range(1, most_steps + 1):
+    for step in count(1):
         found = frontier.join(edges, frontier["node"] == edges["source"]).select("start", F.col("target").alias("node")).distinct()
         if seen is not None:
             found = found.join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        found = found.withColumn("steps", F.lit(step)).persist()
+        found = found.withColumn("steps", F.lit(step))
+        found = found.checkpoint() if spark.sparkContext.getCheckpointDir() else found.persist()
         if found.isEmpty():
             break
+        if most_steps is not None and step > most_steps:
+            raise RuntimeError(f"nodes are more than {most_steps} steps away")
         seen = found if seen is None else seen.unionByName(found)
         frontier = found.select("start", "node")
         if step % 5 == 0 and spark.sparkContext.getCheckpointDir():
@@ -37,11 +43,13 @@ def reachable(spark, edges: DataFrame, starts: DataFrame, most_steps: int = 20)
     return seen if seen is not None else frontier.withColumn("steps", F.lit(0)).limit(0)
 
 
-def weak_components(spark, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, component): the smallest node of each weakly connected component."""
+def weak_components(spark, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, component): the smallest node of each weakly connected component; more than ``rounds`` rounds, if given, are an error."""
     both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
     label = both.groupBy(F.col("source").alias("node")).agg(F.least(F.min("target"), F.first("source")).alias("component"))
-    for i in range(rounds):
+    for i in count():
+        if rounds is not None and i >= rounds:
+            raise RuntimeError(f"components are not settled after {rounds} rounds")
         near = both.join(label.select(F.col("node").alias("target"), "component"), "target").groupBy(F.col("source").alias("node")).agg(F.min("component").alias("near"))
         new = label.join(near, "node").select("node", F.least("component", "near").alias("new"), "component")
         # a label points at a node whose own label may be smaller already

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -132,6 +133,16 @@ def test_changes(spark):
     assert incremental.changes(old, old).isEmpty()
 
 
+def test_long_paths(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(23)] + [(23, 0)], "source int, target int")
+    start = spark.createDataFrame([(0,)], "node int")
+    assert {tuple(x) for x in graph.reachable(spark, e, start).collect()} == {(0, i, i or 24) for i in range(24)}
+    with pytest.raises(RuntimeError):
+        graph.reachable(spark, e, start, 3)
+    with pytest.raises(RuntimeError):
+        graph.weak_components(spark, e, 1)
+
+
 def test_graph(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5), (8, 9)], "source int, target int")
     r = graph.reachable(spark, e, e.select(F.col("source").alias("node")).distinct())
