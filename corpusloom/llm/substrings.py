@@ -12,8 +12,10 @@ smaller id.
     Elsewhere the windows of its places are compared one by one.
 3.  The recurring phrases of the documents in a task are compiled into
     Aho-Corasick automata, a shard for each few hundred documents, and those
-    documents are streamed through to locate the occurrences, around which
-    windows are hashed, spans verified and words removed.
+    documents are streamed through to confirm the positions of their places,
+    around which windows are hashed, spans verified and words removed.  What is
+    removed is decided by the grouping of step 2 alone; documents without a
+    place are not streamed.
 
 Work per place is constant, so a passage that many documents share costs no
 more than its occurrences.
