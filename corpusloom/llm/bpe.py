@@ -3,12 +3,16 @@
 The pieces of a text (words with their leading space, and the like) are looked
 up in a bounded memory of each worker.  New pieces are encoded together:
 
-*speculate*: a dense trie is walked for all of them in step, which proposes the
-longest token at each place;
+*speculate*: a trie, kept as one sorted array, is walked for all of them in step,
+which proposes the longest token at each place;
 *verify*: the proposal is the BPE encoding exactly if each token encodes to
 itself and each two neighbours encode to themselves when joined.  Neighbours are
 looked up in a sorted table; those not seen before are merged once.
-Only pieces that fail are merged exactly, rank by rank.
+Only pieces that fail are merged exactly, rank by rank.  A piece longer than
+``LONGEST`` is merged exactly at once.
+
+What a worker remembers is bounded by ``MEMORY`` pieces and as many pairs and
+forgotten as a whole beyond it, so a worker stays under about 200 MB.
 """
 
 from __future__ import annotations
@@ -28,9 +32,9 @@ from .shared import documents
 
 #: Characters of text that are encoded together.
 CHUNK_CHARS = 2_000_000
-#: Pieces that a worker remembers, and longest piece that it does.
-MEMORY = 1_500_000
-LONGEST = 64
+#: Pieces, and pairs of tokens, that a worker remembers; and the longest piece, in bytes, that is proposed token by token.
+MEMORY = 200_000
+LONGEST = 256
 
 
 def _byte_letters() -> dict[str, int]:
@@ -77,8 +81,6 @@ class Codec:
             self.result.append(vocab[a + b])
         self._trie(vocab)
         self.valid = np.full(len(self.bytes), -1, np.int8)  # whether a token encodes to itself
-        self.pairs = np.zeros(0, np.int64)
-        self.fits = np.zeros(0, bool)
         self.forget()
 
     def _trie(self, vocab: dict[bytes, int]) -> None:
@@ -94,16 +96,23 @@ class Codec:
                     token.append(-1)
                 node = to
             token[node] = i
-        self.next = np.zeros(len(child) * 256, np.int32)  # 0: none; the root is no child
-        for node, out in enumerate(child):
-            for b, to in out.items():
-                self.next[node * 256 + b] = to
+        # one sorted array of node * 256 + byte; searched by bisection
+        moves = np.array([(node * 256 + b, to) for node, out in enumerate(child) for b, to in sorted(out.items())], np.int64)
+        self.moves, self.next = np.append(moves[:, 0], np.iinfo(np.int64).max), np.append(moves[:, 1], 0).astype(np.int32)
         self.token = np.array(token, np.int32)
 
+    def _child(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The node behind a byte, or 0: the root is no child."""
+        keys = node * 256 + byte
+        at = np.searchsorted(self.moves, keys)
+        return np.where(self.moves[at] == keys, self.next[at], 0).astype(np.int64)
+
     def forget(self) -> None:
         self.seen = _Seen()
         self.ids = np.zeros(1 << 16, np.uint16 if len(self.bytes) <= 65536 else np.int32)
         self.first = np.zeros(1 << 16, np.int64)  # ids of piece n: first[n]:first[n + 1]
+        self.pairs = np.zeros(0, np.int64)
+        self.fits = np.zeros(0, bool)
 
     def exact(self, piece: bytes) -> list[int]:
         """Merges a piece, lowest rank first, leftmost first."""
@@ -163,7 +172,7 @@ class Codec:
             best, size = np.full(len(piece), -1, np.int32), np.zeros(len(piece), np.int64)
             live, node, depth = np.arange(len(piece)), np.zeros(len(piece), np.int64), 0
             while len(live):
-                node = self.next[node * 256 + flat[at[live] + depth]].astype(np.int64)
+                node = self._child(node, flat[at[live] + depth])
                 depth += 1
                 go = node > 0
                 live, node = live[go], node[go]
@@ -206,8 +215,8 @@ class Codec:
         raw = [p.encode("utf-8", "surrogatepass") for p in fresh]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         end = np.cumsum(sizes)
-        of, tokens = self._propose(np.frombuffer(b"".join(raw), np.uint8), end - sizes, end)
-        bad = np.zeros(len(raw), bool)
+        bad = sizes > LONGEST
+        of, tokens = self._propose(np.frombuffer(b"".join(raw), np.uint8), end - sizes, np.where(bad, end - sizes, end))
         unknown = np.unique(tokens)
         unknown = unknown[self.valid[unknown] < 0]
         for t in unknown.tolist():
@@ -240,7 +249,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the tokenizers library gives them without special tokens added."""
-        if len(self.seen) > MEMORY:
+        if max(len(self.seen), len(self.pairs)) > MEMORY:
             self.forget()
         pieces: list[str] = []
         cuts, marks = [0], {}
@@ -304,8 +313,12 @@ def encoded_batches(pdf: pd.DataFrame, path: str) -> Iterator[tuple[int, int, li
 def roundtrip(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Columns of ``docs`` but text, with n_tokens, ids_sha256, decoded_sha256 (and ids array<int>).
 
-    A null text is encoded as an empty one, which has no ids.  ``path`` names
-    the vocabulary file, which every worker must be able to open.
+    A null text is encoded as an empty one, which has no ids; its digests are
+    those of nothing.  Texts of any length are encoded whole.  Equal texts have
+    equal ids, so repeated rows give repeated results; an empty table gives an
+    empty one.  Columns of the names above are replaced, others returned as
+    they are.  ``path`` names the vocabulary file, which every worker must be
+    able to open.  Where two merges of equal rank apply, the left one is taken.
     """
     path = path or default_path()
     own = [c for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256", "ids")]

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of the edges (a, b): the smallest node that is connected to it.
 
     Alternates large-star and small-star steps: each node links its larger,
-    then its smaller neighbours to the smallest one, until nothing moves.  Every
+    then its smaller neighbours to the smallest one, until nothing moves; how
+    many rounds that takes grows with the logarithm of the longest path.  Every
     step is one grouping; edges are written to the shared folder in between.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         # large star: neighbours above a node are linked to the least around it
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))

@@ -7,12 +7,17 @@ sample holds long matches needs few phrases; phrases are normalised by the
 letters read and by the log of the sample's size, and the fewest wins.
 
 The automata have at most ``2 * SAMPLE_CHARS`` states and ``3 * SAMPLE_CHARS``
-transitions a language, whatever its alphabet.  They are dense tables while all
-of them together fit in ``DENSE_BYTES``, else sorted lists of transitions; both
-give the same phrases.  Every letter of the samples has its own code, and every
-labelled language is learned.  Inside a task many pieces of text
-are parsed in step with numpy; a long text is cut into pieces whose phrases add
-up, so all of it is read.
+transitions a language, whatever its alphabet.  Most states have one transition,
+which is stored as such; the others are rows of a table while a language's table
+fits in ``DENSE_BYTES``, else all are a sorted list of transitions.  Both forms
+give the same phrases and take a few MB a language.  Every letter of the samples
+has its own code, and every labelled language is learned.
+
+Inside a task many pieces of text are parsed in step with numpy.  A piece is
+first parsed as if a phrase began at its first letter; then the phrase that the
+piece before it left open is carried on into it until both parses begin a phrase
+at the same letter, from where they agree.  So the phrases of a text are those of
+one parse from its first to its last letter, however long it is.
 """
 
 from __future__ import annotations
@@ -29,10 +34,11 @@ from .shared import crc_remainder, documents
 #: Bound of the labelled text of each language, in characters, and of the documents that it is taken from.
 SAMPLE_CHARS = 24_000
 SAMPLE_DOCS = 48
-#: Lengths of documents that may be sampled; each is used whole.
+#: Lengths of documents that are sampled first; others only where a language has too few.
 SAMPLE_LENGTHS = (300, 6_000)
-#: Automata larger than this in all are kept as lists instead of dense tables.
-DENSE_BYTES = 128 << 20
+#: The table of one language's automaton takes no more than this; beyond it transitions are a list.
+DENSE_BYTES = 16 << 20
+#: Letters of a piece that is parsed in step with others.
 PIECE = 400
 BATCH_CHARS = 3_000_000
 UNKNOWN = "und"
@@ -59,11 +65,8 @@ def coded(text: str, codes: np.ndarray) -> np.ndarray:
     return c[keep]
 
 
-def automaton(sequence: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Transitions of the suffix automaton of ``sequence``: (state * width + code, state * width) and a further state * width.
-
-    The further state has none: from it any code begins a phrase.
-    """
+def automaton(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Transitions (state, code, next state) of the suffix automaton of ``sequence``, sorted, and its number of states."""
     nexts, link, length, last = [{}], [-1], [0], 0
     for c in sequence.tolist():
         state = len(nexts)
@@ -88,34 +91,96 @@ def automaton(sequence: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray,
                     p = link[p]
                 link[q] = link[state] = twin
         last = state
-    moves = np.array([(s * width + c, to * width) for s, out in enumerate(nexts) for c, to in sorted(out.items())], np.int64).reshape(-1, 2)
-    return moves[:, 0], moves[:, 1], len(nexts) * width
+    moves = np.array([(s, c, to) for s, out in enumerate(nexts) for c, to in sorted(out.items())], np.int64).reshape(-1, 3)
+    return moves[:, 0], moves[:, 1], moves[:, 2], len(nexts)
 
 
 class Dense:
-    """Transitions in a table of all states and codes; -1 where there is none."""
+    """States with one transition keep it; the others have rows in a table.  -1 where there is none, as behind state ``n``."""
+
+    def __init__(self, state: np.ndarray, code: np.ndarray, to: np.ndarray, n: int, width: int):
+        out = np.bincount(state, minlength=n + 1)
+        one = out[state] == 1
+        self.code, self.to, self.row = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int32)
+        self.code[state[one]], self.to[state[one]] = code[one], to[one]
+        several = np.flatnonzero(out > 1)
+        self.row[several] = (np.arange(len(several)) + 1) * width
+        self.table = np.full((len(several) + 1) * width, -1, np.int32)
+        self.table[self.row[state[~one]] + code[~one]] = to[~one]
 
-    def __init__(self, keys: np.ndarray, to: np.ndarray, nowhere: int, width: int):
-        self.nowhere = nowhere
-        self.table = np.full(nowhere + width, -1, np.int32)
-        self.table[keys] = to
+    @staticmethod
+    def size(state: np.ndarray, n: int, width: int) -> int:
+        return 4 * width * int((np.bincount(state, minlength=n) > 1).sum() + 1)
 
-    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
-        return self.table[keys]
+    def step(self, at: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return np.where(self.code[at] == code, self.to[at], self.table[self.row[at] + code])
 
 
 class Listed:
     """Transitions in ascending order, found by bisection; -1 where there is none."""
 
-    def __init__(self, keys: np.ndarray, to: np.ndarray, nowhere: int, width: int):
-        self.nowhere = nowhere
-        self.keys = np.append(keys, np.iinfo(np.int64).max)
-        self.to = np.append(to, -1)
+    def __init__(self, state: np.ndarray, code: np.ndarray, to: np.ndarray, n: int, width: int):
+        self.width = width
+        self.keys = np.append(state * width + code, np.iinfo(np.int64).max)
+        self.to = np.append(to, -1).astype(np.int32)
 
-    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
-        keys = keys.astype(np.int64)
+    def step(self, at: np.ndarray, code: np.ndarray) -> np.ndarray:
+        keys = at.astype(np.int64) * self.width + code
         i = np.searchsorted(self.keys, keys)
-        return np.where(self.keys[i] == keys, self.to[i], -1)
+        return np.where(self.keys[i] == keys, self.to[i], np.int32(-1))
+
+
+class Pieces:
+    """Texts as codes, cut into pieces of at most ``PIECE``."""
+
+    def __init__(self, sequences: list[np.ndarray], kind: np.dtype):
+        self.sizes = np.array([len(s) for s in sequences], np.int64)
+        n = (self.sizes + PIECE - 1) // PIECE
+        self.flat = np.concatenate([*sequences, np.zeros(1, kind)])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        owner = np.repeat(np.arange(len(sequences)), n)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        self.begin = self.starts[:-1][owner] + nth * PIECE
+        self.length = np.minimum(self.sizes[owner] - nth * PIECE, PIECE)
+        self.order = np.argsort(-self.length, kind="stable")
+        self.later = np.flatnonzero(nth > 0)
+
+    def phrases(self, table: Dense | Listed, nowhere: int) -> np.ndarray:
+        """Where phrases begin: one flag for each code of ``flat``."""
+        begins = np.zeros(len(self.flat), bool)
+        end = np.full(len(self.begin), nowhere, np.int32)
+        root = np.zeros(len(self.begin), np.int32)
+
+        def moved(at: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            to = table.step(at, c)
+            lost = to < 0
+            if lost.any():
+                again = table.step(root[: int(lost.sum())], c[lost])
+                to[lost] = np.where(again < 0, nowhere, again)  # a code that no sample has is a phrase of its own
+            return to, lost
+
+        # each piece by itself, the longest first
+        length, begin = self.length[self.order], self.begin[self.order]
+        at = np.full(len(begin), nowhere, np.int32)
+        for step, m in enumerate(np.searchsorted(-length, -np.arange(int(length.max(initial=0))), side="left")):  # m pieces are longer than the step
+            place = begin[:m] + step
+            at[:m], begins[place] = moved(at[:m], self.flat[place])
+        end[self.order] = at
+        # phrases that run on from the piece before
+        used = np.full(len(end), nowhere, np.int32)
+        while len(live := self.later[end[self.later - 1] != used[self.later]]):
+            at = used[live] = end[live - 1]
+            step = 0
+            while len(live):
+                place = self.begin[live] + step
+                to, lost = moved(at, self.flat[place])
+                met = lost & begins[place]  # from here on both parses agree
+                begins[place] = lost
+                over = ~met & (step + 1 >= self.length[live])
+                end[live[over]] = to[over]
+                live, at = live[~met & ~over], to[~met & ~over]
+                step += 1
+        return begins
 
 
 class Model:
@@ -126,44 +191,19 @@ class Model:
         self.codes = _alphabet(samples)
         self.width = int(self.codes.max()) + 1
         sequences = [coded(samples[lang], self.codes) for lang in self.languages]
-        moves = [automaton(s, self.width) for s in sequences]
-        kind = Dense if sum(4 * (nowhere + self.width) for _, _, nowhere in moves) <= DENSE_BYTES else Listed
-        self.tables = [kind(*m, self.width) for m in moves]
+        moves = [automaton(s) for s in sequences]
+        self.nowhere = [m[3] for m in moves]
+        self.tables = [(Dense if Dense.size(m[0], m[3], self.width) <= DENSE_BYTES else Listed)(*m, self.width) for m in moves]
         self.norm = [float(np.log2(max(len(s), 2))) for s in sequences]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases needed in each language, codes read) of each text."""
-        seqs = [coded(t, self.codes) for t in texts]
-        sizes = np.array([len(s) for s in seqs])
-        pieces = (sizes + PIECE - 1) // PIECE
-        owner = np.repeat(np.arange(len(seqs)), pieces)
-        flat = np.concatenate([*seqs, np.zeros(1, self.codes.dtype)])
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = starts[owner] + nth * PIECE
-        length = np.minimum(sizes[owner] - nth * PIECE, PIECE)
-        order = np.argsort(-length, kind="stable")
-        begin, length, owner = begin[order], length[order], owner[order]
-        counts = np.zeros((len(texts), len(self.languages)))
-        if not len(owner):
-            return counts, sizes
-        active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # pieces longer than the step
-        for k, table in enumerate(self.tables):
-            nowhere = table.nowhere
-            at = np.full(len(owner), nowhere, np.int32 if isinstance(table, Dense) else np.int64)
-            n = np.zeros(len(owner), np.int32)
-            for step in range(int(length[0])):
-                m = active[step]
-                c = flat[begin[:m] + step]
-                to = table[at[:m] + c]
-                lost = np.flatnonzero(to < 0)
-                if len(lost):
-                    n[lost] += 1
-                    again = table[c[lost]]
-                    to[lost] = np.where(again < 0, nowhere, again)  # a code that no sample has is a phrase of its own
-                at[:m] = to
-            counts[:, k] = np.bincount(owner, weights=n, minlength=len(texts))
-        return counts, sizes
+        pieces = Pieces([coded(t, self.codes) for t in texts], self.codes.dtype)
+        counts = np.zeros((len(texts), len(self.languages)), np.int64)
+        for k, (table, nowhere) in enumerate(zip(self.tables, self.nowhere, strict=True)):
+            total = np.concatenate([[0], np.cumsum(pieces.phrases(table, nowhere))])
+            counts[:, k] = total[pieces.starts[1:]] - total[pieces.starts[:-1]]
+        return counts, pieces.sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         lettered = np.array([isinstance(t, str) and any(map(str.isalpha, t)) for t in texts], bool)
@@ -182,26 +222,32 @@ class Model:
 def learn(docs: DataFrame) -> Model:
     """A model of every non-null lang of the given rows, from their texts.
 
-    At most ``SAMPLE_DOCS`` whole documents of each language, those with the
-    smallest hashes, and ``SAMPLE_CHARS`` characters come to the driver.
+    At most ``SAMPLE_DOCS`` documents of each language, those with the smallest
+    hashes, and the first ``SAMPLE_CHARS`` characters of each come to the
+    driver, which joins them up to ``SAMPLE_CHARS``.  Rows without text or lang
+    are left out; equal texts of a language are used once; documents of equal
+    hashes have equal texts.  Without any such row the model knows no language.
     """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     fits = F.length("text").between(*SAMPLE_LENGTHS)
-    ranked = rows.select("lang", "text", fits.alias("fits"), F.xxhash64("text").alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("fits"), "h")))
-    chosen = ranked.where(F.col("n") <= SAMPLE_DOCS).select("lang", "n", "text").orderBy("lang", "n")
+    ranked = rows.select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), fits.alias("fits"), F.xxhash64("text").alias("h"))
+    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("fits"), "h")))
     samples: dict[str, str] = {}
-    seen: set[str] = set()
-    for lang, _, text in chosen.toLocalIterator():
-        if text not in seen and len(samples.get(lang, "")) < SAMPLE_CHARS:
-            seen.add(text)
-            samples[lang] = samples.get(lang, "") + "\n" + text[: SAMPLE_CHARS]
-    return Model({k: v[: SAMPLE_CHARS] for k, v in samples.items()})
+    seen: set[tuple[str, str]] = set()
+    for lang, _, text in ranked.where(F.col("n") <= SAMPLE_DOCS).select("lang", "n", "text").orderBy("lang", "n").toLocalIterator():
+        if (lang, text) not in seen and len(samples.get(lang, "")) < SAMPLE_CHARS:
+            seen.add((lang, text))
+            samples[lang] = samples.get(lang, "") + "\n" + text
+    return Model({k: v[:SAMPLE_CHARS] for k, v in samples.items()})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score (a column of that name is replaced).
+    """All columns of ``docs`` with lang_pred and score (columns of these names are replaced).
 
-    ``und`` with score 0 if the text is null or has no letter.
+    ``und`` with score 0 if the text is null, empty or has no letter, or if the
+    model knows no language.  Of languages that need equally many phrases the
+    first in order of their names is taken.  Repeated rows give repeated
+    results, an empty table an empty one; texts of any length are parsed whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]

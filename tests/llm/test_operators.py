@@ -359,17 +359,25 @@ def test_every_labelled_language_is_learned(spark):
 
 
 def test_cross_parsing_is_exact():
+    """Phrases are those of one parse of the whole text, also where they run over several pieces."""
     rng = random.Random(1)
-    sample, text = "".join(rng.choice("abc ") for _ in range(300)), "".join(rng.choice("abcd ") for _ in range(390))
+    sample = "".join(rng.choice("abc ") for _ in range(5000))
+    texts = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (1, 390, 1700)]
+    texts += [sample[100:4100], sample[7:1500] + "d" + sample[2000:4000], sample[:900] * 3, ""]
     model = language.Model({"x": sample})
-    train, seq = bytes(language.coded(sample, model.codes)), bytes(language.coded(text, model.codes))
-    n, at = 0, 0
-    while at < len(seq):
-        size = 1
-        while at + size < len(seq) and seq[at : at + size + 1] in train:
-            size += 1
-        n, at = n + 1, at + size
-    assert model.phrases([text])[0][0, 0] == n
+
+    def brute(text):
+        train, seq = bytes(language.coded(sample, model.codes)), bytes(language.coded(text, model.codes))
+        n, at = 0, 0
+        while at < len(seq):
+            size = 1
+            while at + size < len(seq) and seq[at : at + size + 1] in train:
+                size += 1
+            n, at = n + 1, at + size
+        return n
+
+    got = model.phrases(texts)[0][:, 0].tolist()
+    assert got == [brute(t) for t in texts] and got[3] == 1
 
 
 def test_mixing(spark, docs, none):
@@ -379,12 +387,29 @@ def test_mixing(spark, docs, none):
     assert mixing.mixed(none).isEmpty() and set(mixing.sampled(docs).columns) == set(docs.columns)
     cells = spark.createDataFrame([("a", "en", "t", 700), ("a", "fr", "t", 100), ("b", "en", "u", 150), ("b", "fr", "t", 50), ("a", "en", "u", 100)], "source string, lang string, topic string, tokens long")
     target = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.6, "fr": 0.4}, "topic": {"t": 0.7, "u": 0.3}}
-    raked = mixing.rake(cells, sweeps=60, targets=target)
+    raked = mixing.rake(cells, targets=target)
     for d, want in target.items():
         for r in raked.groupBy(d).agg(F.sum("weight").alias("w")).collect():
-            assert abs(r["w"] - want[r[d]]) < 1e-3
-    p = mixing.calibrated(raked, 0.5)
-    assert abs(p.agg((F.sum(F.col("probability") * F.col("tokens")) / F.sum("tokens")).alias("s")).first()["s"] - 0.5) < 1e-6
+            assert abs(r["w"] - want[r[d]]) < 1e-6
+    assert raked.agg(F.max("residual")).first()[0] <= mixing.TOLERANCE
+    for keep in (0.1, 0.5, 0.95, 1.0):
+        p = mixing.calibrated(raked, keep)
+        assert p.where("probability NOT BETWEEN 0 AND 1").isEmpty()
+        assert abs(p.agg((F.sum(F.col("probability") * F.col("tokens")) / F.sum("tokens")).alias("s")).first()["s"] - keep) < 1e-6
+    impossible = mixing.rake(cells.where("source = 'a'"), targets={"source": {"b": 1.0}})
+    assert impossible.count() == 3
+
+
+def test_mixing_leaves_columns_alone(spark):
+    """Columns of the names that the operator uses itself come back as they were; repeated and empty rows follow their id."""
+    rows = [(i % 30, None if i == 4 else "a b " * (i % 7), "en", None, f"t{i}", "x", f"p{i}", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string, tokens string, probability string, row long")
+    got = mixing.sampled(df, keep=0.6, topic=F.col("topic"))
+    assert got.columns == df.columns
+    kept = [tuple(r) for r in got.collect()]
+    assert set(kept) <= set(rows) and 0 < len(kept) < len(rows)
+    chosen = {r["row"] for r in df.withColumn("k", F.lit(0)).collect()} & {r[7] for r in kept}
+    assert len(chosen) == len(kept)
 
 
 def test_toxicity(spark, none):
