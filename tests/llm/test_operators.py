@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,28 +247,24 @@ def test_bpe_random_texts():
         assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids and coder.decode(ids) == t
 
 
-def removed(pairs, window):
-    words = {}
+def removed(pairs, window, doc_id, text):
+    """Words, removed words and the digest of what is left of one row, by brute force."""
+    words = (text or "").encode().split()
+    before = set()
     for i, t in pairs:
-        words.setdefault(i, []).append((t or "").encode().split())
-    first = {}
-    for i in sorted(words):
-        for w in words[i]:
-            for k in range(len(w) - window + 1):
-                first.setdefault(tuple(w[k : k + window]), i)
-    out = {}
-    for i, several in words.items():
-        for w in several:
-            gone = [False] * len(w)
-            for k in range(len(w) - window + 1):
-                if first[tuple(w[k : k + window])] < i:
-                    gone[k : k + window] = [True] * window
-            out[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())
-    return out
+        if i < doc_id:
+            other = (t or "").encode().split()
+            before |= {tuple(other[k : k + window]) for k in range(len(other) - window + 1)}
+    gone = [False] * len(words)
+    for k in range(len(words) - window + 1):
+        if tuple(words[k : k + window]) in before:
+            gone[k : k + window] = [True] * window
+    return len(words), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(words, gone, strict=True) if not g)).hexdigest()
 
 
 def test_substrings(docs, none):
-    want = removed([(r[0], r[1]) for r in KNOWN], 50)
+    pairs = [(r[0], r[1]) for r in KNOWN]
+    want = {i: removed(pairs, 50, i, t) for i, t in pairs}
     got = substrings.dedup(docs)
     assert "text" not in got.columns and got.count() == len(ROWS)
     for r in got.collect():
@@ -278,14 +275,27 @@ def test_substrings(docs, none):
     assert substrings.dedup(none).isEmpty()
 
 
-def test_substrings_small_alphabet(spark):
-    rng = random.Random(2)
+@pytest.mark.parametrize("seed", range(3))
+def test_substrings_small_alphabet(spark, seed):
+    """Periodic texts, many equal windows, several rows of one id with different texts."""
+    rng = random.Random(seed)
     texts = [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 90))) for _ in range(40)]
-    texts += [texts[3] + " " + texts[5], texts[7][10:]]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = removed(list(enumerate(texts)), 12)
-    for r in substrings.dedup(df, window=12).collect():
-        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]]
+    texts += [texts[3] + " " + texts[5], texts[7][10:], "a " * 200, "a b " * 70, "x " + "a b " * 30, texts[3]]
+    pairs = [(i if i % 5 else i // 10, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    want = Counter((i, *removed(pairs, 12, i, t)) for i, t in pairs)
+    assert Counter(tuple(r) for r in substrings.dedup(df, window=12).collect()) == want
+    assert max(len([1 for p in pairs if p[0] == i]) for i, _ in pairs) > 1
+
+
+def test_substrings_are_located_by_the_automaton(spark, monkeypatch):
+    """Without what the automaton reports nothing is removed."""
+    df = spark.createDataFrame([(i, f"own{i} " + PASSAGE) for i in range(3)], "doc_id long, text string")
+    rows = pd.DataFrame({"doc_id": [1], "text": ["own1 " + PASSAGE], "op6_places": [None]})
+    assert [r["n_removed"] for r in substrings.dedup(df).orderBy("doc_id").collect()] == [0, 70, 70]
+    assert next(substrings._remove(50, False, ["doc_id"])(iter([rows])))["n_removed"].tolist() == [0]
+    shard = substrings.Shard([b"x a b c d e f g h y", b"a b c d e f g h"], [b"a b c d e f g h"])
+    assert shard.located(np.array([0, 10, 18])).tolist() == [-1, 0] + [-1] * 8 + [0] + [-1] * 7
 
 
 def test_quality(docs, none):

@@ -25,7 +25,7 @@ def test_stages(spark, tmp_path):
     label = classes(list(worded.items()))
     assert sorted(r["doc_id"] for r in out["MinHash near-dedup"]) == sorted(set(label.values()))
     left = {r["doc_id"]: r["text"] for r in out["MinHash near-dedup"]}
-    want = removed(list(left.items()), 50)
+    want = {i: removed(list(left.items()), 50, i, t) for i, t in left.items()}
     got = {r["doc_id"]: r["text"] for r in out["substring dedup"]}
     assert set(got) == {i for i, (n, k, _) in want.items() if k < n or not n}
     for i, t in got.items():
