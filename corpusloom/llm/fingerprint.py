@@ -3,203 +3,243 @@
 A text is cut into paragraphs (lines, cut again at sentence ends and after
 ``PIECE`` characters) and each becomes a 64-bit digest; the n-th repetition of
 a paragraph has a digest of its own, so a text is a *set* of digests.  A sketch
-has ``HASHES`` sub-tables; a digest lies in one cell of each.  A cell holds the
-number of its digests, their exclusive or, and the exclusive or of a check
-hash.  Two versions are compared by subtracting cell from cell, which leaves
-the differing digests only, and peeling: a cell with a single digest gives it
-away, and the digest is taken out of the other sub-tables.  If cells remain, the
-pair is retried on a sketch eight times larger with other hashes.
-
-Cells are rows.  The table is dealt out once, by ranges of ``doc_id``, and
-every grouping below contains that range, so that building, subtracting,
-peeling and retrying need no further shuffle.
+is an array of ``HASHES`` sub-tables of ``CELLS`` cells; a digest lies in one
+cell of each.  A cell holds the number of its digests, their exclusive or, and
+the exclusive or of a check hash.  The fingerprint of a text is its sketch,
+written as text; it has the same size however long the text is.
+
+Two versions are compared by subtracting fingerprint from fingerprint, cell by
+cell, which leaves the differing digests only, and peeling: a cell with a single
+digest gives it away, and the digest is taken out of the other sub-tables.  A
+fingerprint is sized for a small difference.  Where cells remain, the pair is
+retried on a sketch sized by both texts, cut into blocks of the same shape by
+the digests' hashes; a block that fails is retried on four blocks with other
+hashes, and what not even these give away (a few digests in millions) is told
+by comparing the digests of that block.
+
+All of this is array functions inside one row; the only shuffle brings each
+text beside its next one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, let
+from .shared import documents, let, size_of_text
 
 PIECE = 200
 HASHES = 3
-#: Cells in each sub-table of the serialised fingerprint.
-PRINT_CELLS = 8
-#: (factor of the sub-table's cells, peeling steps) of the first try and of the retry.
-TRIES = ((1, 9), (8, 6))
-LEAST_CELLS = 64
-RANGES = 512
+#: Cells of each sub-table.
+CELLS = 8
+#: Digests of both sides that a block of the larger sketch is meant for, and blocks that are dealt out in one step.
+BLOCK = 10
+SUPER = 64
+#: Rounds of peeling; each takes out all digests that lie alone in a cell.
+ROUNDS = 10
+#: Quantiles of the ids that the driver holds, and bytes of text in each range of ids; there are more ranges than quantiles only beyond their product.
+QUANTILES = 512
+RANGE_BYTES = 64 << 20
+
+FOUND = "array<struct<n:int,k:bigint>>"
 
 
 def digests(text: Column) -> Column:
-    """The set of paragraph digests of a text; null and empty texts have none."""
+    """The set of paragraph digests of a text, sorted; null and empty texts have none."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\n.!?]{{1,{PIECE}}}[\n.!?]*|[\n.!?]+"), F.lit(0))
-    # equal digests stand together; the distance to the first of them tells repetitions apart
-    return let(
-        F.array_sort(F.transform(pieces, lambda p: F.xxhash64(p))),
-        lambda once: F.when(F.size(F.array_distinct(once)) == F.size(once), once).otherwise(
-            F.transform(once, lambda d, i: F.when((i > 0) & (F.get(once, i - 1) == d), F.xxhash64(d, i - F.array_position(once, d).cast("int"))).otherwise(d))
-        ),
-    )
 
+    def told_apart(once: Column) -> Column:
+        """Equal digests stand together; each run is numbered from where it begins."""
+        begins = F.filter(F.sequence(F.lit(0), F.size(once) - 1), lambda i: (i == 0) | (F.get(once, i) != F.get(once, i - 1)))
+        run = lambda begins: F.flatten(F.transform(begins, lambda b, j: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(begins, j + 1), F.size(once)) - b - 1), lambda q: F.when(q == 0, F.get(once, b)).otherwise(F.xxhash64(F.get(once, b), q)))))
+        return let(begins, run)
 
-def sketch(keys: Column, cells: int = PRINT_CELLS) -> Column:
-    """A sketch of ``HASHES * cells`` cells as text: per cell a count (4 hex digits), keys (16) and checks (8)."""
+    return let(F.array_sort(F.transform(pieces, lambda p: F.xxhash64(p))), lambda once: F.when(F.size(F.array_distinct(once)) == F.size(once), once).otherwise(told_apart(once)))
 
-    def cell(keys: Column, index: Column) -> Column:
-        own = F.filter(keys, lambda k: F.pmod(F.call_function("shiftright", k, (F.floor(index / cells) * 16).cast("int")), F.lit(cells)) == F.pmod(index, F.lit(cells)))
-        return let(
-            own,
-            lambda own: F.concat(
-                F.lpad(F.hex(F.pmod(F.size(own), F.lit(65536)).cast("long")), 4, "0"),
-                F.lpad(F.hex(F.aggregate(own, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(k))), 16, "0"),
-                F.lpad(F.hex(F.pmod(F.aggregate(own, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.xxhash64(k))), F.lit(1 << 32))), 8, "0"),
-            ),
-        )
 
-    return F.lower(let(keys, lambda keys: F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(HASHES * cells - 1)), lambda i: cell(keys, i)))))
+def _shifted(name: str, x: Column | int, by: Column) -> Column:
+    return F.call_function(name, F.lit(x) if isinstance(x, int) else x, by.cast("int"))
 
 
-#: A cell's address is one number: ((cell * 64 + log2 of the sub-table's cells) * PAIRS + pair) * 4 + sub-table, where sub-table 3 stands for what was recovered.
-PAIRS = 4
-RECOVERED = 3
-FOUND = "array<struct<pair:int,sign:int,n:bigint,rec:bigint>>"
+def _check(key: Column) -> Column:
+    return F.xxhash64(key, F.lit(HASHES)).bitwiseAND(F.lit((1 << 32) - 1))
 
 
-def _place(key: Column, table: int, lg: Column, seed: int) -> Column:
-    """The cell of a digest in a sub-table of 2**lg cells."""
-    return F.call_function("shiftrightunsigned", F.xxhash64(key, F.lit(seed * HASHES + table)), (F.lit(64) - lg).cast("int"))
+def _mask(h: Column) -> Column:
+    """The cells of a digest, one of each sub-table, as bits."""
+    bits = [_shifted("shiftleft", 1 << (CELLS * t), _shifted("shiftright", h, F.lit(3 * t)).bitwiseAND(F.lit(CELLS - 1))) for t in range(HASHES)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
 
-def _address(cell: Column, lg: Column, pair: Column, table: int) -> Column:
-    return ((cell * 64 + lg) * PAIRS + pair) * 4 + F.lit(table)
+def _placed(keys: Column, n: int, seed: int, lg: Column | None = None) -> Column:
+    """Digests of a side (``n`` 1 or -1) with their check hash, cells and block out of 2**lg: array of (n, k, c, m, b)."""
+    hashed = F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.lit(64 + seed)).alias("h")))
+    block = lambda h: F.lit(0) if lg is None else F.when(lg == 0, F.lit(0)).otherwise(_shifted("shiftrightunsigned", h, 64 - lg).cast("int"))
+    return F.transform(hashed, lambda e: F.struct(F.lit(n).alias("n"), e["k"].alias("k"), _check(e["k"]).alias("c"), _mask(e["h"]).alias("m"), block(e["h"]).alias("b")))
 
 
-def _tagged(*tags: Column):
-    return lambda key: F.struct(*tags, key.alias("key"))
+def _cell(n: Column, k: Column, c: Column) -> Column:
+    return F.struct(n.alias("n"), k.alias("k"), c.alias("c"))
 
 
-def _summed(df: DataFrame, within: list[str]) -> DataFrame:
-    """Adds up cells; those that nothing is left in disappear."""
-    return df.groupBy(*within, "payload", "at", "rec").agg(F.sum("cnt").alias("cnt"), F.bit_xor("key").alias("key"), F.bit_xor("chk").alias("chk")).where("payload IS NOT NULL OR cnt <> 0 OR key <> 0 OR chk <> 0")
+def _summed(cell: Column, elements: Column, i: Column, sign: int = 1) -> Column:
+    """A cell with those elements put in (``sign`` 1) or taken out that lie in it."""
+    own = F.filter(elements, lambda e: F.bit_get(e["m"], i) == F.lit(1).cast("tinyint"))
+    return F.aggregate(own, cell, lambda a, e: _cell(a["n"] + e["n"] if sign > 0 else a["n"] - e["n"], a["k"].bitwiseXOR(e["k"]), a["c"].bitwiseXOR(e["c"])))
 
 
-def _peel(rows: DataFrame, within: list[str], pairs: list[tuple[str, str]], factor: int, steps: int, seed: int, digests_too: bool) -> DataFrame:
-    """Subtracts and peels the pairs (plus, minus) that ``done`` does not hold yet.
+def _cells(elements: Column) -> Column:
+    """The sketch of the elements of one side, or the difference of the sketches of both."""
+    none = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return F.transform(F.sequence(F.lit(0), F.lit(HASHES * CELLS - 1)), lambda i: _summed(none, elements, i))
 
-    rows: ``within``, payload (text that identifies what is carried along), the
-    digest arrays named in ``pairs`` and done array<int>.  Returns ``within``,
-    payload, left_over array<int> and found array<struct<pair, sign, n, rec>>.
-    """
-    cells = []
-    for i, (plus, minus) in enumerate(pairs):
-        need = F.greatest(F.size(plus) + F.size(minus), F.lit(LEAST_CELLS)).cast("double")
-        lg = F.ceil(F.log2(need * factor)).cast("long")
-        for name, sign in ((plus, 1), (minus, -1)):
-            side = F.lit(i * 2 + (sign < 0))
-            signed = F.transform(F.col(name), _tagged(side.alias("side"), lg.alias("lg")))
-            cells.append(F.when(F.array_contains("done", F.lit(i)), F.array().cast("array<struct<side:int,lg:bigint,key:bigint>>")).otherwise(signed))
-    nothing = F.lit(None).cast("struct<side:int,lg:bigint,key:bigint>")
-    keys = rows.select(*within, "payload", F.explode(F.concat(F.array(nothing), *cells)).alias("c")).select(*within, F.when(F.col("c").isNull(), F.col("payload")).alias("payload"), "c.*")
-    pair = F.floor(F.col("side") / 2).cast("long")
-    places = F.when(F.col("key").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.array(*[_address(_place(F.col("key"), t, F.col("lg"), seed), F.col("lg"), pair, t) for t in range(HASHES)]))
-    one = F.when(F.col("side") % 2 == 0, F.lit(1).cast("long")).otherwise(F.lit(-1).cast("long"))
-    flow = keys.select(*within, "payload", F.explode(places).alias("at"), F.lit(None).cast("long").alias("rec"), one.alias("cnt"), "key", F.xxhash64("key").alias("chk"))
-    flow = _summed(flow, within)
-    for step in range(steps):
-        table = step % HASHES
-        pair = F.pmod(F.floor(F.col("at") / 4), F.lit(PAIRS))
-        lg = F.pmod(F.floor(F.col("at") / (4 * PAIRS)), F.lit(64))
-        pure = (F.pmod("at", F.lit(4)) == table) & (F.abs("cnt") == 1) & (F.col("chk") == F.xxhash64("key"))
-        # a digest that a cell gives away is recovered and leaves the cells of the other sub-tables
-        away = [_address(_place(F.col("key"), t, lg, seed), lg, pair, t) for t in range(HASHES) if t != table]
-        taken = F.array(_address(F.col("cnt"), F.lit(0), pair, RECOVERED), *away)
-        flow = flow.select("*", F.posexplode(F.when(pure, taken).otherwise(F.array("at"))).alias("i", "to"))
-        recovered = (F.pmod("to", F.lit(4)) == RECOVERED) & (F.pmod("at", F.lit(4)) != RECOVERED)
-        rec = F.when(recovered, F.col("key") if digests_too else F.lit(None).cast("long")).otherwise(F.col("rec"))
-        none = F.lit(0).cast("long")
-        flow = flow.select(*within, "payload", F.col("to").alias("at"), rec.alias("rec"), F.when(F.col("i") > 0, -F.col("cnt")).otherwise(F.col("cnt")).alias("cnt"), F.when(recovered, none).otherwise(F.col("key")).alias("key"), F.when(recovered, none).otherwise(F.col("chk")).alias("chk"))
-        flow = _summed(flow, within)
-    pair = F.pmod(F.floor(F.col("at") / 4), F.lit(PAIRS)).cast("int")
-    is_found = F.pmod("at", F.lit(4)) == RECOVERED
-    return flow.groupBy(*within).agg(
-        F.max("payload").alias("payload"),
-        F.collect_set(F.when(~is_found, pair)).alias("left_over"),
-        F.collect_list(F.when(is_found, F.struct(pair.alias("pair"), F.signum("cnt").cast("int").alias("sign"), F.abs("cnt").alias("n"), "rec"))).alias("found"),
-    )
 
+def sketch(keys: Column) -> Column:
+    """The sketch of a set of digests: array of ``HASHES * CELLS`` cells (n, k, c)."""
+    return let(_placed(keys, 1, 0), _cells)
 
-def recover(rows: DataFrame, within: list[str], pairs: list[tuple[str, str]], digests_too: bool = False) -> DataFrame:
-    """Settles the pairs (plus, minus) of digest arrays in each row; ``within`` identifies a row.
 
-    Adds found, an array of (pair, sign, n, rec): ``n`` digests of the pair
-    stand on one side only (sign 1: plus), one by one as ``rec`` if
-    ``digests_too``.  A pair that no sketch settles (one in millions) is
-    settled by comparing its digests.
-    """
-    names = list(dict.fromkeys(n for p in pairs for n in p))
-    rest = [c for c in rows.columns if c not in within]
-    kind = rows.select(*rest).schema.simpleString()
-    rows = rows.select(*within, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("payload"), *names, F.array().cast("array<int>").alias("done"), F.array().cast(FOUND).alias("found"))
-    numbers = range(len(pairs))
-    for seed, (factor, steps) in enumerate(TRIES):
-        carried = F.to_json(F.struct("payload", "done", "found"), {"ignoreNullFields": "false"})
-        out = _peel(rows.withColumn("payload", carried), within, pairs, factor, steps, seed, digests_too)
-        back = F.from_json("payload", "payload string, done array<int>, found " + FOUND)
-        out = out.select(*within, back.alias("b"), "left_over", F.col("found").alias("fresh"))
-        settled = F.array_except(F.array(*[F.lit(i) for i in numbers]), "left_over")
-        fresh = F.filter("fresh", lambda f: ~F.array_contains("left_over", f["pair"]) & ~F.array_contains("b.done", f["pair"]))
-        out = out.select(*within, F.col("b.payload").alias("payload"), F.array_union("b.done", settled).alias("done"), F.concat("b.found", fresh).alias("found"))
-        rows = out.select("*", F.from_json("payload", kind).alias("own")).select(*within, "payload", *[F.col(f"own.{n}").alias(n) for n in names], "done", "found")
-    certain = []
-    for i, (plus, minus) in enumerate(pairs):
-        for sign, a, b in ((1, plus, minus), (-1, minus, plus)):
-            rest_of = F.transform(F.array_except(a, b), _tagged(F.lit(i).alias("pair"), F.lit(sign).alias("sign"), F.lit(1).cast("long").alias("n")))
-            certain.append(F.when(F.array_contains("done", F.lit(i)), F.array().cast(FOUND)).otherwise(rest_of.cast(FOUND)))
-    return rows.select(*within, F.from_json("payload", kind).alias("own"), "done", F.concat("found", *certain).alias("found")).select(*within, "own.*", "done", "found")
-
-
-def one_sided(pair: int, sign: int) -> Column:
-    """How many digests of the pair stand on one side only."""
-    return F.aggregate(F.filter("found", lambda f: (f["pair"] == pair) & (f["sign"] == sign)), F.lit(0).cast("long"), lambda a, f: a + f["n"])
-
-
-def likeness(size: Column, pair: int) -> Column:
+def serialised(cells: Column) -> Column:
+    """A sketch as text: for each cell its count (4 hex digits), digests (16) and checks (8)."""
+    digits = lambda x, n: F.lpad(F.hex(x), n, "0")
+    cell = lambda c: F.concat(digits(F.pmod(c["n"], F.lit(65536)).cast("long"), 4), digits(c["k"], 16), digits(c["c"], 8))
+    return F.lower(F.concat_ws("", F.transform(cells, cell)))
+
+
+def parsed(fingerprint: Column) -> Column:
+    """The sketch that ``serialised`` wrote; counts are modulo 65536."""
+    number = lambda at, size: F.conv(F.substr(fingerprint, at, F.lit(size)), 16, -10).cast("long")
+    return F.transform(F.sequence(F.lit(0), F.lit(HASHES * CELLS - 1)), lambda i: _cell(number(i * 28 + 1, 4).cast("int"), number(i * 28 + 5, 16), number(i * 28 + 21, 8)))
+
+
+def subtracted(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["c"].bitwiseXOR(y["c"])))
+
+
+def peeled(cells: Column, seed: int = 0) -> Column:
+    """What a subtracted sketch gives away: found, array of (n, k) with n 1 for the first side and -1 for the second; null if cells remain."""
+
+    def taken(state: Column, alone: Column) -> Column:
+        out = F.transform(alone, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), _check(p["k"]).alias("c"), _mask(F.xxhash64(p["k"], F.lit(64 + seed))).alias("m")))
+        left = let(out, lambda out: F.transform(state["cells"], lambda c, i: _summed(c, out, i, -1)))
+        return F.struct(left.alias("cells"), F.concat(state["found"], alone).alias("found"), F.lit(True).alias("more"))
+
+    def ended(state: Column) -> Column:
+        return F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("more"))
+
+    def round_(state: Column) -> Column:
+        alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"])))
+        alone = F.array_distinct(F.transform(alone, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))
+        return let(alone, lambda alone: F.when(F.size(alone) > 0, taken(state, alone)).otherwise(ended(state)))
+
+    begin = F.struct(cells.alias("cells"), F.array().cast(FOUND).alias("found"), F.lit(True).alias("more"))
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, lambda s, _: F.when(s["more"], round_(s)).otherwise(s))
+    return let(state, lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0)), s["found"]))
+
+
+def _one_by_one(elements: Column) -> Column:
+    keys = lambda n: F.transform(F.filter(elements, lambda e: e["n"] == n), lambda e: e["k"])
+    only = lambda a, b, n: F.transform(F.array_except(a, b), lambda k: F.struct(F.lit(n).alias("n"), k.alias("k")))
+    return let(F.struct(keys(1).alias("p"), keys(-1).alias("m")), lambda s: F.concat(only(s["p"], s["m"], 1), only(s["m"], s["p"], -1)))
+
+
+def _by_block(elements: Column, first: Column, last: Column, body: Callable[[Column, Column], Column], of: Callable[[Column], Column] = lambda b: b) -> Column:
+    """``body`` of the elements of each block from ``first`` to ``last`` and of its number, put together."""
+    return F.flatten(F.transform(F.sequence(first, last), lambda g: let(F.filter(elements, lambda e: of(e["b"]) == g), lambda own: body(own, g))))
+
+
+def larger(plus: Column, minus: Column) -> Column:
+    """The differing digests of two sets, array of (n, k), by a sketch as large as both need."""
+
+    def retried(elements: Column) -> Column:
+        side = lambda n: _placed(F.transform(F.filter(elements, lambda e: e["n"] == n), lambda e: e["k"]), n, 2, F.lit(2))
+        block = lambda own, _: F.coalesce(peeled(_cells(own), 2), _one_by_one(own))
+        return let(F.concat(side(1), side(-1)), lambda again: _by_block(again, F.lit(0), F.lit(3), block))
+
+    def block(own: Column, _: Column) -> Column:
+        return F.coalesce(peeled(_cells(own), 1), retried(own))
+
+    def dealt(s: Column) -> Column:
+        """Blocks are dealt out in two steps, so that a long text's digests are not searched once for each of its blocks."""
+        of = lambda b: F.floor(b / SUPER).cast("int")
+        inner = lambda own, g: _by_block(own, g * SUPER, F.least(s["blocks"], (g + 1) * SUPER) - 1, block)
+        return _by_block(s["own"], F.lit(0), of(s["blocks"] - 1), inner, of)
+
+    lg = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(plus) + F.size(minus), F.lit(1)) / BLOCK))).cast("int")
+    both = lambda lg: F.struct(F.concat(_placed(plus, 1, 1, lg), _placed(minus, -1, 1, lg)).alias("own"), _shifted("shiftleft", 1, lg).alias("blocks"))
+    return let(lg, lambda lg: let(both(lg), dealt))
+
+
+def difference(a: Column, b: Column, plus: Column, minus: Column) -> Column:
+    """(found, tries): the differing digests of two texts from their sketches ``a`` and ``b``, or else from larger ones of their digests."""
+    # a sketch of so many cells cannot give away more digests than it has cells
+    hopeless = F.abs(F.size(plus) - F.size(minus)) > HASHES * CELLS
+    small = F.when(hopeless, F.lit(None).cast(FOUND)).otherwise(peeled(subtracted(a, b)))
+    return let(small, lambda s: F.struct(F.coalesce(s, larger(plus, minus)).alias("found"), F.when(s.isNull(), 2).otherwise(1).alias("tries")))
+
+
+def one_sided(found: Column, sign: int) -> Column:
+    """How many of the digests found stand on one side only."""
+    return F.size(F.filter(found, lambda f: f["n"] == sign)).cast("long")
+
+
+def likeness(found: Column, size: Column) -> Column:
     """1 less the share of the ``size`` digests of both sides that have no counterpart; two empty sets are alike."""
-    return F.when(size == 0, 1.0).otherwise(1.0 - (one_sided(pair, 1) + one_sided(pair, -1)) / size)
+    return F.when(size == 0, 1.0).otherwise(1.0 - F.size(found) / size)
 
 
 def diff_versions(df: DataFrame, old: str, new: str) -> DataFrame:
     """Adds removed_digests and added_digests (array<bigint>, sorted) between two versions of a text in each row.
 
-    Null versions count as empty; columns of these names are replaced.
+    Null versions count as empty; columns of these names are replaced.  Rows are
+    handled one by one: repeated rows give repeated results, and an empty table
+    an empty one.
     """
     own = [c for c in df.columns if c not in ("removed_digests", "added_digests")]
-    rows = df.select(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (old, new)]).alias("part"), F.monotonically_increasing_id().alias("rn"), F.struct(*own).alias("row"), digests(F.col(old)).alias("plus"), digests(F.col(new)).alias("minus"))
-    out = recover(rows.repartition("part"), ["part", "rn"], [("plus", "minus")], digests_too=True)
-
-    def side(sign: int) -> Column:
-        return F.sort_array(F.transform(F.filter("found", lambda f: f["sign"] == sign), lambda f: f["rec"]))
+    rows = df.select(F.struct(*own).alias("row"), digests(F.col(old)).alias("plus"), digests(F.col(new)).alias("minus"))
+    rows = rows.select("row", difference(sketch(F.col("plus")), sketch(F.col("minus")), F.col("plus"), F.col("minus"))["found"].alias("found"))
+    side = lambda sign: F.sort_array(F.transform(F.filter("found", lambda f: f["n"] == sign), lambda f: f["k"]))
+    return rows.select("row.*", side(1).alias("removed_digests"), side(-1).alias("added_digests"))
 
-    return out.select("row.*", side(1).alias("removed_digests"), side(-1).alias("added_digests"))
 
+def _ranges(docs: DataFrame, quantiles: int, range_bytes: int) -> tuple[Column, int]:
+    """The range of each doc_id, larger ids first, and the number of ranges.
 
-def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
-    """doc_id, text, next text (descending doc_id, the last one's is the first), part and rn.
-
-    Ids are dealt out by at most ``ranges`` quantiles, of which the driver holds
-    the bounds.  The first row of a range is also sent, as a ghost, to the range
-    before it.  Missing ids come last; repeated ids follow their text's hash.
+    The driver holds at most ``quantiles`` bounds; between two of them ids are
+    dealt out evenly over as many ranges as the size of the table asks for.
+    Missing ids are a range of their own, the last one.
+    """
+    low, high, inner = docs.agg(F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / quantiles for i in range(1, quantiles)], 20 * quantiles)).first()
+    if low is None:
+        return F.lit(0), 1
+    edges = sorted({low, high, *inner})
+    each = -(-size_of_text(docs) // (range_bytes * quantiles))
+    step = max(int(len(edges) ** 0.5), 1)
+    # two short searches: among every step-th edge, then among those behind it
+    count = lambda array: F.size(F.filter(array, lambda b: b <= F.col("doc_id")))
+    edge = F.lit(edges).cast("array<bigint>")
+    outer = (count(F.lit(edges[::step]).cast("array<bigint>")) - 1) * step
+    at = let(outer, lambda o: o + count(F.slice(edge, o + 1, F.lit(step))) - 1)
+    begin = lambda i: F.get(edge, i).cast("double")
+    inside = lambda i: F.coalesce(F.least(F.floor((F.col("doc_id").cast("double") - begin(i)) / (begin(i + 1) - begin(i)) * each), F.lit(each - 1)), F.lit(0))
+    n = len(edges) * each
+    return F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(n - 1 - let(at, lambda i: i * each + inside(i))), n + 1
+
+
+def with_next(docs: DataFrame, quantiles: int = QUANTILES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """doc_id, text, keys, cells (its digests and sketch) and the same of the next text: next_text, next_keys, next_cells.
+
+    Next is the following row in descending doc_id, the first row after the
+    last.  Ids are dealt out by ranges; the first row of a range is also sent,
+    as a ghost, to the range before it.  Missing ids come last; rows of equal
+    ids follow their text's hash, then their text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
-    bounds = sorted(set(bounds))
-    # the larger the id, the smaller the part; missing ids come last
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(F.lit(bounds or [0]).cast("array<bigint>"), lambda b: b > F.col("doc_id"))) if bounds else F.lit(0))
-    docs = docs.withColumn("part", part.cast("int"))
-    tie = F.xxhash64("text")
-    # one row a range: at most ranges + 1 rows, so the join below may broadcast it
+    part, _ = _ranges(docs, quantiles, range_bytes)
+    docs = docs.withColumn("part", part.cast("long"))
+    # one row a range, so the join below may broadcast it
     first = docs.groupBy("part").agg(F.max("doc_id").alias("top"))
     around = Window.orderBy("part")
     heads = first.select("part", "top", F.coalesce(F.lag("part").over(around), F.max("part").over(Window.partitionBy())).alias("before"))
@@ -208,37 +248,44 @@ def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     own = F.struct(F.lit(False).alias("ghost"), F.col("part").alias("to"))
     ghost = F.struct(F.lit(True).alias("ghost"), F.col("before").alias("to"))
     dealt = joined.select("doc_id", "text", F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))).alias("g"))
+    dealt = dealt.select(F.col("g.to").alias("part"), F.col("g.ghost").alias("ghost"), "doc_id", "text", F.xxhash64("text").alias("tie"))
+    # digests are taken behind the shuffle, once for a text, and its sketch goes along to the text before it
+    rows = dealt.repartition("part").withColumn("keys", digests(F.col("text")))
+    rows = rows.withColumn("cells", sketch(F.col("keys")))
     order = Window.partitionBy("part").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "tie", "text")
-    out = dealt.select(F.col("g.to").alias("part"), F.col("g.ghost").alias("ghost"), "doc_id", "text", tie.alias("tie"))
-    out = out.withColumn("next_text", F.lead("text").over(order)).withColumn("rn", F.row_number().over(order))
-    return out.where("NOT ghost").select("part", "rn", "doc_id", "text", "next_text")
+    nexts = [F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "keys", "cells")]
+    return rows.select("ghost", "doc_id", "text", "keys", "cells", *nexts).where("NOT ghost").drop("ghost")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are to each other and to the next text's.
 
     Nulls count as empty texts; an empty text has an all-zero fingerprint, and
-    two empty texts are alike (1.0).  A single row is its own next.  Further
-    columns of ``docs`` are ignored; repeated rows give repeated results.
+    two empty texts are alike (1.0).  A single row is its own next.  Texts of
+    any length have fingerprints of the same size; work grows in proportion to
+    a text's paragraphs, also where these repeat.  Further columns of ``docs``
+    are ignored; repeated rows give repeated results, an empty table none.
     """
     rows = with_next(docs)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 2) as int))"))
     rows = rows.withColumn("edited", F.when(half > 0, edited).otherwise(F.col("text")))
-    rows = rows.select("part", "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("changed"), digests(F.col("next_text")).alias("following"))
-    rows = rows.select("part", "rn", "doc_id", "n_chars", "edited_sha256", sketch(F.col("own")).alias("fingerprint"), sketch(F.col("changed")).alias("edited_fingerprint"), "own", "changed", "following")
-    out = recover(rows, ["part", "rn"], [("own", "changed"), ("own", "following")])
-    return out.select(
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "keys", "cells", "next_keys", "next_cells", digests(F.col("edited")).alias("edited_keys"))
+    rows = rows.withColumn("edited_cells", sketch(F.col("edited_keys")))
+    versus = lambda other: F.struct(F.col("cells").alias("a"), F.col(f"{other}_cells").alias("b"), F.col("keys").alias("plus"), F.col(f"{other}_keys").alias("minus"))
+    rows = rows.withColumn("to", F.transform(F.array(versus("edited"), versus("next")), lambda v: difference(*(v[c] for c in ("a", "b", "plus", "minus"))))).withColumns({"to_edited": F.col("to")[0], "to_next": F.col("to")[1]})
+    return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.size("own") + F.size("changed"), 0).alias("near_edited"),
-        likeness(F.size("own") + F.size("following"), 1).alias("near_next"),
-        one_sided(0, 1).alias("n_removed_paragraphs"),
-        one_sided(0, -1).alias("n_added_paragraphs"),
-        (F.size("done") == 2).alias("peeled"),
+        serialised(F.col("cells")).alias("fingerprint"),
+        serialised(F.col("edited_cells")).alias("edited_fingerprint"),
+        likeness(F.col("to_edited.found"), F.size("keys") + F.size("edited_keys")).alias("near_edited"),
+        likeness(F.col("to_next.found"), F.size("keys") + F.size("next_keys")).alias("near_next"),
+        one_sided(F.col("to_edited.found"), 1).alias("n_removed_paragraphs"),
+        one_sided(F.col("to_edited.found"), -1).alias("n_added_paragraphs"),
+        F.col("to_edited.tries").alias("tries_edited"),
+        F.col("to_next.tries").alias("tries_next"),
     )
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -52,27 +53,69 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_fingerprints(docs, none):
+def paragraphs(spark, texts):
+    """The set of digests of each text, without a sketch: distinct pieces, repetitions apart."""
+    df = spark.createDataFrame([(t,) for t in set(texts)], "t string")
+    return {r["t"]: set(r["k"]) for r in df.select("t", fingerprint.digests(F.col("t")).alias("k")).collect()}
+
+
+def like(a, b):
+    return 1.0 if not a and not b else 1 - len(a ^ b) / (len(a) + len(b))
+
+
+def test_fingerprints(spark, docs, none):
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
     got = fingerprint.fingerprints(docs).collect()
-    assert len(got) == len(ROWS) and all(r["peeled"] for r in got)
-    text, by = {r[0]: r[1] or "" for r in ROWS}, {}
-    for r in got:
-        by.setdefault(r["doc_id"], []).append(r)
-    prints = {}
+    assert len(got) == len(ROWS)
+    want = []
     for i, r in enumerate(order):
         own, nxt = r[1] or "", order[(i + 1) % len(order)][1] or ""
         h = len(own) // 2
-        edited = own[: len(own) - h] + nxt[:h]
-        assert hashlib.sha256(edited.encode()).hexdigest() in {x["edited_sha256"] for x in by[r[0]]}
-        assert by[r[0]][0]["n_chars"] == len(own)
-        assert prints.setdefault(own, by[r[0]][0]["fingerprint"]) == by[r[0]][0]["fingerprint"]
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
-    assert {r["near_next"] for r in by[1]} == {1.0}, "the next text is a copy"
-    assert 0.8 < by[2][0]["near_next"] < 1 or text[2].count(".") == 0
+        want.append((r[0], own, own[: len(own) - h] + nxt[:h], nxt))
+    keys = paragraphs(spark, [t for _, *ts in want for t in ts])
+    rows = Counter((i, len(own), hashlib.sha256(edited.encode()).hexdigest(), round(like(keys[own], keys[edited]), 9), round(like(keys[own], keys[nxt]), 9), len(keys[own] - keys[edited])) for i, own, edited, nxt in want)
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9), r["n_removed_paragraphs"]) for r in got) == rows
+    prints = {}
+    for r in got:
+        text = {x[0]: x[1] or "" for x in ROWS}[r["doc_id"]]
+        assert prints.setdefault(text, r["fingerprint"]) == r["fingerprint"]
+    assert len(set(prints.values())) == len(prints) and {r["tries_next"] for r in got} == {1, 2}
     assert fingerprint.fingerprints(none).isEmpty()
 
 
+def test_stored_fingerprints_can_be_compared(spark):
+    """The likeness comes from the fingerprints: read back from text, subtracted and peeled, they give the difference."""
+    old = ". ".join(f"sentence {i}" for i in range(300))
+    df = spark.createDataFrame([(old, old.replace("sentence 7.", "phrase 7.").replace("sentence 70.", ""))], "a string, b string")
+    prints = df.select(*[fingerprint.serialised(fingerprint.sketch(fingerprint.digests(F.col(c)))).alias(c) for c in "ab"], *[fingerprint.digests(F.col(c)).alias(f"k{c}") for c in "ab"])
+    assert prints.select(F.length("a"), F.length("b")).first()[0] == 28 * fingerprint.HASHES * fingerprint.CELLS
+    r = prints.select("ka", "kb", fingerprint.peeled(fingerprint.subtracted(fingerprint.parsed(F.col("a")), fingerprint.parsed(F.col("b")))).alias("found")).first()
+    assert {(x["n"], x["k"]) for x in r["found"]} == {(1, k) for k in set(r["ka"]) - set(r["kb"])} | {(-1, k) for k in set(r["kb"]) - set(r["ka"])} and r["found"]
+
+
+def test_long_pages_of_repeated_lines_end_soon(spark):
+    page = "the same line\n" * 40_000
+    df = spark.createDataFrame([(1, page, page + "one more line\n"), (2, "".join(f"line {i}\n" for i in range(9000)), "")], "id int, old string, new string")
+    began = time.time()
+    got = {r["id"]: r for r in fingerprint.diff_versions(df, "old", "new").collect()}
+    assert time.time() - began < 60
+    assert (len(got[1]["removed_digests"]), len(got[1]["added_digests"])) == (0, 1) and len(got[2]["removed_digests"]) == 9000
+
+
+def test_ranges_of_ids(spark):
+    """The next text is right whatever the number of ranges, for uneven, repeated and missing ids."""
+    rng = random.Random(4)
+    ids = [rng.choice([rng.randrange(50), rng.randrange(10**15), -rng.randrange(10**6)]) for _ in range(300)] + [None, 3, 3]
+    df = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "doc_id long, text string").repartition(5)
+    for quantiles, size in ((2, 1 << 40), (7, 200), (512, 64 << 20)):
+        got = {r["text"]: (r["doc_id"], r["next_text"]) for r in fingerprint.with_next(df, quantiles, size).collect()}
+        at, seen = next(t for t, (i, _) in got.items() if i == max(x for x in ids if x is not None)), []
+        for _ in ids:
+            seen.append(got[at][0])
+            at = got[at][1]
+        assert seen == sorted([i for i in ids if i is not None], reverse=True) + [None] and len(got) == len(ids)
+
+
 def test_recovered_digests(spark):
     df = spark.createDataFrame([(1, "a.b.b.c.", "a.b.d."), (2, None, "x\ny"), (3, "", ""), (4, ".".join(map(str, range(3000))), ".".join(map(str, range(1500, 4500))))], "id int, old string, new string")
     got = {r["id"]: r for r in fingerprint.diff_versions(df, "old", "new").collect()}
