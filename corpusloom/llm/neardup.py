@@ -188,7 +188,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     n_links counts verified links of the document's text to different texts.
     Texts are compared by their words, letters A-Z lowered; texts without words
     (null, empty) are each a class of their own, as is a row with a null id.
-    Equal texts are one class without being paired.  Repeated rows are copies.
+    Equal texts are one class without being paired.  Repeated rows are copies,
+    of which one is kept.  Of rows with the smallest id of a class the first one
+    read is kept.  Whole texts are compared, however long; a text of fewer than
+    ``SHINGLE`` words is one shingle.  Further columns are ignored; an empty
+    table gives an empty result.
     """
     table = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id()).mapInPandas(_sign(bands, rows), "row long, doc_id long, n_words long, node long, bands array<long>"), "signatures")
     worded = table.where("n_words > 0 AND doc_id IS NOT NULL")
@@ -249,7 +253,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class, with the columns of ``docs``; rows with a null id stay, equal rows of one id are one."""
+    """One document of each class, with the columns of ``docs``.
+
+    Rows with a null id stay.  Rows of the kept id and equal text are one row;
+    different texts under the kept id all stay, be they in its class or not.
+    """
     kept = near_duplicates(docs.select("doc_id", "text"), similarity).where("is_kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     out = docs.join(kept, "doc_id").select(*docs.columns)
     if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():

@@ -100,9 +100,11 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def assess(docs: DataFrame, host: str = "source", least: int = LEAST, share: float = SHARE, rest: float = REST) -> DataFrame:
     """Measures and verdict of every document.
 
-    A null text has no words and fails the base rules.  Documents of a null
-    host form a host of their own.  Repeated rows and repeated ids are separate
-    documents.  Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
+    A null or empty text has no words and fails the base rules.  Documents of a
+    null host form a host of their own.  Repeated rows and repeated ids are
+    separate documents.  Whole texts are measured, however long.  A line is
+    common if its count is above the limit, not at it.  Further columns of
+    ``docs`` are ignored; an empty table gives an empty result.  Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, n_common_lines, n_rest_words, kept.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text")

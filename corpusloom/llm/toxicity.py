@@ -145,7 +145,13 @@ class ToxicityModel:
         self.words, self.trees, self.calibration, self.prior = words, trees, calibration, prior
 
     def score(self, df: DataFrame) -> DataFrame:
-        """``df`` without its text, with score in 0..1."""
+        """``df`` without its text, with score in 0..1 (a column of that name is replaced).
+
+        A null text counts as an empty one, which has a score too.  Whole texts
+        are read, however long.  Equal texts have equal scores, whatever their
+        other columns, which are returned as they are; an empty table gives an
+        empty result.
+        """
         kept = [c for c in df.columns if c not in ("text", "score")]
         if self.trees is None:
             return df.select(*kept, F.lit(self.prior).alias("score"))
@@ -168,10 +174,13 @@ def fit_model(texts: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, t
 
     At most about ``most_rows`` labels are used, chosen by a hash of the id
     before texts are read, so that the chosen labels may be broadcast and texts
-    are not shuffled.  Without rows of both labels the model returns the share
-    of label 1 (0 if there is none).
+    are not shuffled: they are ``most_rows`` in expectation, and far more cannot
+    come (the deviation is the root of that number).  An id labelled several
+    times counts as toxic if one of its rows says so; texts that share an id are
+    all used.  Null texts count as empty.  Without rows of both labels the model
+    returns the share of label 1 (0 if there is none).
     """
-    labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = labels.count()
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1000)) < int(1000 * CALIBRATION_SHARE)

@@ -149,6 +149,7 @@ def test_shifted_license_text(spark):
     t = licenses.TEMPLATES[0][0].split()
     t[9:9] = ["really"]
     del t[15]
+    del t[100:110]
     got = licenses.scan(spark.createDataFrame([(1, "lead " + " ".join(t)), (2, "This work is licensed under the GNU General Public License, version 3.")], "doc_id int, text string")).collect()
     assert {r["doc_id"]: r["labels"] for r in got} == {1: "mit", 2: "gpl-3"}
 
