@@ -485,3 +485,71 @@ def test_toxicity(spark, none):
     assert toxicity.Lexicon(["idiot"]).code("1d1ot") == 4 and toxicity.Lexicon(["idiot"]).code("Idiot,") == 1
     empty = toxicity.fit_model(none, none.select("doc_id", F.lit(1).alias("toxic")))
     assert empty.score(df).where("score <> 0").isEmpty()
+
+
+def brute_features(words, text):
+    """The features of one text, spelled out word by word."""
+    text = text or ""
+    tier = {w: 1 + 3 * i // len(words) for i, w in enumerate(words)}
+    tokens = text.split()
+    edge = lambda w: w.lower().strip(".,;:?!\"'()[]{}<>|*#%&$-_/\\")
+    bare = lambda w: re.sub(r"(.)\1{2,}", r"\1", w.lower().translate(toxicity._SWAPPED)).strip(".,;:?!\"'()[]{}<>|*#%&$-_/\\")
+    hits, found, mixed, tiers = [], [], 0, [0, 0, 0]
+    second = [i for i, w in enumerate(tokens) if edge(w) in toxicity.SECOND_PERSON and edge(w) not in tier]
+    for i, w in enumerate(tokens):
+        low = edge(w)
+        t, under = tier.get(low), False
+        if t is None and i not in second and (not low.isalpha() or re.search(r"([^\W\d_])\1\1", low)):
+            t, under = tier.get(bare(w)), True
+        if t:
+            hits.append(i)
+            tiers[t - 1] += 1
+            found.append((low, under))
+        elif not low.isalpha() and i not in second:
+            inner = re.sub("[-'’]", "", low)
+            mixed += any(c.isalpha() for c in inner) and not inner.isalpha()
+    gaps = [min(abs(i - j) for j in second) for i in hits] if second else []
+    d, n = max(len(tokens), 1), max(len(text), 1)
+    count = lambda letters: sum(text.count(c) for c in letters)
+    capitals = sum(c.isascii() and c.isupper() for c in text)
+    return [
+        len(tokens), len(hits), len(hits) / d, tiers[0], tiers[0] / d, tiers[1], tiers[1] / d, tiers[2] / d, len({w for w, _ in found}), hits[0] / d if hits else 1.0,
+        len(second) / d, min([99, *gaps]), sum(g <= 5 for g in gaps) / d, capitals / n, sum(len(w) > 2 and w.isupper() for w in tokens) / d if capitals > 2 else 0.0, count("!\"'(),-.:;?") / n, count("!") / n, count("?") / n, count("#$%&*<>@|") / n,
+        sum(u for _, u in found) / d, mixed / d, len(re.findall(r"([^\W\d_])\1\1", text)) / d, len(toxicity._SPACED.findall(text)) / d,
+    ]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Features, lexicon, calibration and the query's columns."""
+    rng = random.Random(12)
+    insults = ["idiot", "moron", "scum", "fool", "trash", "creep"]
+    data = [(None, 0), ("", 0), ("You 1d1ot!! MORON you, f o o l", 1), ("heeeello don't x2y *** scuuum IDIOT?", 1), ("a " * 5000 + "trash you", 1)]
+    for i in range(300):
+        w = [rng.choice(EN) + str(rng.randint(0, 30)) for _ in range(30)] + ["you"] * (i % 3)
+        if i % 4 == 0:
+            w[rng.randrange(30)] = rng.choice(insults).upper() if i % 8 else rng.choice(insults)
+        data.append((" ".join(w), int(i % 4 == 0)))
+    df = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(data)], "doc_id long, text string, toxic int")
+    words = [*insults, "you"][:6]
+    got = {r["doc_id"]: [r[f"f_{n}"] for n in toxicity.FEATURES] for r in toxicity.with_features(df, words).collect()}
+    for i, (t, _) in enumerate(data):
+        assert np.allclose(got[i], brute_features(words, t)), (i, t)
+
+    sample = [(t or "", y) for t, y in data]
+    n1, n = sum(y for _, y in sample), len(sample)
+    seen = Counter((w, y) for t, y in sample for w in {re.sub(r"^[\W_]+|[\W_]+$", "", x.lower()) for x in t.split()} if len(w) > 1)
+    z = {}
+    for w in {w for w, _ in seen}:
+        a, b = seen[w, 1] + 0.5, seen[w, 0] + 0.5
+        if seen[w, 1] >= 3:
+            z[w] = (math.log(a / (n1 - seen[w, 1] + 0.5)) - math.log(b / (n - n1 - seen[w, 0] + 0.5))) / math.sqrt(1 / a + 1 / b)
+    want = sorted((w for w in z if z[w] > 3), key=lambda w: (-z[w], w))
+    assert set(insults) & set(toxicity.learn_lexicon(df)) and set(toxicity.learn_lexicon(df)) == set(want)
+
+    model = toxicity.fit_model(df, df.select("doc_id", "toxic").unionByName(df.select("doc_id", F.lit(0).alias("toxic"))))
+    scores = {r["doc_id"]: r["score"] for r in model.score(df).collect()}
+    raw = {r["doc_id"]: r["raw_score"] for r in toxicity._raw_score(model.trees, toxicity.with_features(df, model.words)).collect()}
+    for i in scores:
+        assert math.isclose(scores[i], min(max(np.interp(raw[i], model.calibration.boundaries.toArray(), model.calibration.predictions.toArray()), 0), 1), abs_tol=1e-9)
+    order = sorted(scores, key=raw.get)
+    assert all(scores[a] <= scores[b] + 1e-12 for a, b in zip(order, order[1:], strict=False)), "calibration keeps the order"
