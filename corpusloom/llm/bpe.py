@@ -3,7 +3,7 @@
 The pieces of a text (words with their leading space, and the like) are looked
 up in a bounded memory of each worker.  New pieces are encoded together:
 
-*speculate*: a trie, kept as one sorted array, is walked for all of them in step,
+*speculate*: a compact trie is walked for all of them in step,
 which proposes the longest token at each place;
 *verify*: the proposal is the BPE encoding exactly if each token encodes to
 itself and each two neighbours encode to themselves when joined.  Neighbours are
@@ -12,7 +12,7 @@ Only pieces that fail are merged exactly, rank by rank.  A piece longer than
 ``LONGEST`` is merged exactly at once.
 
 What a worker remembers is bounded by ``MEMORY`` pieces and as many pairs and
-forgotten as a whole beyond it, so a worker stays under about 200 MB.
+forgotten as a whole beyond it, so a worker stays under about 300 MB.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .shared import documents
 #: Characters of text that are encoded together.
 CHUNK_CHARS = 2_000_000
 #: Pieces, and pairs of tokens, that a worker remembers; and the longest piece, in bytes, that is proposed token by token.
-MEMORY = 200_000
+MEMORY = 400_000
 LONGEST = 256
 
 
@@ -96,16 +96,22 @@ class Codec:
                     token.append(-1)
                 node = to
             token[node] = i
-        # one sorted array of node * 256 + byte; searched by bisection
-        moves = np.array([(node * 256 + b, to) for node, out in enumerate(child) for b, to in sorted(out.items())], np.int64)
-        self.moves, self.next = np.append(moves[:, 0], np.iinfo(np.int64).max), np.append(moves[:, 1], 0).astype(np.int32)
+        # a node with one child keeps its byte; the others have rows in a table
+        n = len(child)
+        self.byte, self.only, self.row = np.full(n, -1, np.int16), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        several = [node for node, out in enumerate(child) if len(out) > 1]
+        self.next = np.zeros((len(several) + 1) * 256, np.int32)  # 0: none; the root is no child
+        for k, node in enumerate(several):
+            self.row[node] = (k + 1) * 256
+            self.next[self.row[node] + np.array(list(child[node]))] = list(child[node].values())
+        for node, out in enumerate(child):
+            if len(out) == 1:
+                ((self.byte[node], self.only[node]),) = out.items()
         self.token = np.array(token, np.int32)
 
     def _child(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """The node behind a byte, or 0: the root is no child."""
-        keys = node * 256 + byte
-        at = np.searchsorted(self.moves, keys)
-        return np.where(self.moves[at] == keys, self.next[at], 0).astype(np.int64)
+        """The node behind a byte, or 0."""
+        return np.where(self.byte[node] == byte, self.only[node], self.next[self.row[node] + byte])
 
     def forget(self) -> None:
         self.seen = _Seen()

@@ -40,7 +40,7 @@ SAMPLE_LENGTHS = (300, 6_000)
 DENSE_BYTES = 16 << 20
 #: Letters of a piece that is parsed in step with others.
 PIECE = 400
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 8_000_000
 UNKNOWN = "und"
 
 
@@ -99,6 +99,7 @@ class Dense:
     """States with one transition keep it; the others have rows in a table.  -1 where there is none, as behind state ``n``."""
 
     def __init__(self, state: np.ndarray, code: np.ndarray, to: np.ndarray, n: int, width: int):
+        self.width = width
         out = np.bincount(state, minlength=n + 1)
         one = out[state] == 1
         self.code, self.to, self.row = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int32)
@@ -149,37 +150,38 @@ class Pieces:
         """Where phrases begin: one flag for each code of ``flat``."""
         begins = np.zeros(len(self.flat), bool)
         end = np.full(len(self.begin), nowhere, np.int32)
-        root = np.zeros(len(self.begin), np.int32)
-
-        def moved(at: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            to = table.step(at, c)
-            lost = to < 0
-            if lost.any():
-                again = table.step(root[: int(lost.sum())], c[lost])
-                to[lost] = np.where(again < 0, nowhere, again)  # a code that no sample has is a phrase of its own
-            return to, lost
+        codes = np.arange(table.width)
+        start = table.step(np.zeros(table.width, np.int32), codes)
+        start[start < 0] = nowhere  # a code that no sample has is a phrase of its own
 
         # each piece by itself, the longest first
         length, begin = self.length[self.order], self.begin[self.order]
         at = np.full(len(begin), nowhere, np.int32)
         for step, m in enumerate(np.searchsorted(-length, -np.arange(int(length.max(initial=0))), side="left")):  # m pieces are longer than the step
-            place = begin[:m] + step
-            at[:m], begins[place] = moved(at[:m], self.flat[place])
+            c = self.flat[begin[:m] + step]
+            to = table.step(at[:m], c)
+            lost = np.flatnonzero(to < 0)
+            begins[begin[lost] + step] = True
+            to[lost] = start[c[lost]]
+            at[:m] = to
         end[self.order] = at
         # phrases that run on from the piece before
         used = np.full(len(end), nowhere, np.int32)
         while len(live := self.later[end[self.later - 1] != used[self.later]]):
             at = used[live] = end[live - 1]
-            step = 0
+            place, last = self.begin[live], self.begin[live] + self.length[live] - 1
             while len(live):
-                place = self.begin[live] + step
-                to, lost = moved(at, self.flat[place])
+                c = self.flat[place]
+                to = table.step(at, c)
+                lost = to < 0
+                to = np.where(lost, start[c], to)
                 met = lost & begins[place]  # from here on both parses agree
                 begins[place] = lost
-                over = ~met & (step + 1 >= self.length[live])
-                end[live[over]] = to[over]
-                live, at = live[~met & ~over], to[~met & ~over]
-                step += 1
+                over = (place == last) & ~met
+                if over.any():
+                    end[live[over]] = to[over]
+                go = np.flatnonzero(~(met | over))
+                live, at, place, last = live[go], to[go], place[go] + 1, last[go]
         return begins
 
 
