@@ -34,9 +34,9 @@ PIECE = 200
 HASHES = 3
 #: Cells of each sub-table.
 CELLS = 8
-#: Digests of both sides that a block of the larger sketch is meant for, and blocks that are dealt out in one step.
+#: Digests of both sides that a block of the larger sketch is meant for, and the logarithm of the blocks that are dealt out in one step.
 BLOCK = 10
-SUPER = 64
+SUPER = 6
 #: Rounds of peeling; each takes out all digests that lie alone in a cell.
 ROUNDS = 10
 #: Quantiles of the ids that the driver holds, and bytes of text in each range of ids; there are more ranges than quantiles only beyond their product.
@@ -73,11 +73,15 @@ def _mask(h: Column) -> Column:
     return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
 
-def _placed(keys: Column, n: int, seed: int, lg: Column | None = None) -> Column:
-    """Digests of a side (``n`` 1 or -1) with their check hash, cells and block out of 2**lg: array of (n, k, c, m, b)."""
+def _elements(keys: Column, n: int = 1, seed: int = 0) -> Column:
+    """Digests of a side (``n`` 1 or -1) with their check hash, cells and the hash that deals them out: array of (n, k, c, m, h)."""
     hashed = F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.lit(64 + seed)).alias("h")))
-    block = lambda h: F.lit(0) if lg is None else F.when(lg == 0, F.lit(0)).otherwise(_shifted("shiftrightunsigned", h, 64 - lg).cast("int"))
-    return F.transform(hashed, lambda e: F.struct(F.lit(n).alias("n"), e["k"].alias("k"), _check(e["k"]).alias("c"), _mask(e["h"]).alias("m"), block(e["h"]).alias("b")))
+    return F.transform(hashed, lambda e: F.struct(F.lit(n).alias("n"), e["k"].alias("k"), _check(e["k"]).alias("c"), _mask(e["h"]).alias("m"), e["h"].alias("h")))
+
+
+def _minus(elements: Column) -> Column:
+    """The same elements on the other side."""
+    return F.transform(elements, lambda e: F.struct((-e["n"]).alias("n"), *[e[x].alias(x) for x in ("k", "c", "m", "h")]))
 
 
 def _cell(n: Column, k: Column, c: Column) -> Column:
@@ -98,7 +102,7 @@ def _cells(elements: Column) -> Column:
 
 def sketch(keys: Column) -> Column:
     """The sketch of a set of digests: array of ``HASHES * CELLS`` cells (n, k, c)."""
-    return let(_placed(keys, 1, 0), _cells)
+    return let(_elements(keys), _cells)
 
 
 def serialised(cells: Column) -> Column:
@@ -122,16 +126,18 @@ def peeled(cells: Column, seed: int = 0) -> Column:
     """What a subtracted sketch gives away: found, array of (n, k) with n 1 for the first side and -1 for the second; null if cells remain."""
 
     def taken(state: Column, alone: Column) -> Column:
-        out = F.transform(alone, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), _check(p["k"]).alias("c"), _mask(F.xxhash64(p["k"], F.lit(64 + seed))).alias("m")))
-        left = let(out, lambda out: F.transform(state["cells"], lambda c, i: _summed(c, out, i, -1)))
-        return F.struct(left.alias("cells"), F.concat(state["found"], alone).alias("found"), F.lit(True).alias("more"))
+        out = F.transform(alone, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), p["c"].alias("c"), _mask(F.xxhash64(p["k"], F.lit(64 + seed))).alias("m")))
+        touched = lambda out: F.aggregate(out, F.lit(0).cast("long"), lambda a, p: a.bitwiseOR(p["m"]))
+        cell = lambda s: F.transform(state["cells"], lambda c, i: F.when(F.bit_get(s["any"], i) == F.lit(1).cast("tinyint"), _summed(c, s["out"], i, -1)).otherwise(c))
+        left = let(let(out, lambda out: F.struct(out.alias("out"), touched(out).alias("any"))), cell)
+        found = F.transform(alone, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k")))
+        return F.struct(left.alias("cells"), F.concat(state["found"], found).alias("found"), F.lit(True).alias("more"))
 
     def ended(state: Column) -> Column:
         return F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("more"))
 
     def round_(state: Column) -> Column:
-        alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"])))
-        alone = F.array_distinct(F.transform(alone, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))
+        alone = F.array_distinct(F.filter(state["cells"], lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (c["c"] == _check(c["k"]))))
         return let(alone, lambda alone: F.when(F.size(alone) > 0, taken(state, alone)).otherwise(ended(state)))
 
     begin = F.struct(cells.alias("cells"), F.array().cast(FOUND).alias("found"), F.lit(True).alias("more"))
@@ -145,35 +151,42 @@ def _one_by_one(elements: Column) -> Column:
     return let(F.struct(keys(1).alias("p"), keys(-1).alias("m")), lambda s: F.concat(only(s["p"], s["m"], 1), only(s["m"], s["p"], -1)))
 
 
-def _by_block(elements: Column, first: Column, last: Column, body: Callable[[Column, Column], Column], of: Callable[[Column], Column] = lambda b: b) -> Column:
-    """``body`` of the elements of each block from ``first`` to ``last`` and of its number, put together."""
-    return F.flatten(F.transform(F.sequence(first, last), lambda g: let(F.filter(elements, lambda e: of(e["b"]) == g), lambda own: body(own, g))))
+def _block(e: Column, lg: Column) -> Column:
+    """The block of an element out of 2**lg, lg > 0."""
+    return _shifted("shiftrightunsigned", e["h"], 64 - lg)
+
+
+def _over(first: Column, last: Column, body: Callable[[Column], Column]) -> Column:
+    return F.flatten(F.transform(F.sequence(first.cast("long"), last.cast("long")), body))
 
 
 def larger(plus: Column, minus: Column) -> Column:
-    """The differing digests of two sets, array of (n, k), by a sketch as large as both need."""
+    """The differing digests of two sides' elements, array of (n, k), by a sketch as large as both need."""
 
-    def retried(elements: Column) -> Column:
-        side = lambda n: _placed(F.transform(F.filter(elements, lambda e: e["n"] == n), lambda e: e["k"]), n, 2, F.lit(2))
-        block = lambda own, _: F.coalesce(peeled(_cells(own), 2), _one_by_one(own))
-        return let(F.concat(side(1), side(-1)), lambda again: _by_block(again, F.lit(0), F.lit(3), block))
+    def retried(own: Column) -> Column:
+        side = lambda n: _elements(F.transform(F.filter(own, lambda e: e["n"] == n), lambda e: e["k"]), n, 1)
+        part = lambda again, g: F.filter(again, lambda e: _block(e, F.lit(2)) == g)
+        block = lambda own: F.coalesce(peeled(_cells(own), 1), _one_by_one(own))
+        return let(F.concat(side(1), side(-1)), lambda again: _over(F.lit(0), F.lit(3), lambda g: let(part(again, g), block)))
 
-    def block(own: Column, _: Column) -> Column:
-        return F.coalesce(peeled(_cells(own), 1), retried(own))
+    def block(own: Column) -> Column:
+        return F.coalesce(peeled(_cells(own)), retried(own))
 
     def dealt(s: Column) -> Column:
         """Blocks are dealt out in two steps, so that a long text's digests are not searched once for each of its blocks."""
-        of = lambda b: F.floor(b / SUPER).cast("int")
-        inner = lambda own, g: _by_block(own, g * SUPER, F.least(s["blocks"], (g + 1) * SUPER) - 1, block)
-        return _by_block(s["own"], F.lit(0), of(s["blocks"] - 1), inner, of)
+        few = F.least(s["lg"], F.lit(SUPER))
+        many = s["lg"] - few
+        outer = lambda g: F.when(many == 0, s["own"]).otherwise(F.filter(s["own"], lambda e: _block(e, many) == g))
+        size = _shifted("shiftleft", F.lit(1).cast("long"), few)
+        inner = lambda own, g: _over(g * size, (g + 1) * size - 1, lambda b: let(F.filter(own, lambda e: _block(e, s["lg"]) == b), block))
+        return _over(F.lit(0), _shifted("shiftleft", F.lit(1).cast("long"), many) - 1, lambda g: let(outer(g), lambda own: inner(own, g)))
 
-    lg = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(plus) + F.size(minus), F.lit(1)) / BLOCK))).cast("int")
-    both = lambda lg: F.struct(F.concat(_placed(plus, 1, 1, lg), _placed(minus, -1, 1, lg)).alias("own"), _shifted("shiftleft", 1, lg).alias("blocks"))
-    return let(lg, lambda lg: let(both(lg), dealt))
+    lg = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.size(plus) + F.size(minus), F.lit(1)) / BLOCK))).cast("int")
+    return let(F.struct(F.concat(plus, _minus(minus)).alias("own"), lg.alias("lg")), dealt)
 
 
 def difference(a: Column, b: Column, plus: Column, minus: Column) -> Column:
-    """(found, tries): the differing digests of two texts from their sketches ``a`` and ``b``, or else from larger ones of their digests."""
+    """(found, tries): the differing digests of two texts from their sketches ``a`` and ``b``, or else from larger ones of their elements."""
     # a sketch of so many cells cannot give away more digests than it has cells
     hopeless = F.abs(F.size(plus) - F.size(minus)) > HASHES * CELLS
     small = F.when(hopeless, F.lit(None).cast(FOUND)).otherwise(peeled(subtracted(a, b)))
@@ -199,7 +212,8 @@ def diff_versions(df: DataFrame, old: str, new: str) -> DataFrame:
     """
     own = [c for c in df.columns if c not in ("removed_digests", "added_digests")]
     rows = df.select(F.struct(*own).alias("row"), digests(F.col(old)).alias("plus"), digests(F.col(new)).alias("minus"))
-    rows = rows.select("row", difference(sketch(F.col("plus")), sketch(F.col("minus")), F.col("plus"), F.col("minus"))["found"].alias("found"))
+    rows = rows.select("row", *[_elements(F.col(c)).alias(c) for c in ("plus", "minus")])
+    rows = rows.select("row", difference(_cells(F.col("plus")), _cells(F.col("minus")), F.col("plus"), F.col("minus"))["found"].alias("found"))
     side = lambda sign: F.sort_array(F.transform(F.filter("found", lambda f: f["n"] == sign), lambda f: f["k"]))
     return rows.select("row.*", side(1).alias("removed_digests"), side(-1).alias("added_digests"))
 
@@ -229,7 +243,7 @@ def _ranges(docs: DataFrame, quantiles: int, range_bytes: int) -> tuple[Column,
 
 
 def with_next(docs: DataFrame, quantiles: int = QUANTILES, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """doc_id, text, keys, cells (its digests and sketch) and the same of the next text: next_text, next_keys, next_cells.
+    """doc_id, text, keys, cells (its digests, as elements, and sketch) and the same of the next text: next_text, next_keys, next_cells.
 
     Next is the following row in descending doc_id, the first row after the
     last.  Ids are dealt out by ranges; the first row of a range is also sent,
@@ -250,8 +264,8 @@ def with_next(docs: DataFrame, quantiles: int = QUANTILES, range_bytes: int = RA
     dealt = joined.select("doc_id", "text", F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))).alias("g"))
     dealt = dealt.select(F.col("g.to").alias("part"), F.col("g.ghost").alias("ghost"), "doc_id", "text", F.xxhash64("text").alias("tie"))
     # digests are taken behind the shuffle, once for a text, and its sketch goes along to the text before it
-    rows = dealt.repartition("part").withColumn("keys", digests(F.col("text")))
-    rows = rows.withColumn("cells", sketch(F.col("keys")))
+    rows = dealt.repartition("part").withColumn("keys", _elements(digests(F.col("text"))))
+    rows = rows.withColumn("cells", _cells(F.col("keys")))
     order = Window.partitionBy("part").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "tie", "text")
     nexts = [F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "keys", "cells")]
     return rows.select("ghost", "doc_id", "text", "keys", "cells", *nexts).where("NOT ghost").drop("ghost")
@@ -270,8 +284,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 2) as int))"))
     rows = rows.withColumn("edited", F.when(half > 0, edited).otherwise(F.col("text")))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "keys", "cells", "next_keys", "next_cells", digests(F.col("edited")).alias("edited_keys"))
-    rows = rows.withColumn("edited_cells", sketch(F.col("edited_keys")))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "keys", "cells", "next_keys", "next_cells", _elements(digests(F.col("edited"))).alias("edited_keys"))
+    rows = rows.withColumn("edited_cells", _cells(F.col("edited_keys")))
     versus = lambda other: F.struct(F.col("cells").alias("a"), F.col(f"{other}_cells").alias("b"), F.col("keys").alias("plus"), F.col(f"{other}_keys").alias("minus"))
     rows = rows.withColumn("to", F.transform(F.array(versus("edited"), versus("next")), lambda v: difference(*(v[c] for c in ("a", "b", "plus", "minus"))))).withColumns({"to_edited": F.col("to")[0], "to_next": F.col("to")[1]})
     return rows.select(
