@@ -7,14 +7,42 @@ the postings on the term, so a search touches the postings of its terms only.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 
 def postings(docs: DataFrame, tokens: Column, key: str = "id") -> DataFrame:
-    """(id, term, tf, sum of positions) of every document; ``tokens`` is an array column."""
+    """(id, term, tf, sum of positions, positions in order) of every document; ``tokens`` is an array column."""
     t = docs.select(F.col(key).alias("id"), F.posexplode(tokens).alias("pos", "term"))
-    return t.groupBy("id", "term").agg(F.count("*").alias("tf"), F.sum("pos").alias("pos_sum"))
+    return t.groupBy("id", "term").agg(F.count("*").alias("tf"), F.sum("pos").alias("pos_sum"), F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+@dataclass
+class TermIndex:
+    """Stored tables of an index: postings sorted by term, document lengths, document frequencies and the size of the corpus."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    frequencies: DataFrame
+    size: DataFrame
+
+
+def term_index(docs: DataFrame, tokens: Column, name: str) -> TermIndex:
+    """The index of ``docs`` (id, text), built from one pass over the texts when it is first asked for.
+
+    Postings are dealt out and sorted by term, so that a search reads the row
+    groups of its own terms only.
+    """
+    post = stored(docs, f"{name}-postings", lambda d: postings(d, tokens).repartition("term").sortWithinPartitions("term"))
+    dl = stored(post, f"{name}-lengths", lengths)
+    df = stored(post, f"{name}-frequencies", document_frequencies)
+    n = stored(docs, f"{name}-documents", lambda d: d.agg(F.count("*").alias("n")))
+    size = stored(dl, f"{name}-size", lambda d: d.agg(F.sum("dl").alias("total")).crossJoin(n).select("n", (F.coalesce("total", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl")))  # one row each
+    return TermIndex(post, dl, df, size)
 
 
 def lengths(post: DataFrame) -> DataFrame:
@@ -30,24 +58,81 @@ def corpus_size(docs: DataFrame, dl: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n")).crossJoin(dl.agg(F.sum("dl").alias("total"))).select("n", (F.coalesce("total", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avgdl"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, post: DataFrame, k1: float = 1.2, b: float = 0.75, variant: str = "A") -> DataFrame:
-    """Scores (qid, id, score) of every document that shares a term with a query.
+def term_weights(k1: float = 1.2, b: float = 0.75, variant: str = "A") -> Column:
+    """The weight of a posting (tf, dl, df, n_docs, avgdl).
 
-    A: ln((N - df + .5) / (df + .5)) * tf / (tf + K), repeated query terms count each time.
+    A: ln((N - df + .5) / (df + .5)) * tf / (tf + K).
     B: ln((N + 1) / (df + 1)) * tf / (tf + K).
-    C: as A with (k1 + 1) * tf and each query term once.
+    C: as A with (k1 + 1) * tf.
     """
-    dl = lengths(post)
-    size = F.broadcast(corpus_size(docs, dl).withColumnRenamed("n", "n_docs"))  # one row
-    hits = post.join(queries.select("qid", "term", F.col("n").alias("times")), "term").join(document_frequencies(post), "term").join(dl.select("id", "dl"), "id").crossJoin(size)
     k = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) if variant == "B" else F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") / (F.col("tf") + k)
-    if variant == "A":
-        part = part * F.col("times")
-    elif variant == "C":
-        part = part * (k1 + 1)
-    return hits.groupBy("qid", "id").agg(F.sum(idf * part).alias("score"))
+    return idf * (part * (k1 + 1) if variant == "C" else part)
+
+
+def _with_statistics(hits: DataFrame, index: TermIndex) -> DataFrame:
+    size = F.broadcast(index.size.withColumnRenamed("n", "n_docs"))  # one row
+    return hits.join(index.frequencies, "term").join(index.lengths.select("id", "dl"), "id").crossJoin(size)
+
+
+def bm25(queries: DataFrame, index: TermIndex, k1: float = 1.2, b: float = 0.75, variant: str = "A") -> DataFrame:
+    """Scores (qid, id, score) of every document that shares a term with a query (qid, term, n).
+
+    Variant A counts repeated query terms each time, B and C once.
+    """
+    hits = _with_statistics(index.postings.select("id", "term", "tf").join(queries.select("qid", "term", F.col("n").alias("times")), "term"), index)
+    weight = term_weights(k1, b, variant)
+    return hits.groupBy("qid", "id").agg(F.sum(weight * F.col("times") if variant == "A" else weight).alias("score"))
+
+
+def sparse_vectors(index: TermIndex, name: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, term, w, norm): variant B weights of all postings and the length of each document's vector; stored with the index."""
+
+    def build(post: DataFrame) -> DataFrame:
+        w = _with_statistics(post.select("id", "term", "tf"), index)
+        w = w.select("id", "term", term_weights(k1, b, "B").alias("w"))
+        norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return w.join(norm, "id").repartition("term").sortWithinPartitions("term")
+
+    return stored(index.postings, f"{name}-sparse", build)
+
+
+def sparse_cosine(queries: DataFrame, index: TermIndex, vectors: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Cosine (qid, id, score) of the queries' sparse vectors and the documents'; query terms that no document has count one document."""
+    q = queries.join(queries.groupBy("qid").agg(F.sum("n").alias("dl")), "qid").withColumnRenamed("n", "tf")
+    q = q.join(index.frequencies, "term", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    q = q.crossJoin(F.broadcast(index.size.withColumnRenamed("n", "n_docs")))  # one row
+    q = q.select("qid", "term", term_weights(k1, b, "B").alias("qw"))
+    norm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    dot = vectors.join(q, "term").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.first("norm").alias("norm"))
+    length = F.col("norm") * F.col("qnorm")
+    return dot.join(norm, "qid").select("qid", "id", F.when(length > 0, F.col("dot") / length).otherwise(0.0).alias("score"))
+
+
+def keyword_scores(queries: DataFrame, pairs: DataFrame, index: TermIndex) -> DataFrame:
+    """Scores (qid, id, score) by term shares, raised for early positions, and .1 for each two neighbouring query terms that stand together in the document.
+
+    queries: (qid, term); pairs: (qid, at, left, right), the neighbouring terms of each query.
+    """
+    early = 0.2 * F.greatest(F.lit(0.0), 1 - F.col("pos_sum") / F.col("tf") / F.col("dl"))
+    hits = index.postings.select("id", "term", "tf", "pos_sum").join(queries, "term").join(index.lengths.select("id", "dl"), "id")
+    terms = hits.groupBy("qid", "id").agg(F.sum(F.col("tf") / F.col("dl") * (1 + early)).alias("terms"))
+    side = lambda name: index.postings.select("id", F.col("term").alias(name), F.col("positions").alias(f"at_{name}"))
+    together = pairs.join(side("left"), "left").join(side("right"), ["id", "right"]).where(F.arrays_overlap(F.transform("at_left", lambda p: p + 1), "at_right"))
+    phrases = together.groupBy("qid", "id").agg((F.count("*") * 0.1).alias("phrases"))
+    return terms.join(phrases, ["qid", "id"], "left").select("qid", "id", (F.col("terms") + F.coalesce("phrases", F.lit(0.0))).alias("score"))
+
+
+def semantic_scores(queries: DataFrame, vectors: DataFrame, threshold: float = 0.1, most: int = 30) -> DataFrame:
+    """Cosine top ``most`` (qid, id, score) above a threshold for a stated set of query vectors (qid, q).
+
+    The queries become one block that every row meets, so vectors are read once
+    and are not shuffled; only those above the threshold go on.
+    """
+    block = F.broadcast(queries.agg(F.collect_list(F.struct("qid", "q")).alias("block")))  # the query set, one row
+    scored = vectors.crossJoin(block).select("id", F.explode(F.transform("block", lambda b: F.struct(b["qid"].alias("qid"), cosine(F.col("v"), b["q"]).alias("score")))).alias("s"))
+    return top_k(scored.select("id", "s.*").where(F.col("score") > threshold), most, group="qid").drop("rank")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,13 +13,10 @@ from ..sources.tables import CHUNKS_SQL, chunks, table
 from .registry import query
 from .texts import bm25_tokens_sql, hybrid_tokens_sql
 
-#: Words of a benchmark passage that make a query.
-QUERY_WORDS = 8
-
 _INDEX_SQL = f"""tok AS (SELECT doc_id AS id, unnest({bm25_tokens_sql('text')}) AS term FROM documents),
 post AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT id, sum(tf) AS dl FROM post GROUP BY id), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 size AS (SELECT count(*) AS n, (SELECT sum(dl) FROM dl) / CAST(count(*) AS DOUBLE) AS avgdl FROM documents),
-q AS (SELECT item_id AS qid, term, count(*) AS times FROM (SELECT item_id, unnest(({bm25_tokens_sql('text')})[1:{QUERY_WORDS}]) AS term FROM benchmark) GROUP BY ALL)"""
+q AS (SELECT item_id AS qid, term, count(*) AS times FROM (SELECT item_id, unnest({bm25_tokens_sql('text')}) AS term FROM benchmark) GROUP BY ALL)"""
 
 
 def _bm25_sql(idf: str, part: str, k1: float) -> str:
@@ -30,27 +29,36 @@ _BM25_B = _bm25_sql("ln((n + 1.0) / (df + 1))", "tf / (tf + {k})", 1.2)
 _BM25_C = _bm25_sql(_IDF_A, "tf * 2.5 / (tf + {k})", 1.5)
 
 
-def _corpus(spark: SparkSession, sf_dir: str):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs, R.postings(docs, T.bm25_tokens(F.col("text")))
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> R.TermIndex:
+    """The BM25 index of all documents."""
+    return R.term_index(_documents(spark, sf_dir), T.bm25_tokens(F.col("text")), "bm25")
+
+
+def _hybrid_index(spark: SparkSession, sf_dir: str) -> R.TermIndex:
+    """The positional index of all documents with the tokens of the hybrid engine."""
+    return R.term_index(_documents(spark, sf_dir), T.hybrid_tokens(F.col("text")), "hybrid")
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.slice(T.bm25_tokens(F.col("text")), 1, QUERY_WORDS)).alias("term"))
+    """All terms of each benchmark passage."""
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(T.bm25_tokens(F.col("text"))).alias("term"))
     return terms.groupBy("qid", "term").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_INDEX_SQL} SELECT term, CAST(df AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post JOIN df USING (term) GROUP BY ALL""")
 def corpus_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, post = _corpus(spark, sf_dir)
-    return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return _index(spark, sf_dir).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query(f"""WITH {_INDEX_SQL} SELECT CAST(n AS BIGINT) AS n_docs, round(avgdl, 6) AS avgdl, (SELECT CAST(count(*) AS BIGINT) FROM df) AS vocabulary FROM size""")
 def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, post = _corpus(spark, sf_dir)
-    terms = R.document_frequencies(post).agg(F.count("*").alias("vocabulary"))
-    return R.corpus_size(docs, R.lengths(post)).crossJoin(terms).select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"), "vocabulary")
+    index = _index(spark, sf_dir)
+    terms = index.frequencies.agg(F.count("*").alias("vocabulary"))  # one row each
+    return index.size.crossJoin(terms).select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"), "vocabulary")
 
 
 def _top_sql(scores: str, keep: str = "score > 0") -> str:
@@ -58,8 +66,7 @@ def _top_sql(scores: str, keep: str = "score > 0") -> str:
 
 
 def _top(spark: SparkSession, sf_dir: str, variant: str, k1: float) -> DataFrame:
-    docs, post = _corpus(spark, sf_dir)
-    scores = R.bm25(_queries(spark, sf_dir), docs, post, k1=k1, variant=variant).withColumn("score", F.round("score", 6))
+    scores = R.bm25(_queries(spark, sf_dir), _index(spark, sf_dir), k1=k1, variant=variant).withColumn("score", F.round("score", 6))
     return R.top_k(scores.where("score > 0"), 10, group="qid").select("qid", "id", "score", "rank")
 
 
@@ -80,23 +87,26 @@ def bm25_search_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _POS_SQL = f"""tok AS (SELECT doc_id AS id, unnest({hybrid_tokens_sql('text')}) AS term, generate_subscripts({hybrid_tokens_sql('text')}, 1) - 1 AS pos FROM documents),
 post AS (SELECT id, term, count(*) AS tf, sum(pos) AS pos_sum FROM tok GROUP BY ALL), dl AS (SELECT id, sum(tf) AS dl FROM post GROUP BY id),
-q AS (SELECT DISTINCT item_id AS qid, unnest(({hybrid_tokens_sql('text')})[1:{QUERY_WORDS}]) AS term FROM benchmark)"""
-_KEYWORD_SQL = "SELECT qid, id, sum(tf / CAST(dl AS DOUBLE) * (1 + 0.2 * greatest(0, 1 - pos_sum / CAST(tf AS DOUBLE) / dl))) AS score FROM post JOIN q USING (term) JOIN dl USING (id) GROUP BY qid, id"
+qt AS (SELECT item_id AS qid, unnest({hybrid_tokens_sql('text')}) AS term, generate_subscripts({hybrid_tokens_sql('text')}, 1) AS at FROM benchmark), q AS (SELECT DISTINCT qid, term FROM qt),
+pairs AS (SELECT a.qid, a.at, a.term AS l, b.term AS r FROM qt a JOIN qt b ON a.qid = b.qid AND b.at = a.at + 1),
+grams AS (SELECT DISTINCT id, l, r FROM (SELECT id, term AS l, lead(term) OVER (PARTITION BY id ORDER BY pos) AS r FROM tok) WHERE r IS NOT NULL),
+phrases AS (SELECT qid, id, count(*) * 0.1 AS bonus FROM pairs JOIN grams USING (l, r) GROUP BY ALL)"""
+_KEYWORD_SQL = """SELECT qid, id, terms + coalesce(bonus, 0) AS score FROM (
+SELECT qid, id, sum(tf / CAST(dl AS DOUBLE) * (1 + 0.2 * greatest(0, 1 - pos_sum / CAST(tf AS DOUBLE) / dl))) AS terms FROM post JOIN q USING (term) JOIN dl USING (id) GROUP BY qid, id) LEFT JOIN phrases USING (qid, id)"""
 
 
 @query(f"""WITH {_POS_SQL}, s AS ({_KEYWORD_SQL}), r AS (SELECT qid, id, round(score, 6) AS score FROM s) SELECT qid, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM r) WHERE rank <= 10""")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Term shares with a bonus for early positions."""
+    """Term shares with a bonus for early positions and for neighbouring terms that stand together."""
     scores = _keyword(spark, sf_dir).withColumn("score", F.round("score", 6))
     return R.top_k(scores, 10, group="qid").select("qid", "id", "score", "rank")
 
 
 def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    post = R.postings(docs, T.hybrid_tokens(F.col("text")))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(F.slice(T.hybrid_tokens(F.col("text")), 1, QUERY_WORDS))).alias("term"))
-    early = 0.2 * F.greatest(F.lit(0.0), 1 - F.col("pos_sum") / F.col("tf") / F.col("dl"))
-    return post.join(q, "term").join(R.lengths(post), "id").groupBy("qid", "id").agg(F.sum(F.col("tf") / F.col("dl") * (1 + early)).alias("score"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.hybrid_tokens(F.col("text")).alias("t"))
+    q = items.select("qid", F.explode(F.array_distinct("t")).alias("term"))
+    pairs = items.select("qid", F.posexplode(F.arrays_zip(F.col("t").alias("left"), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))).alias("right"))).alias("at", "p")).select("qid", "at", "p.left", "p.right")
+    return R.keyword_scores(q, pairs.where("right IS NOT NULL"), _hybrid_index(spark, sf_dir))
 
 
 _COS = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))"
@@ -111,67 +121,85 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(s.where("score > 0.1"), 30)
 
 
-#: Relevance of metadata to the words of a query (fixed values).
-_META_SQL = "least(1.0, CASE WHEN class_name IS NOT NULL AND contains(lower(qt), lower(class_name)) THEN 0.5 ELSE 0 END + CASE WHEN function_name IS NOT NULL AND contains(lower(qt), lower(function_name)) THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(qt), lower(framework)) THEN 0.2 ELSE 0 END)"
+_STORE_QUERY = "run8"
+#: Metadata that holds the query: column, weight (fixed values).
+_META = [("class_name", 0.5), ("function_name", 0.5), ("file_name", 0.3), ("framework", 0.2)]
+_META_SQL = "least(1.0, " + " + ".join(f"CASE WHEN contains(lower({c}), {chr(39)}{_STORE_QUERY}{chr(39)}) THEN {w} ELSE 0 END" for c, w in _META) + ")"
+#: Words of the query beside its text: those of one benchmark passage, so that it meets documents.
+_STORE_TERMS_SQL = f"(SELECT 0 AS item_id, unnest({bm25_tokens_sql(chr(39) + _STORE_QUERY + chr(39))}) AS term UNION ALL SELECT 0, term FROM (SELECT unnest({bm25_tokens_sql('text')}) AS term FROM benchmark WHERE item_id = 0))"
 
-
-def _metadata(text: str):
-    hit = lambda c, w: F.when(F.contains(F.lit(text.lower()), F.lower(c)), w).otherwise(0.0)
-    return F.least(F.lit(1.0), hit("class_name", 0.5) + hit("function_name", 0.5) + hit("framework", 0.2))
-
-
-_STORE_QUERY = "the run8 of Class24 and src3"
-
-_HYBRID_SQL = f"""WITH {CHUNKS_SQL}, {_INDEX_SQL.replace(f"(SELECT item_id, unnest(({bm25_tokens_sql('text')})[1:{QUERY_WORDS}]) AS term FROM benchmark)", f"(SELECT 0 AS item_id, unnest({bm25_tokens_sql(chr(39) + _STORE_QUERY + chr(39))}) AS term UNION ALL SELECT 0, term FROM (SELECT unnest(({bm25_tokens_sql('text')})[1:{QUERY_WORDS}]) AS term FROM benchmark WHERE item_id = 0))")},
+_HYBRID_SQL = f"""WITH {CHUNKS_SQL}, {_INDEX_SQL.replace(f"(SELECT item_id, unnest({bm25_tokens_sql('text')}) AS term FROM benchmark)", _STORE_TERMS_SQL)},
 k AS ({_BM25_A}),
+w AS (SELECT id, term, ln((n + 1.0) / (df + 1)) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS w FROM post JOIN df USING (term) JOIN dl USING (id) CROSS JOIN size),
+qw AS (SELECT term, ln((n + 1.0) / (coalesce(df, 1) + 1)) * times / (times + 1.2 * (0.25 + 0.75 * (SELECT sum(times) FROM q) / avgdl)) AS qw FROM q LEFT JOIN df USING (term) CROSS JOIN size),
+sp AS (SELECT id, sum(w * qw) / ((SELECT sqrt(sum(qw * qw)) FROM qw) * any_value(norm)) AS sparse FROM w JOIN qw USING (term) JOIN (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id) USING (id) GROUP BY id),
 v AS (SELECT e.vec_id AS id, {_COS} AS dense FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
-a AS (SELECT chunk_idx, c.id AS chunk, coalesce(dense, 0) AS dense, coalesce(score, 0) AS keyword, {_META_SQL.replace('qt', chr(39) + _STORE_QUERY + chr(39))} AS meta FROM chunks c LEFT JOIN k ON k.id = chunk_idx LEFT JOIN v ON v.id = chunk_idx WHERE language IN ('en', 'de'))
-SELECT chunk AS id, round(dense, 6) AS dense, round(keyword, 6) AS keyword, round(CAST(meta AS DOUBLE), 6) AS metadata, round(0.4 * dense + 0.3 * keyword + 0.1 * meta, 6) AS score FROM a WHERE 0.4 * dense + 0.3 * keyword + 0.1 * meta > 0.1 ORDER BY score DESC, chunk_idx LIMIT 10"""
+a AS (SELECT chunk_idx, c.id AS chunk, coalesce(dense, 0) AS dense, coalesce(sparse, 0) AS sparse, coalesce(score, 0) AS keyword, CAST({_META_SQL} AS DOUBLE) AS meta FROM (SELECT *, regexp_extract(file_path, '[^/]+$') AS file_name FROM chunks) c LEFT JOIN k ON k.id = chunk_idx LEFT JOIN v ON v.id = chunk_idx LEFT JOIN sp ON sp.id = chunk_idx WHERE language IN ('en', 'de')),
+s AS (SELECT *, 0.4 * dense + 0.3 * sparse + 0.3 * keyword + 0.1 * meta AS total FROM a)
+SELECT chunk AS id, round(dense, 6) AS dense, round(sparse, 6) AS sparse, round(keyword, 6) AS keyword, round(meta, 6) AS metadata, round(total, 6) AS score FROM s WHERE total > 0.1 ORDER BY round(total, 6) DESC, chunk_idx LIMIT 10"""
 
 
 @query(_HYBRID_SQL)
 def hybrid_search_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense, keyword and metadata scores of filtered chunks, fused, thresholded and cut to the first ten."""
-    docs, post = _corpus(spark, sf_dir)
+    """Dense, sparse, keyword and metadata scores of filtered chunks, added by weight, thresholded and cut to the first ten."""
+    index = _index(spark, sf_dir)
     words = spark.range(1).select(F.explode(T.bm25_tokens(F.lit(_STORE_QUERY))).alias("term"))
-    more = table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.explode(F.slice(T.bm25_tokens(F.col("text")), 1, QUERY_WORDS)).alias("term"))
+    more = table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.explode(T.bm25_tokens(F.col("text"))).alias("term"))
     q = words.unionByName(more).groupBy("term").agg(F.count("*").alias("n")).withColumn("qid", F.lit(0))
-    keyword = R.bm25(q, docs, post).select(F.col("id").alias("chunk_idx"), F.col("score").alias("keyword"))
+    leg = lambda df, name: df.select(F.col("id").alias("chunk_idx"), F.col("score").alias(name))
+    keyword = leg(R.bm25(q, index), "keyword")
+    sparse = leg(R.sparse_cosine(q, index, R.sparse_vectors(index, "bm25")), "sparse")
     e = table(spark, sf_dir, "embeddings")
     one = F.broadcast(e.where("vec_id = 0").select(F.col("embedding").alias("q")))  # one row
     dense = e.crossJoin(one).select(F.col("vec_id").alias("chunk_idx"), R.cosine(F.col("embedding"), F.col("q")).alias("dense"))
-    c = chunks(spark, sf_dir).where(F.col("language").isin("en", "de")).select("chunk_idx", "id", _metadata(_STORE_QUERY).alias("metadata"))
-    a = c.join(keyword, "chunk_idx", "left").join(dense, "chunk_idx", "left").fillna(0.0, ["keyword", "dense"])
-    score = 0.4 * F.col("dense") + 0.3 * F.col("keyword") + 0.1 * F.col("metadata")
-    rows = a.where(score > 0.1).select("chunk_idx", "id", *[F.round(n, 6).alias(n) for n in ("dense", "keyword", "metadata")], F.round(score, 6).alias("score"))
+    c = chunks(spark, sf_dir).where(F.col("language").isin("en", "de")).withColumn("file_name", F.regexp_extract("file_path", "[^/]+$", 0))
+    metadata = F.least(F.lit(1.0), T.total([F.when(F.contains(F.lower(name), F.lit(_STORE_QUERY)), w).otherwise(0.0) for name, w in _META]))
+    a = c.select("chunk_idx", "id", metadata.alias("metadata"))
+    for df in (keyword, sparse, dense):
+        a = a.join(df, "chunk_idx", "left")
+    a = a.fillna(0.0, ["keyword", "sparse", "dense"])
+    score = 0.4 * F.col("dense") + 0.3 * F.col("sparse") + 0.3 * F.col("keyword") + 0.1 * F.col("metadata")
+    rows = a.where(score > 0.1).select("chunk_idx", "id", *[F.round(n, 6).alias(n) for n in ("dense", "sparse", "keyword", "metadata")], F.round(score, 6).alias("score"))
     return rows.orderBy(F.desc("score"), "chunk_idx").limit(10).drop("chunk_idx")
 
 
+def _second(sql: str) -> str:
+    """The positional index's SQL under names of its own."""
+    return re.sub(r"\b(tok|post|dl|q)\b", r"\g<1>2", sql)
+
+
 _FUSED_SQL = f"""WITH {_INDEX_SQL}, b AS ({_BM25_C}), bp AS (SELECT qid, id, score / greatest(max(score) OVER (PARTITION BY qid), 1.0) AS bm25 FROM b WHERE score > 0),
-{_POS_SQL.replace('tok AS', 'tok2 AS').replace('FROM tok ', 'FROM tok2 ').replace('post AS', 'post2 AS').replace('FROM post ', 'FROM post2 ').replace('dl AS', 'dl2 AS', 1).replace('q AS', 'q2 AS')},
-k AS ({_KEYWORD_SQL.replace('FROM post ', 'FROM post2 ').replace('JOIN q ', 'JOIN q2 ').replace('JOIN dl ', 'JOIN dl2 ')}), kp AS (SELECT qid, id, score / greatest(max(score) OVER (PARTITION BY qid), 1.0) AS keyword FROM k),
-f AS (SELECT qid, id, coalesce(keyword, 0) AS keyword, coalesce(bm25, 0) AS bm25, round(0.35 * coalesce(keyword, 0) + 0.25 * coalesce(bm25, 0), 6) AS score FROM kp FULL JOIN bp USING (qid, id)),"""
+{_second(_POS_SQL)},
+k AS ({_second(_KEYWORD_SQL)}), kp AS (SELECT qid, id, score / greatest(max(score) OVER (PARTITION BY qid), 1.0) AS keyword FROM k),
+v AS (SELECT q.vec_id AS qid, e.vec_id AS id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+vp AS (SELECT qid, id, score / greatest(max(score) OVER (PARTITION BY qid), 1.0) AS semantic FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rn FROM v WHERE score > 0.1) WHERE rn <= 30),
+f AS (SELECT qid, id, coalesce(semantic, 0) AS semantic, coalesce(keyword, 0) AS keyword, coalesce(bm25, 0) AS bm25, round(0.4 * coalesce(semantic, 0) + 0.35 * coalesce(keyword, 0) + 0.25 * coalesce(bm25, 0), 6) AS score FROM kp FULL JOIN bp USING (qid, id) FULL JOIN vp USING (qid, id)),"""
 
 
 @query(_FUSED_SQL + """ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f)
-SELECT qid, id, round(keyword, 6) AS keyword, round(bm25, 6) AS bm25, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
+SELECT qid, id, round(semantic, 6) AS semantic, round(keyword, 6) AS keyword, round(bm25, 6) AS bm25, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
 def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword and BM25 legs, full outer joined after scaling by each query's maximum."""
-    out = _fused(spark, sf_dir)
-    top = R.top_k(out, 20, group="qid")
-    return top.select("qid", "id", F.round("keyword", 6).alias("keyword"), F.round("bm25", 6).alias("bm25"), "score", "rank")
+    """Semantic, keyword and BM25 legs, full outer joined after scaling by each query's maximum."""
+    top = R.top_k(_fused(spark, sf_dir), 20, group="qid")
+    return top.select("qid", "id", *[F.round(n, 6).alias(n) for n in ("semantic", "keyword", "bm25")], "score", "rank")
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, post = _corpus(spark, sf_dir)
-    legs = {"keyword": _keyword(spark, sf_dir), "bm25": R.bm25(_queries(spark, sf_dir), docs, post, k1=1.5, variant="C").where("score > 0")}
-    return R.fused(legs, {"keyword": 0.35, "bm25": 0.25}, ["qid", "id"]).withColumn("score", F.round("score", 6))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
+    q = vectors.join(wanted, "id").select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    legs = {
+        "semantic": R.semantic_scores(q, vectors),
+        "keyword": _keyword(spark, sf_dir),
+        "bm25": R.bm25(_queries(spark, sf_dir), _index(spark, sf_dir), k1=1.5, variant="C").where("score > 0"),
+    }
+    return R.fused(legs, {"semantic": 0.4, "keyword": 0.35, "bm25": 0.25}, ["qid", "id"]).withColumn("score", F.round("score", 6))
 
 
 _RERANK_SQL = _FUSED_SQL + f""" top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 20), {CHUNKS_SQL},
 w AS (SELECT t.qid, t.id, t.score, c.*, ({hybrid_tokens_sql('c.content')}) AS words, (SELECT list(term) FROM q2 WHERE q2.qid = t.qid) AS terms FROM (SELECT qid, id, score FROM top) t JOIN (SELECT * RENAME (id AS cid) FROM chunks) c ON c.chunk_idx = t.id),
 x AS (SELECT qid, id, round(score * (1 + 0.2 * CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda y: list_contains(terms, y))) / CAST(len(words) AS DOUBLE) ELSE 0 END)
- * (1 + least(0.2, CASE WHEN length(content) > 100 AND length(content) < 2000 THEN 0.05 ELSE 0 END + CASE WHEN contains(content, 'function') OR contains(content, 'class') THEN 0.05 ELSE 0 END + CASE WHEN contains(content, '//') THEN 0.03 ELSE 0 END)), 6) AS score, chunk_type, framework, importance, modified FROM w),
+ * (1 + least(0.2, CASE WHEN length(content) > 100 AND length(content) < 2000 THEN 0.05 ELSE 0 END + CASE WHEN contains(content, 'function') OR contains(content, 'class') THEN 0.05 ELSE 0 END + CASE WHEN contains(content, '//') THEN 0.03 ELSE 0 END)) + 1e-9, 6) AS score, chunk_type, framework, importance, modified FROM w),
 d AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY qid, chunk_type ORDER BY score DESC, id) = 1 THEN 0.1 ELSE 0 END + CASE WHEN row_number() OVER (PARTITION BY qid, framework ORDER BY score DESC, id) = 1 THEN 0.1 ELSE 0 END AS bonus FROM x)
 SELECT qid, id, round(score + bonus + 0.1 * importance + 0.05 * greatest(0, 1 - (DATE '2024-06-30' - modified) / 365.0), 6) AS final_score FROM d"""
 
@@ -180,13 +208,13 @@ SELECT qid, id, round(score + bonus + 0.1 * importance + 0.05 * greatest(0, 1 -
 def reranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reranking by density and quality, bonuses for new types and frameworks, then importance and recency."""
     top = R.top_k(_fused(spark, sf_dir), 20, group="qid").select("qid", "id", "score")
-    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(F.slice(T.hybrid_tokens(F.col("text")), 1, QUERY_WORDS)).alias("terms"))
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(T.hybrid_tokens(F.col("text"))).alias("terms"))
     c = chunks(spark, sf_dir).drop("id")
     w = top.join(c, top["id"] == c["chunk_idx"]).join(terms, "qid")
     n = F.length("content")
     structure = F.contains("content", F.lit("function")) | F.contains("content", F.lit("class"))
     quality = F.least(F.lit(0.2), F.when((n > 100) & (n < 2000), 0.05).otherwise(0.0) + F.when(structure, 0.05).otherwise(0.0) + F.when(F.contains("content", F.lit("//")), 0.03).otherwise(0.0))
-    w = w.withColumn("score", F.round(F.col("score") * (1 + 0.2 * T.term_density(F.col("content"), F.col("terms"))) * (1 + quality), 6))
+    w = w.withColumn("score", F.round(F.col("score") * (1 + 0.2 * T.term_density(F.col("content"), F.col("terms"))) * (1 + quality) + 1e-9, 6))  # a product of decimals may lie just between two roundings
     d = R.first_seen_bonus(w.withColumn("bonus", F.lit(0.0)), {"chunk_type": 0.1, "framework": 0.1}, "bonus", [F.desc("score"), "id"])
     recent = F.greatest(F.lit(0.0), 1 - F.datediff(F.lit("2024-06-30").cast("date"), "modified") / 365.0)
     return d.select("qid", "id", F.round(F.col("score") + F.col("bonus") + 0.1 * F.col("importance") + 0.05 * recent, 6).alias("final_score"))
