@@ -252,7 +252,7 @@ _segments = LOWER_PATH.all(r"[^/]+", 0)
 
 def _hinted(words: tuple[str, ...]) -> X:
     """Whether a path segment holds one of the words or is part of one."""
-    either = lambda x: x.contains(*words) | first_of([(True, X(_contains_col(w, x), f"contains({code.quoted(w)}, {x.sql})")) for w in words], False)
+    either = lambda x: x.contains(*words) | first_of([(True, X(lambda w=w: _contains_col(w, x), f"contains({code.quoted(w)}, {x.sql})")) for w in words], False)
     return _segments.where(either).size() > 0
 
 
