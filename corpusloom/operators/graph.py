@@ -71,7 +71,7 @@ def circular_edges(closure: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cluster_metrics(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(cluster, nodes, internal, external, cohesion, coupling) of disjoint clusters (cluster, node)."""
+    """(cluster, nodes, internal, external, cohesion, coupling) of disjoint clusters (cluster, node); a single node has cohesion 1."""
     s, t = members.select(F.col("cluster").alias("cs"), F.col("node").alias("source")), members.select(F.col("cluster").alias("ct"), F.col("node").alias("target"))
     e = edges.select("source", "target").join(s, "source").join(t, "target")
     sides = e.select(F.explode(F.when(F.col("cs") == F.col("ct"), F.array(F.struct(F.col("cs").alias("cluster"), F.lit(1).alias("inside")))).otherwise(F.array(F.struct(F.col("cs").alias("cluster"), F.lit(0).alias("inside")), F.struct(F.col("ct").alias("cluster"), F.lit(0).alias("inside"))))).alias("x")).select("x.*")
@@ -80,4 +80,4 @@ def cluster_metrics(members: DataFrame, edges: DataFrame) -> DataFrame:
     every = members.agg(F.count("*").alias("every"))
     out = sizes.join(counts, "cluster", "left").fillna(0, ["internal", "external"]).crossJoin(F.broadcast(every))
     n = F.col("nodes")
-    return out.select("cluster", "nodes", "internal", "external", F.coalesce(F.try_divide("internal", n * (n - 1) / 2), F.lit(0.0)).alias("cohesion"), F.coalesce(F.try_divide("external", n * (F.col("every") - n)), F.lit(0.0)).alias("coupling"))
+    return out.select("cluster", "nodes", "internal", "external", F.coalesce(F.try_divide("internal", n * (n - 1) / 2), F.lit(1.0)).alias("cohesion"), F.coalesce(F.try_divide("external", n * (F.col("every") - n)), F.lit(0.0)).alias("coupling"))

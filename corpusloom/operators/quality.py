@@ -17,15 +17,24 @@ class QualityRule:
 
 DEFAULT_RULES = [
     QualityRule("complexity", "medium", "complexity > 8"),
-    QualityRule("coupling", "low", "size(dependencies) = 0"),
+    QualityRule("coupling", "low", "size(dependencies) = 0 AND chunk_type <> 'configuration'"),
     QualityRule("length", "high", "end_line > 40"),
-    QualityRule("markup", "critical", "contains(content, '***') OR contains(content, '%%%')"),
+    QualityRule("duplication", "medium", "n_same > 1"),
 ]
 
 #: Points that an issue costs (fixed values).
 PENALTIES = {"critical": 15.0, "high": 7.0, "medium": 3.0, "low": 0.0}
 
 
+def with_duplicates(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with n_same: how many of them, itself included, have the same set of words; chunks without words are not counted."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"[a-z0-9]+"), F.lit(0))))
+    digest = F.when(F.size(words) > 0, F.md5(F.concat_ws(" ", words).cast("binary")))
+    rows = chunks.withColumn("same", digest)
+    n = rows.where("same IS NOT NULL").groupBy("same").agg(F.count("*").alias("n_same"))
+    return rows.join(n, "same", "left").drop("same")
+
+
 def issues(chunks: DataFrame, rules: list[QualityRule]) -> DataFrame:
     """(id, type, severity): one row for each rule that a chunk breaks, all rules in one pass."""
     found = [F.when(F.expr(r.check), F.struct(F.lit(r.type).alias("type"), F.lit(r.severity).alias("severity"))) for r in rules]

@@ -11,19 +11,23 @@ from .registry import query
 
 _ISSUES_SQL = f"""{CHUNKS_SQL}, i AS (
 SELECT id, 'complexity' AS type, 'medium' AS severity FROM chunks WHERE complexity > 8 UNION ALL
-SELECT id, 'coupling', 'low' FROM chunks WHERE len(dependencies) = 0 UNION ALL
+SELECT id, 'coupling', 'low' FROM chunks WHERE len(dependencies) = 0 AND chunk_type <> 'configuration' UNION ALL
 SELECT id, 'length', 'high' FROM chunks WHERE end_line > 40 UNION ALL
-SELECT id, 'markup', 'critical' FROM chunks WHERE contains(content, '***') OR contains(content, '%%%'))"""
+SELECT id, 'duplication', 'medium' FROM (SELECT id, words, count(*) OVER (PARTITION BY words) AS n FROM (SELECT id, list_sort(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) AS words FROM chunks)) WHERE n > 1 AND len(words) > 0)"""
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.issues(Q.with_duplicates(chunks(spark, sf_dir)), Q.DEFAULT_RULES)
 
 
 @query(f"WITH {_ISSUES_SQL} SELECT id, type, severity FROM i")
 def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.issues(chunks(spark, sf_dir), Q.DEFAULT_RULES)
+    return _issues(spark, sf_dir)
 
 
 @query(f"""WITH {_ISSUES_SQL} SELECT type, CAST(count(*) AS BIGINT) AS issues, CAST(count(*) FILTER (severity IN ('critical', 'high')) AS BIGINT) AS urgent, CASE WHEN count(*) > 100 THEN 'systematic' ELSE 'local' END AS scope FROM i GROUP BY type""")
 def quality_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.recommendations(Q.issues(chunks(spark, sf_dir), Q.DEFAULT_RULES))
+    return Q.recommendations(_issues(spark, sf_dir))
 
 
 #: Dimension, base, weight (fixed values).
@@ -36,7 +40,7 @@ s AS (SELECT d.language, greatest(0, 85 - CASE WHEN named < 0.8 THEN 10 ELSE 0 E
 round(CAST(greatest(0, least(100, (accuracy * 0.25 + completeness * 0.2 + relevance * 0.15 + clarity * 0.1) / 0.7 - (15.0 * crit + 7.0 * high + 3.0 * med) / chunks)) AS DOUBLE), 4) AS score FROM s""")
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four dimensions and an overall score for each language; penalties are per chunk with issues."""
-    return Q.scores(chunks(spark, sf_dir), Q.issues(chunks(spark, sf_dir), Q.DEFAULT_RULES), "language")
+    return Q.scores(chunks(spark, sf_dir), _issues(spark, sf_dir), "language")
 
 
 @query(f"""WITH {CHUNKS_SQL}, v AS (SELECT id, language, (length(content) - length(replace(content, '{{', ''))) = (length(content) - length(replace(content, '}}', ''))) AS balanced, NOT regexp_matches(content, '[ \\t]\\n') AS trimmed, length(content) BETWEEN 50 AND 20000 AS sized FROM chunks)

@@ -166,11 +166,11 @@ def project_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("directory", "files", "config_files", F.when(F.col("config_files") * 3 > F.col("files"), "configuration").when(F.col("documents") * 3 > F.col("files"), "documentation").otherwise("source").alias("purpose"))
 
 
-@query("""WITH s AS (SELECT n_name AS service, list_sort(list_distinct(list(p_brand))) AS dependencies, count(*) AS lines FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN part ON p_partkey = l_partkey WHERE p_size <= 3 GROUP BY n_name)
+@query("""WITH s AS (SELECT n_name AS service, list_sort(list_distinct(list(p_brand))) AS dependencies, count(*) AS lines FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN part ON p_partkey = l_partkey GROUP BY n_name)
 SELECT a.service AS a, b.service AS b, CAST(len(list_intersect(a.dependencies, b.dependencies)) AS BIGINT) AS shared, round(len(list_intersect(a.dependencies, b.dependencies)) / CAST(len(list_distinct(list_concat(a.dependencies, b.dependencies))) AS DOUBLE), 6) AS overlap FROM s a JOIN s b ON a.service < b.service""")
 def service_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependencies that two services share; services are nations, at most a few dozen rows."""
-    s = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(table(spark, sf_dir, "part").where("p_size <= 3"), F.col("p_partkey") == F.col("l_partkey"))
+    s = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     s = s.groupBy(F.col("n_name").alias("service")).agg(F.collect_set("p_brand").alias("dependencies"))
     a, b = s.alias("a"), s.alias("b")
     pairs = a.join(b, F.col("a.service") < F.col("b.service"))

@@ -136,13 +136,13 @@ def formatted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.human_bytes(F.col("n_chars") * 1000).alias("size"))
 
 
-@query("""WITH d AS (SELECT doc_id, string_split_regex(lower(text), '\\s+') AS w, lang FROM documents WHERE n_chars < 3000), q AS (SELECT item_id, string_split_regex(lower(text), '\\s+') AS w FROM benchmark),
+@query("""WITH d AS (SELECT doc_id, string_split_regex(lower(text), '\\s+') AS w, lang FROM documents), q AS (SELECT item_id, string_split_regex(lower(text), '\\s+') AS w FROM benchmark),
 dw AS (SELECT DISTINCT doc_id, unnest(w) AS w FROM d), qw AS (SELECT DISTINCT item_id, unnest(w) AS w FROM q), dn AS (SELECT doc_id, count(*) AS n FROM dw GROUP BY 1), qn AS (SELECT item_id, count(*) AS n FROM qw GROUP BY 1),
 m AS (SELECT item_id, doc_id, count(*) AS c FROM qw JOIN dw USING (w) GROUP BY ALL)
 SELECT item_id, doc_id, round(c / CAST(qn.n + dn.n - c AS DOUBLE), 6) AS similarity FROM m JOIN dn USING (doc_id) JOIN qn USING (item_id) WHERE c / CAST(qn.n + dn.n - c AS DOUBLE) > 0.2""")
 def word_set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard similarity by a join on shared words; sizes are joined afterwards."""
-    d = table(spark, sf_dir, "documents").where("n_chars < 3000").select("doc_id", F.explode(F.array_distinct(T.words_of(F.col("text")))).alias("w"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.words_of(F.col("text")))).alias("w"))
     q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.words_of(F.col("text")))).alias("w"))
     common = q.join(d, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("c"))
     sizes = lambda df, key, name: df.groupBy(key).agg(F.count("*").alias(name))
