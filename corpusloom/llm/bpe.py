@@ -12,7 +12,7 @@ Only pieces that fail are merged exactly, rank by rank.  A piece longer than
 ``LONGEST`` is merged exactly at once.
 
 What a worker remembers is bounded by ``MEMORY`` pieces and as many pairs and
-forgotten as a whole beyond it, so a worker stays under about 300 MB.
+forgotten as a whole beyond it, so a worker stays under about 200 MB.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .shared import documents
 #: Characters of text that are encoded together.
 CHUNK_CHARS = 2_000_000
 #: Pieces, and pairs of tokens, that a worker remembers; and the longest piece, in bytes, that is proposed token by token.
-MEMORY = 400_000
+MEMORY = 250_000
 LONGEST = 256
 
 
