@@ -41,6 +41,9 @@ FLUSH = 1_500_000
 #: Texts scored at once, in bytes.
 SCORE_BYTES = 2 << 20
 
+#: Largest count of a pair in the main arrays; a count that reaches it stands in an array of its own.
+MOST = (1 << 32) - 1
+
 _U = np.uint64
 
 
@@ -147,6 +150,7 @@ class Layout:
         self.hot = np.zeros(0, np.int64)
         self.discount = self.low_discount = (0.5, 1.0, 1.5)
         self.low_left = 0.0
+        self.most = MOST
 
     @property
     def words(self) -> int:
@@ -178,6 +182,7 @@ class Reader:
         self.base = np.concatenate([[0], np.cumsum(layout.sizes)])
         self.vocabulary = [_mapped(layout.folder, f"words-{i}", np.uint64, np.int64) if n else None for i, n in enumerate(layout.sizes)]
         self.pair_files: dict[int, list[np.ndarray]] = {}
+        self.large: dict[int, list[np.ndarray]] = {}
         self.stat_files: dict[int, list[np.ndarray]] = {}
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,10 +211,14 @@ class Reader:
                 continue
             if i not in self.pair_files:
                 self.pair_files[i] = _mapped(self.layout.folder, f"pairs-{i}", np.uint64, np.uint32)
+                self.large[i] = _mapped(self.layout.folder, f"large-{i}", np.uint64, np.int64)
             file = self.pair_files[i]
             if len(file[0]):
                 at = np.minimum(np.searchsorted(file[0], keys[own]), len(file[0]) - 1)
                 out[own] = np.where(file[0][at] == keys[own], file[1][at], 0)
+                more = own[out[own] == self.layout.most]
+                if len(more):
+                    out[more] = self.large[i][1][np.searchsorted(self.large[i][0], keys[more])]
         return out
 
     def stats(self, ids: np.ndarray) -> np.ndarray:
@@ -278,7 +287,12 @@ def _less(count: np.ndarray, discount: tuple[float, float, float]) -> np.ndarray
 
 
 def fit(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Layout:
-    """Counts a model over the text of ``docs``; null texts are empty and still have an end."""
+    """Counts a model over the text of ``docs``; null texts are empty and still have an end.
+
+    Repeated rows count each time, whatever their ids; whole texts are counted,
+    however long.  An empty table gives a model that knows no word.  More than
+    2**32 - 2 different words are an error; counts have no limit.
+    """
     spark = docs.sparkSession
     shards = max(LEAST_SHARDS, -(-size_of_text(docs) // shard_bytes))
     layout = Layout(new_path(spark, "ngrams"), shards)
@@ -315,6 +329,8 @@ def fit(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Layout:
             layout.sizes[r["shard"]] = r["n"]
             layout.tokens += r["total"]
             top += [(r["shard"], t["at"], t["c"]) for t in r["top"]]
+    if layout.words + 2 > 1 << 32:
+        raise ValueError(f"{layout.words} different words: ids of words must fit in 32 bits")
     base = np.concatenate([[0], np.cumsum(layout.sizes)])
     # at most 4 * shards words can be this frequent, and eight are looked at in each shard
     hot = [base[s] + at for s, at, c in top if c * 4 * shards > layout.tokens]
@@ -336,7 +352,9 @@ def fit(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Layout:
 
     def keep_pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _summed(_joined(pdf, "keys", np.uint64), _joined(pdf, "counts", np.uint32))
-        _save(layout.folder, f"pairs-{int(key[0])}", keys, counts.astype(np.uint32))
+        large = counts >= layout.most
+        _save(layout.folder, f"pairs-{int(key[0])}", keys, np.minimum(counts, layout.most).astype(np.uint32))
+        _save(layout.folder, f"large-{int(key[0])}", keys[large], counts[large])
         lead, follow = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
         kind = np.minimum(counts, 3) - 1
         ids = np.concatenate([lead * 4 + kind, follow * 4 + 3])
@@ -387,7 +405,13 @@ def probabilities(layout: Layout, reader: Reader, previous: np.ndarray, own: np.
 
 
 def score(docs: DataFrame, layout: Layout) -> DataFrame:
-    """Columns of ``docs`` but text, with n_tokens, n_known, train_tokens, base_score, score and perplexity."""
+    """Columns of ``docs`` but text, with n_tokens, n_known, train_tokens, base_score, score and perplexity.
+
+    A null or empty text has one token, its end.  Equal texts have equal scores,
+    so repeated rows give repeated results; an empty table gives an empty one.
+    Columns of the names above are replaced, others returned as they are.  The
+    perplexity of a token that is less likely than 1e-300 is shown as 1e300.
+    """
     own = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*own).dtypes), "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"])
 

@@ -232,7 +232,8 @@ def test_components(spark):
     assert got == want
 
 
-def test_ngrams(docs, none):
+@pytest.mark.parametrize("most", [0, 2])
+def test_ngrams(docs, none, monkeypatch, most):
     def tokens(t):
         return [*"".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split(), None]
 
@@ -256,6 +257,8 @@ def test_ngrams(docs, none):
         return low if not context[a] else less(pairs[a, b], d) / context[a] + sum(d[i] * kinds[a, i + 1] for i in range(3)) / context[a] * low
 
     assert abs(sum(p(b"the", b) for b in c) + p(b"the", b"never seen") - 1) < 1e-9
+    if most:  # counts from here on stand apart
+        monkeypatch.setattr(ngrams, "MOST", most)
     layout = ngrams.fit(docs.where("doc_id IS NOT NULL").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2))
     for r in ngrams.score(docs.select("doc_id", "text", "score"), layout).collect():
         t = tokens({x[0]: x[1] for x in ROWS}[r["doc_id"]])
