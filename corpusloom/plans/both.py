@@ -177,15 +177,23 @@ def greatest(*xs: object) -> X:
     return X(lambda: F.greatest(*[y.col for y in ys]), f"greatest({', '.join(y.sql for y in ys)})")
 
 
+#: Columns of each rule query, so that its rules can be applied to other tables.
+RULES: dict[str, dict[str, X]] = {}
+
+
+def applied(name: str, rows: DataFrame) -> DataFrame:
+    """The columns of a rule query for ``rows``, a table with the columns that the query's own table has."""
+    return rows.select(*[x.col.alias(k) for k, x in RULES[name].items()])
+
+
 def derived(name: str, doc: str, source, with_sql: str, table: str, columns: dict[str, X], where: X | None = None) -> None:
     """Registers a query that computes columns of each row of a table, and its SQL."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = source(spark, sf_dir)
-        if where is not None:
-            rows = rows.where(where.col)
-        return rows.select(*[x.col.alias(k) for k, x in columns.items()])
+        return applied(name, rows if where is None else rows.where(where.col))
 
+    RULES[name] = columns
     run.__name__, run.__doc__ = name, doc
     QUERIES[name] = run
     ORACLE_SQL[name] = f"WITH {with_sql} SELECT {', '.join(f'{x.sql} AS {k}' for k, x in columns.items())} FROM {table}" + (f" WHERE {where.sql}" if where is not None else "")

@@ -26,11 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(source: DataFrame, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``build(source)``, written as Parquet when it is first asked for in this session and read from there afterwards.
 
-    It is built again where the files of ``source`` are others than before.
+    It is built again where the files of ``source`` are others than before, and
+    each time where ``source`` reads no files.
     """
     spark = source.sparkSession
-    key = (spark.sparkContext.applicationId, name, tuple(sorted(source.inputFiles())))
-    if key not in _KEPT:
+    files = tuple(sorted(source.inputFiles()))
+    key = (spark.sparkContext.applicationId, name, files)
+    if key not in _KEPT or not files:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         build(source).write.parquet(path)
         _KEPT[key] = path
