@@ -6,6 +6,8 @@ expression, so a file is read once for all rules of a query.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from ..sources import code
 from .both import X, chained, col, derived, first_of, greatest, labels, least, lit, log, rounded, weighed
 
@@ -289,25 +291,41 @@ NAME_ROLES = [
     ("controller", ("controller",)), ("service", ("service",)), ("repository", ("repository", "dao")), ("model", ("model", "entity")), ("component", ("component",)), ("utility", ("util", "helper")), ("interface", ("interface",)),
     ("enum", ("enum",)),
 ]
+_primary, _secondary = col("primary_class"), col("secondary_class")
 TERTIARY = first_of(
     [
-        *[(role, (PRIMARY == f) & (SECONDARY == c) & (LOWER_NAME.rlike(p) | CONTENT.rlike(p))) for f, c, role, p in ROLE_RULES],
-        *[(role, (SECONDARY == "code") & LOWER_NAME.contains(*words)) for role, words in NAME_ROLES],
-        ("integration", (SECONDARY == "test") & LOWER_NAME.contains("e2e", "integration")),
-        ("unit", (SECONDARY == "test") & LOWER_NAME.contains("unit")),
-        ("application", (SECONDARY == "configuration") & LOWER_NAME.contains("application", "main")),
-        ("database", (SECONDARY == "configuration") & LOWER_NAME.contains("database", "db")),
-        ("security", (SECONDARY == "configuration") & LOWER_NAME.contains("security")),
+        *[(role, (_primary == f) & (_secondary == c) & (LOWER_NAME.rlike(p) | CONTENT.rlike(p))) for f, c, role, p in ROLE_RULES],
+        *[(role, (_secondary == "code") & LOWER_NAME.contains(*words)) for role, words in NAME_ROLES],
+        ("integration", (_secondary == "test") & LOWER_NAME.contains("e2e", "integration")),
+        ("unit", (_secondary == "test") & LOWER_NAME.contains("unit")),
+        ("application", (_secondary == "configuration") & LOWER_NAME.contains("application", "main")),
+        ("database", (_secondary == "configuration") & LOWER_NAME.contains("database", "db")),
+        ("security", (_secondary == "configuration") & LOWER_NAME.contains("security")),
     ],
     "unknown",
 )
-_files(
+
+
+def classified(rows: DataFrame) -> DataFrame:
+    """``rows`` (file_path, content) with primary_class, secondary_class and tertiary_class, each worked out once."""
+    rows = rows.withColumns({"primary_class": PRIMARY.col, "secondary_class": SECONDARY.col})
+    return rows.withColumn("tertiary_class", TERTIARY.col)
+
+
+CLASSIFIED_SQL = f"{code.SQL}, staged AS (SELECT *, {PRIMARY.sql} AS primary_class, {SECONDARY.sql} AS secondary_class FROM files), classified AS (SELECT *, {TERTIARY.sql} AS tertiary_class FROM staged)"
+
+
+def _classified(name: str, doc: str, columns: dict[str, X]) -> None:
+    derived(name, doc, lambda spark, sf_dir: classified(code.files(spark, sf_dir)), CLASSIFIED_SQL, "classified", {"file_id": col("file_id"), **columns})
+
+
+_classified(
     "file_classification",
     "Framework, category and role of each file, the frameworks that its folders hint at, and its depth.",
     {
-        "primary_class": PRIMARY,
-        "secondary_class": SECONDARY,
-        "tertiary_class": TERTIARY,
+        "primary_class": col("primary_class"),
+        "secondary_class": col("secondary_class"),
+        "tertiary_class": col("tertiary_class"),
         "hints": labels(list(HINTS.items())),
         "depth": _segments.size(),
     },
@@ -326,3 +344,95 @@ _files(
         "is_indexed": (CONTENT.length() < 1048576) & _one_of(EXTENSION, ".java", ".py", ".ts", ".tsx", ".js", ".vue", ".md", ".json") & ~LOWER_PATH.contains("node_modules", "/dist/", "/build/", ".git/"),
     },
 )
+
+# ---------------------------------------------------------------- findings
+LOW = CONTENT.lower()
+#: (finding, severity, condition)
+FINDINGS = [
+    ("hardcoded password", "high", CONTENT.rlike(r"""(?i)password\s*=\s*["'][^"']*["']""")),
+    ("concatenated query", "high", CONTENT.contains("createQuery(") & CONTENT.contains("+")),
+    ("mapping without authorisation", "medium", CONTENT.contains("@RequestMapping") & ~CONTENT.contains("@PreAuthorize")),
+    ("eager fetching", "medium", CONTENT.contains("@OneToMany") & ~CONTENT.contains("LAZY")),
+    ("save outside a transaction", "low", CONTENT.contains("save(") & ~CONTENT.contains("@Transactional")),
+    ("field injection", "low", CONTENT.contains("@Autowired") & CONTENT.contains("private") & ~CONTENT.contains("final")),
+    ("raw inner HTML", "high", CONTENT.contains("dangerouslySetInnerHTML")),
+    ("eval", "critical", CONTENT.contains("eval(")),
+    ("component without memo", "low", CONTENT.contains("function") & CONTENT.contains("props") & ~CONTENT.contains("React.memo")),
+    ("effect without dependencies", "low", CONTENT.contains("useEffect") & ~CONTENT.contains("], [")),
+]
+_files(
+    "framework_findings",
+    "Security, performance and practice findings of each file, and how many of them are urgent.",
+    {
+        "findings": labels([(f, c) for f, _, c in FINDINGS]),
+        "severities": labels([(s, c) for _, s, c in FINDINGS]),
+        "n_urgent": weighed(0, [(1, c) for _, s, c in FINDINGS if s in ("critical", "high")]),
+    },
+)
+
+DEPRECATED = [
+    ("Vector", LOW.contains("vector") & ~LOW.contains("arraylist")),
+    ("Hashtable", LOW.contains("hashtable") & ~LOW.contains("hashmap")),
+    ("var", LOW.contains("var ") & ~LOW.contains("let ") & ~LOW.contains("const ")),
+]
+_files(
+    "code_health",
+    "Unclosed brackets, deprecated constructs, modern ones, security patterns and weak spots.",
+    {
+        "n_syntax_errors": weighed(0, [(1, CONTENT.contains(a) & ~CONTENT.contains(z)) for a, z in ("{}", "()", "[]")]),
+        "deprecated": labels(DEPRECATED),
+        "is_modern": LOW.contains("@override", "lambda", "stream"),
+        "security_patterns": labels([("Method-level authorization", CONTENT.contains("@PreAuthorize")), ("Role-based security", CONTENT.contains("@Secured")), ("Security configuration", CONTENT.contains("SecurityConfig"))]),
+        "weak_spots": labels([("Potential hardcoded credentials", CONTENT.contains("password") & CONTENT.contains("=")), ("Potential SQL injection", CONTENT.contains("sql") & CONTENT.contains("+"))]),
+        "is_auth": LOW.contains("authentication", "authorization"),
+    },
+)
+
+#: role: (layer, responsibility, concerns)
+LAYERS = {
+    "controller": ("presentation", "Handle HTTP requests and responses", "Input validation|Response formatting|Error handling"),
+    "service": ("business", "Implement business logic and workflows", "Business rules|Transaction management|Orchestration"),
+    "repository": ("data", "Data access and persistence", "Data consistency|Query optimization|Schema management"),
+    "model": ("data", "Data access and persistence", "Data consistency|Query optimization|Schema management"),
+    "entity": ("data", "Data access and persistence", "Data consistency|Query optimization|Schema management"),
+    "middleware": ("cross-cutting", "Cross-cutting concerns", "Security|Logging|Monitoring"),
+    "component": ("presentation", "User interface and interaction", "User experience|Accessibility|Responsive design"),
+}
+_role = col("tertiary_class")
+_classified(
+    "architectural_roles",
+    "Layer, responsibility and concerns of a file by its role.",
+    {
+        "layer": first_of([(v[0], _role == k) for k, v in LAYERS.items()], "business"),
+        "responsibility": first_of([(v[1], _role == k) for k, v in LAYERS.items()], "General business logic"),
+        "concerns": first_of([(v[2], _role == k) for k, v in LAYERS.items()], ""),
+    },
+)
+
+NAMING = weighed(1, [(-0.2, (_primary == "spring-boot") & (_role == "controller") & ~CONTENT.contains("Controller")), (-0.2, (_primary == "react") & (_role == "component") & ~NAME.rlike("^[A-Z]"))])
+STRUCTURE = weighed(1, [(-0.1, CONTENT.contains("TODO", "FIXME")), (-0.2, CONTENT.contains("catch") & ~CONTENT.contains("log"))])
+DOCUMENTATION = weighed(1, [(-0.3, ~CONTENT.contains("/**") & CONTENT.contains("function ", "def ")), (-0.2, CONTENT.count(r"(?:^|[^A-Za-z0-9_])[a-z]{1,2}(?:[^A-Za-z0-9_]|$)") > 3)])
+_classified(
+    "convention_scores",
+    "How well a file keeps conventions of naming, structure and documentation, and the mean.",
+    {"naming": NAMING, "structure": STRUCTURE, "documentation": DOCUMENTATION, "overall": rounded((NAMING + STRUCTURE + DOCUMENTATION) / 3)},
+)
+
+REST = [r"""@app\.route\(["']([^"']+)["']""", r"""app\.(?:get|post|put|delete)\(["']([^"']+)["']""", r"""@(?:Get|Post|Put|Delete)Mapping\(.*?["']([^"']+)["']""", r"""router\.(?:get|post|put|delete)\(["']([^"']+)["']"""]
+_files(
+    "service_apis",
+    "APIs that a file exposes and calls, and what kind of service it looks like.",
+    {
+        "exposed": chained(*[CONTENT.all(p, 1) for p in REST]).joined(),
+        "consumed": chained(CONTENT.all(r"fetch[A-Z]\w*", 0), CONTENT.all(r"(?:axios|requests)\.(?:get|post|put|delete)", 0)).joined(),
+        "kind_of_service": first_of([("web", CONTENT.contains("@RestController", "Flask(")), ("dashboard", CONTENT.contains("import streamlit")), ("frontend", CONTENT.contains("useState", "<template>"))], "library"),
+        "confidence": weighed(0.5, [(0.2, CONTENT.contains("@RestController", "Flask(")), (0.2, chained(*[CONTENT.all(p, 1) for p in REST]).size() > 0), (0.1, CONTENT.contains("Repository", "db.Model"))], 1),
+    },
+)
+
+DIRECTORIES = {"source": ("src", "app", "lib"), "tests": ("test", "spec"), "configuration": ("config", "conf"), "documentation": ("docs", "doc"), "assets": ("assets", "static", "public"), "services": ("services", "dashboards")}
+_files(
+    "directory_classes",
+    "Classes of the folders on a file's path.",
+    {"classes": labels([(name, _segments.where(lambda x, words=words: first_of([(True, x == w) for w in words], False)).size() > 0) for name, words in DIRECTORIES.items()])},
+)

@@ -364,3 +364,80 @@ derived(
         "alternative": first_of([(_replaced(Q, k, v[0]), Q.contains(k)) for k, v in ALTERNATIVES.items()], Q),
     },
 )
+
+OVERVIEW_WORDS = ("overview", "explain the code", "entire source", "whole project", "codebase", "architecture", "structure", "how does this work", "what does this do", "general explanation", "summary")
+ARCHITECTURE_WORDS = ("architecture", "design pattern", "component", "service", "module", "dependency", "relationship", "flow", "structure")
+OVERVIEW_PHRASES = ("give overview", "explain the code", "how does this work", "what does this project do", "describe the codebase", "structure of the code", "architecture overview")
+ENDPOINT_PHRASES = (
+    "all endpoints", "list endpoints", "show endpoints", "api endpoints", "all routes", "list routes", "show routes", "available apis", "rest endpoints", "http endpoints", "web apis", "api documentation",
+    "endpoints available", "what apis", "available endpoints", "show me apis", "list apis", "get endpoints",
+)
+FILE_TYPES = {
+    "java": r"\.java|java\s*file", "javascript": r"\.js|javascript", "typescript": r"\.ts|typescript", "python": r"\.py|python", "html": r"\.html|html", "css": r"\.css|css", "json": r"\.json|json", "xml": r"\.xml|xml",
+    "yaml": r"\.ya?ml|yaml",
+}
+COMPONENTS = {
+    "controller": "controller", "service": "service", "repository": "repository", "entity": "entity|model", "component": "component", "middleware": "middleware", "router": "router|route", "config": "config|configuration",
+}
+LEVELS = {
+    "advanced": ("architecture", "design pattern", "optimization", "performance", "security", "scalability"), "complex": ("integration", "workflow", "pipeline", "relationship", "dependency"),
+    "moderate": ("implement", "create", "build", "configure", "setup"), "simple": ("find", "show", "list", "what", "where"),
+}
+_is_overview, _is_architecture = Q.contains(*OVERVIEW_WORDS), Q.contains(*ARCHITECTURE_WORDS)
+_whole = Q.contains("entire", "whole", "all", "codebase")
+_level = first_of([(k, Q.contains(*v)) for k, v in LEVELS.items()], "moderate")
+_kind = first_of([("overview", _is_overview), ("architectural", _is_architecture)], "specific")
+derived(
+    "question_classes",
+    "Kind, scope, complexity, file types and components of a question, what it calls for, and how sure an answer is.",
+    _questions,
+    "qs AS (SELECT conv_id, turn, lower(text) AS q FROM conversations WHERE role = 'user')",
+    "qs",
+    {
+        "conv_id": col("conv_id"),
+        "turn": col("turn"),
+        "kind": _kind,
+        "answer_scope": first_of([("codebase", _whole)], "component"),
+        "search_scope": first_of([("project", Q.contains("project", "entire", "all")), ("module", Q.contains("module", "package")), ("component", Q.contains("component", "class")), ("file", Q.contains("file"))], "module"),
+        "level": _level,
+        "file_types": labels([(k, Q.rlike(p)) for k, p in FILE_TYPES.items()]),
+        "components": labels([(k, Q.rlike(p)) for k, p in COMPONENTS.items()]),
+        "needs_overview": _is_overview | _is_architecture | _whole | Q.contains(*OVERVIEW_PHRASES),
+        "needs_endpoints": Q.contains(*ENDPOINT_PHRASES),
+        "confidence": weighed(0.5, [(0.3, _kind == "overview"), (0.4, Q.contains(*ENDPOINT_PHRASES)), (0.1, _level == "simple")], 1),
+        "max_chunks": first_of([(5, _level == "simple"), (10, _level == "moderate"), (15, _level == "complex")], 20),
+    },
+)
+
+_shared(
+    "architecture_patterns",
+    "Architectural patterns of each kind of file: confidence from how many of their parts exist, and whether it reaches the threshold.",
+    """WITH p AS (SELECT kind, max(CASE WHEN contains(content, 'Controller') THEN 1 ELSE 0 END) AS c, max(CASE WHEN contains(content, 'Model') OR contains(content, 'model') THEN 1 ELSE 0 END) AS m, max(CASE WHEN contains(content, 'View') OR contains(content, 'views') THEN 1 ELSE 0 END) AS v,
+max(CASE WHEN contains(content, 'Service') THEN 1 ELSE 0 END) AS s, max(CASE WHEN contains(content, 'Repository') THEN 1 ELSE 0 END) AS r FROM {files} GROUP BY kind),
+u AS (SELECT kind, 'MVC' AS pattern, round((c + m + v) / 3e0, 6) AS confidence, 0.6e0 AS threshold FROM p UNION ALL SELECT kind, 'layered', round((c + s + r) / 3e0, 6), 0.6e0 FROM p UNION ALL SELECT kind, 'repository', CAST(r AS DOUBLE), 0.7e0 FROM p)
+SELECT kind, pattern, confidence, confidence >= threshold AS is_shown FROM u""",
+)
+
+_shared(
+    "spring_layers",
+    "Controllers, services and repositories named in Java files, with the files of each layer.",
+    """SELECT layer, count(*) AS n_files, min(file_id) AS first_file, count(DISTINCT name) AS n_names FROM (
+SELECT file_id, 'controller' AS layer, regexp_extract(content, 'class ([A-Za-z0-9_]+Controller)', 1) AS name FROM {files} WHERE kind = 'java' UNION ALL
+SELECT file_id, 'service', regexp_extract(content, 'private ([A-Za-z0-9_]+Service)', 1) FROM {files} WHERE kind = 'java' UNION ALL SELECT file_id, 'repository', regexp_extract(content, 'private ([A-Za-z0-9_]+Repository)', 1) FROM {files} WHERE kind = 'java') WHERE name <> '' GROUP BY layer""",
+)
+
+_shared(
+    "service_calls",
+    "Which files call a route that another file exposes: equal first segments of the consumer's import and the provider's route, first provider.",
+    """WITH provider AS (SELECT regexp_extract(content, '@app.route[(]"/([a-z]+)/', 1) AS segment, min(file_id) AS provided_by FROM {files} WHERE kind = 'flask' GROUP BY regexp_extract(content, '@app.route[(]"/([a-z]+)/', 1)),
+consumer AS (SELECT file_id, regexp_extract(content, '@([a-z]+)/', 1) AS segment FROM {files} WHERE kind = 'react')
+SELECT file_id, provided_by, segment, 'http' AS protocol FROM consumer JOIN provider USING (segment) WHERE segment <> ''""",
+)
+
+_shared(
+    "endpoint_groups",
+    "Endpoints of Java and Flask files by method, searchable by path, with the document beside them.",
+    """WITH e AS (SELECT file_id, 'GET' AS method, regexp_extract(content, '@GetMapping[(]"([^"]+)"', 1) AS path FROM {files} WHERE kind = 'java' UNION ALL SELECT file_id, 'POST', regexp_extract(content, '@PostMapping[(]"([^"]+)"', 1) FROM {files} WHERE kind = 'java'
+UNION ALL SELECT file_id, 'ANY', regexp_extract(content, '@app.route[(]"([^"]+)"', 1) FROM {files} WHERE kind = 'flask' UNION ALL SELECT file_id, 'GET', regexp_extract(content, '@app.get[(]"([^"]+)"', 1) FROM {files} WHERE kind = 'flask')
+SELECT e.file_id, method, path, lang, source, row_number() OVER (PARTITION BY source ORDER BY path, method, e.file_id) AS place FROM e LEFT JOIN {documents} d ON d.doc_id = e.file_id WHERE path <> '' AND (contains(path, 'the') OR method <> 'ANY')""",
+)

@@ -5,6 +5,7 @@ import pytest
 from corpusloom import queries  # noqa: F401  registers the rules
 from corpusloom.operators import graph, retrieval
 from corpusloom.plans.both import applied
+from corpusloom.plans.files import classified
 
 JAVA = """package com.shop.order;
 import java.util.List;
@@ -53,6 +54,7 @@ FILES = [
 @pytest.fixture(scope="module")
 def rules(spark):
     df = spark.createDataFrame(FILES, "file_id long, kind string, file_path string, content string")
+    df = classified(df)
     return lambda name: {r["file_id"]: r.asDict() for r in applied(name, df).collect()}
 
 
