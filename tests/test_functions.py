@@ -57,12 +57,12 @@ def test_similarities(spark):
 
 def test_bm25_by_hand(spark):
     docs = spark.createDataFrame([(0, "cat dog cat"), (1, "dog bird"), (2, "fish")], "id int, text string")
-    post = R.postings(docs, F.split("text", " "))
+    index = R.term_index(docs, F.split("text", " "), "by-hand")
     q = spark.createDataFrame([(0, "cat", 2)], "qid int, term string, n int")
-    got = {r["id"]: r["score"] for r in R.bm25(q, docs, post).collect()}
+    got = {r["id"]: r["score"] for r in R.bm25(q, index).collect()}
     k = 1.2 * (0.25 + 0.75 * 3 / 2)
     assert abs(got[0] - 2 * math.log((3 - 1 + 0.5) / 1.5) * 2 / (2 + k)) < 1e-12 and len(got) == 1
-    c = R.bm25(q, docs, post, k1=1.5, variant="C").first()["score"]
+    c = R.bm25(q, index, k1=1.5, variant="C").first()["score"]
     k = 1.5 * (0.25 + 0.75 * 3 / 2)
     assert abs(c - math.log(2.5 / 1.5) * 2 * 2.5 / (2 + k)) < 1e-12
 
