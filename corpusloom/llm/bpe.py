@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, small_batches
 
 #: Characters of text that are encoded together.
 CHUNK_CHARS = 2_000_000
@@ -326,6 +326,7 @@ def roundtrip(docs: DataFrame, path: str | None = None, with_ids: bool = False)
     they are.  ``path`` names the vocabulary file, which every worker must be
     able to open.  Where two merges of equal rank apply, the left one is taken.
     """
+    small_batches(docs.sparkSession)
     path = path or default_path()
     own = [c for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256", "ids")]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*own).dtypes), "n_tokens long, ids_sha256 string, decoded_sha256 string", *(["ids array<int>"] if with_ids else [])])

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import crc_remainder, documents
+from .shared import crc_remainder, documents, small_batches
 
 #: Bound of the labelled text of each language, in characters, and of the documents that it is taken from.
 SAMPLE_CHARS = 24_000
@@ -250,6 +250,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     first in order of their names is taken.  Repeated rows give repeated
     results, an empty table an empty one; texts of any length are parsed whole.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*own).dtypes), "lang_pred string", "score double"])

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .arrays import Words, chunks, encoded, mix, signed, span_hashes
 from .components import components
-from .shared import documents, written
+from .shared import documents, small_batches, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -194,6 +194,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     ``SHINGLE`` words is one shingle.  Further columns are ignored; an empty
     table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     table = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id()).mapInPandas(_sign(bands, rows), "row long, doc_id long, n_words long, node long, bands array<long>"), "signatures")
     worded = table.where("n_words > 0 AND doc_id IS NOT NULL")
     # a node is a different word sequence, known by its hash; rep is a document that has it

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Words, chunks, encoded, mix
-from .shared import crc_remainder, documents, new_path, size_of_text
+from .shared import crc_remainder, documents, new_path, size_of_text, small_batches
 
 #: Bytes of input for each shard, and fewest shards.
 SHARD_BYTES = 12 << 20
@@ -294,6 +294,7 @@ def fit(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Layout:
     2**32 - 2 different words are an error; counts have no limit.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shards = max(LEAST_SHARDS, -(-size_of_text(docs) // shard_bytes))
     layout = Layout(new_path(spark, "ngrams"), shards)
     texts = docs.select("text")
@@ -412,6 +413,7 @@ def score(docs: DataFrame, layout: Layout) -> DataFrame:
     Columns of the names above are replaced, others returned as they are.  The
     perplexity of a token that is less likely than 1e-300 is shown as 1e300.
     """
+    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.select(*own).dtypes), "n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"])
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Words, chunks, encoded, mix, runs, signed, span_hashes
-from .shared import documents, written
+from .shared import documents, small_batches, written
 
 LEAST = 20
 SHARE = 0.05
@@ -107,6 +107,7 @@ def assess(docs: DataFrame, host: str = "source", least: int = LEAST, share: flo
     ``docs`` are ignored; an empty table gives an empty result.  Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, n_common_lines, n_rest_words, kept.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text")
     measures = rows.mapInPandas(_measure, f"doc_id long, host string, {_MEASURES}")
     table = written(measures.withColumn("row", F.monotonically_increasing_id()), "quality-lines")

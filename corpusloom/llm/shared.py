@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-KEEP = "__row"
+#: Bytes of the batches that Python workers get.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +43,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on this session hands rows to Python workers about ``BATCH_BYTES`` at a time.
+
+    A worker holds a batch several times over (as Arrow, as pandas, as bytes),
+    so Spark's default of 64 MB makes workers large.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def crc_remainder(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a missing id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

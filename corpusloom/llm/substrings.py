@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Words, chunks, encoded, runs, signed, span_hashes
-from .shared import documents, written
+from .shared import documents, small_batches, written
 
 WINDOW = 50
 PHRASE = 8
@@ -208,6 +208,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> Dat
     a shard of its own.  An empty table gives an empty result.  Other columns of
     ``docs`` are returned, except those named in ``OWN``.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in OWN])
     if dict(docs.dtypes)["doc_id"] != "bigint":
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))

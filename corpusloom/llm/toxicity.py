@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import crc_remainder, documents, written
+from .shared import crc_remainder, documents, small_batches, written
 
 #: Bound of the labelled rows that a model is fitted on (expected number, chosen by hash).
 MOST_ROWS = 30_000
@@ -110,6 +110,7 @@ class Lexicon:
 
 def with_features(df: DataFrame, words: list[str]) -> DataFrame:
     """``df`` without its text and with the features; the lexicon is bounded by ``MOST_WORDS``."""
+    small_batches(df.sparkSession)
     kept = [c for c in df.columns if c != "text"]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.select(*kept).dtypes), "f array<double>"])
 
