@@ -39,7 +39,7 @@ LEAST_SHARDS = 12
 #: Entries that a task gathers before it hands them on.
 FLUSH = 1_500_000
 #: Texts scored at once, in bytes.
-SCORE_BYTES = 2 << 20
+SCORE_BYTES = 1 << 20
 
 #: Largest count of a pair in the main arrays; a count that reaches it stands in an array of its own.
 MOST = (1 << 32) - 1
