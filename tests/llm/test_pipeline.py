@@ -2,6 +2,8 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from corpusloom.llm import bpe
 
@@ -36,3 +38,14 @@ def test_stages(spark, tmp_path):
     final = {r["doc_id"]: r for r in out["BPE encoding"]}
     assert set(final) == set(mixed) and all(coder.decode(__import__("numpy").array(r["ids"])) == mixed[i] for i, r in final.items())
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()) == sorted(final)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null ids, repeated rows, columns of clashing names, and tables without rows, for each stage by itself."""
+    docs = spark.createDataFrame(ROWS, SCHEMA).withColumn("class_id", F.lit(1)).withColumn("op6_places", F.lit("x")).withColumn("tokens", F.lit("t"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for rows in (docs.unionByName(docs.limit(3)), docs.limit(0), docs.where("doc_id IS NULL"), docs.withColumn("text", F.lit(None).cast("string"))):
+            out = stage(spark, rows, str(tmp_path)).collect()
+            assert len(out) <= rows.count() or name == "BPE encoding"
+            if k == 3 and out:
+                assert set(out[0].asDict()) == set(corpus_pipeline.COLUMNS)
