@@ -179,7 +179,10 @@ def scan(docs: DataFrame, base: list | None = None, more: list | None = None) ->
         F.max("cover").alias("score"),
         F.count("*").alias("n_places"),
     )
-    out = read.drop("hits").join(per_text, "digest", "left")
+    # texts without a hit, copies of each other among them, need no join
+    has = F.coalesce(F.size("hits"), F.lit(0)) > 0
+    plain = read.where(~has).select("doc_id", "digest", "n_words", *[F.lit(None).cast(t).alias(c) for c, t in per_text.dtypes if c != "digest"])
+    out = read.where(has).drop("hits").join(per_text, "digest", "left").unionByName(plain)
     return out.select(
         "doc_id",
         "n_words",
