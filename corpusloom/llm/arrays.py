@@ -2,8 +2,8 @@
 
 Texts are joined into one byte buffer and cut into words, hashed and compared
 with numpy, so that a task never loops over single words in Python.  A word is
-a maximal run of bytes other than ``\\x20`` and ``\\x09-\\x0D``; in UTF-8 these
-bytes never occur inside another character.
+a maximal run of bytes other than ``\\x20`` and ``\\x09-\\x0D``, or other than
+``MARKS``; in UTF-8 these bytes never occur inside another character.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes outside of words made of letters, digits and all characters beyond ASCII.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -58,13 +60,13 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 class Words:
     """The words of several texts: ``hash[i]`` of each word; words of text ``t`` are ``first[t]:first[t + 1]``."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, gaps: np.ndarray = _SPACE):
         joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.raw = joined
         if lower:
             joined = _LOWER[joined]
         self.buffer = joined
-        edge = np.diff((~_SPACE[joined]).view(np.int8), prepend=np.int8(0))
+        edge = np.diff((~gaps[joined]).view(np.int8), prepend=np.int8(0))
         self.start = np.flatnonzero(edge == 1)
         self.end = np.flatnonzero(edge == -1)
         self.hash = span_hashes(_BYTES[joined], self.start, self.end)

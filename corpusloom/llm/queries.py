@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe_roundtrip
+from .decontamination import OP12_SQL, op12_benchmark_decontamination
 from .fingerprint import op1_document_fingerprints
 from .language import op10_language_id
 from .licenses import op2_license_scan
@@ -31,7 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_quality_rules,
         op10_language_id,
+        op12_benchmark_decontamination,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": OP2_SQL, "op7_source_mixing": OP7_SQL, "op9_quality_rules": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": OP2_SQL, "op7_source_mixing": OP7_SQL, "op9_quality_rules": OP9_SQL, "op12_benchmark_decontamination": OP12_SQL}
