@@ -18,6 +18,7 @@ from .oracles import OP2_SQL, OP9_SQL
 from .quality import op9_quality_rules
 from .substrings import op6_substring_dedup
 from .toxicity import op8_toxicity
+from .whitening import op13_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_language_id,
         op12_benchmark_decontamination,
+        op13_embedding_whitening,
     )
 }
 

@@ -61,6 +61,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def size_of_plan(df: DataFrame) -> int:
+    """Bytes to be read for ``df`` by the plan's statistics; 0 where Spark knows no size."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 56 else 0
+
+
 def size_of_text(df: DataFrame, column: str = "text") -> int:
     """Bytes to be read for ``df`` by the plan's statistics, or the length of its texts where Spark knows no size."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
