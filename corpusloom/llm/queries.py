@@ -10,6 +10,7 @@ from .bpe import op5_bpe_roundtrip
 from .decontamination import OP12_SQL, op12_benchmark_decontamination
 from .fingerprint import op1_document_fingerprints
 from .language import op10_language_id
+from .lexical import OP11_SQL, op11_ranked_lexical_search
 from .licenses import op2_license_scan
 from .mixing import OP7_SQL, op7_source_mixing
 from .neardup import op3_near_duplicates
@@ -33,9 +34,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_quality_rules,
         op10_language_id,
+        op11_ranked_lexical_search,
         op12_benchmark_decontamination,
         op13_embedding_whitening,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": OP2_SQL, "op7_source_mixing": OP7_SQL, "op9_quality_rules": OP9_SQL, "op12_benchmark_decontamination": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": OP2_SQL, "op7_source_mixing": OP7_SQL, "op9_quality_rules": OP9_SQL, "op11_ranked_lexical_search": OP11_SQL, "op12_benchmark_decontamination": OP12_SQL}
