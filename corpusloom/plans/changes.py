@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import history as H
 from ..operators.incremental import changes, last_n, within_window
 from ..sources.tables import table
 from .registry import query
@@ -116,3 +117,29 @@ def select_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("model")).agg(F.count("*").alias("n"))
     s = u.join(m, "model").withColumn("score", F.round(0.4 * F.col("quality") + 0.3 * (1 - F.col("price")) + 0.3 * F.col("speed") + 0.001 * F.col("n"), 6))
     return s.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "model"))).where("rn = 1").select("user_id", "model", "score")
+
+
+@query(f"""WITH {_COMMITS_SQL}, f AS (SELECT path, min((date, hash)) AS first FROM c GROUP BY path),
+e AS (SELECT hash, date, count(DISTINCT path) AS changed_files, sum(additions - deletions) AS net FROM c GROUP BY ALL),
+n AS (SELECT e.*, (SELECT count(*) FROM f WHERE f.first = (e.date, e.hash)) AS new_files FROM e)
+SELECT hash, date, CAST(changed_files AS BIGINT) AS changed_files, CAST(sum(new_files) OVER w AS BIGINT) AS files, CAST(sum(net) OVER w AS BIGINT) AS lines FROM n WINDOW w AS (ORDER BY date, hash)""")
+def totals_at_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and lines of the whole code base at every commit."""
+    return H.commit_totals(_commits(spark, sf_dir), F.to_date("date"))
+
+
+@query(f"""WITH {_COMMITS_SQL}, e AS (SELECT path, hash, date, author, sum(additions - deletions) AS net FROM c GROUP BY ALL)
+SELECT path, hash, date, author, CAST(row_number() OVER w AS INTEGER) AS version, CAST(sum(net) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS lines, lag(hash) OVER w AS previous_hash, CAST(date_diff('day', CAST(lag(date) OVER w AS DATE), CAST(date AS DATE)) AS INTEGER) AS days FROM e WINDOW w AS (PARTITION BY path ORDER BY date, hash)""")
+def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of every file."""
+    return H.file_versions(_commits(spark, sf_dir))
+
+
+@query(f"""WITH {_COMMITS_SQL}, l AS (SELECT path, date, max(hash) AS hash FROM c GROUP BY ALL), q AS (SELECT l_orderkey, l_linenumber, l_partkey AS path, l_shipdate AS date FROM lineitem)
+SELECT q.l_orderkey, q.l_linenumber, q.path, l.hash, l.date, o_custkey AS author FROM q ASOF LEFT JOIN l ON q.path = l.path AND q.date >= l.date LEFT JOIN orders ON o_orderkey = l.hash""")
+def last_changes_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who changed the part of each line item last by its ship date, and when."""
+    asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("path"), F.col("l_shipdate").alias("date"))
+    versions = _commits(spark, sf_dir).select("path", "date", "hash", "author").distinct()
+    found = H.as_of(asked, versions, "path", "date", ["hash"], F.date_trunc("year", "date"))
+    return found.select("l_orderkey", "l_linenumber", "path", F.col("last.hash").alias("hash"), F.col("last.date").alias("date"), F.col("last.author").alias("author"))
