@@ -277,7 +277,7 @@ SELECT CASE WHEN contains(lower(file_path), 'controller') OR contains(lower(file
 
 _shared(
     "json_export",
-    "Properties of events read from JSON and summed by key, as an index state is loaded and counted.",
+    "Events whose properties are written as JSON objects, and the longest text; json_properties reads them.",
     """SELECT event_type, count(*) AS n, count(CASE WHEN contains(props, '{{') THEN 1 END) AS n_json, max(length(props)) AS longest FROM {events} GROUP BY event_type""",
 )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import structure as J
 from ..functions import text as T
 from ..operators import chunking as C
 from ..sources.tables import CHUNKS_SQL, chunks, table
@@ -176,3 +177,31 @@ def service_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = a.join(b, F.col("a.service") < F.col("b.service"))
     x, y = F.col("a.dependencies"), F.col("b.dependencies")
     return pairs.select(F.col("a.service").alias("a"), F.col("b.service").alias("b"), F.size(F.array_intersect(x, y)).cast("long").alias("shared"), F.round(T.jaccard(x, y), 6).alias("overlap"))
+
+
+_LEAVES_SQL = """SELECT x.key, fullkey AS path, CASE json_tree.type WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'NUMBER' WHEN 'BIGINT' THEN 'NUMBER' WHEN 'DOUBLE' THEN 'NUMBER' WHEN 'NULL' THEN 'NULL' WHEN 'BOOLEAN' THEN 'BOOLEAN' ELSE 'EMPTY' END AS kind, CASE WHEN type NOT IN ('NULL', 'OBJECT', 'ARRAY') THEN atom ->> '$' END AS value
+FROM x, json_tree(CASE WHEN json_valid(text) THEN text END) WHERE type NOT IN ('OBJECT', 'ARRAY') OR CAST((x.text -> fullkey) AS VARCHAR) IN ('{}', '[]')"""
+
+
+@query(f"""WITH x AS (SELECT event_id AS key, props AS text FROM events), l AS ({_LEAVES_SQL}) SELECT path, kind, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT value) AS BIGINT) AS n_values, min(value) AS least, max(value) AS greatest FROM l GROUP BY path, kind""")
+def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All properties of events, whatever their depth, with their values counted."""
+    leaves = J.json_leaves(table(spark, sf_dir, "events"), "event_id", "props")
+    return leaves.groupBy("path", "kind").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+
+
+_ORDER_SQL = """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 10 = 3 THEN left(j, length(j) - 1) ELSE j END AS text FROM (SELECT o_orderkey, CAST(to_json({'order': o_orderkey, 'customer': {'key': o_custkey, 'open': o_orderstatus = 'O', 'note': CASE WHEN o_custkey % 2 = 0 THEN 'a b' END}, 'items': coalesce(i, []), 'none': {'list': CAST([] AS INTEGER[])}}) AS VARCHAR) AS j
+FROM orders LEFT JOIN (SELECT l_orderkey, list({'part': {'key': l_partkey, 'path': [l_suppkey, l_linenumber]}, 'mode': l_returnflag} ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS i FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
+
+
+@query(f"""WITH x AS ({_ORDER_SQL}), l AS ({_LEAVES_SQL} UNION ALL SELECT key, '$', 'INVALID', NULL FROM x WHERE NOT json_valid(text)) SELECT key, path, kind, value FROM l""")
+def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every plain value of nested texts made of orders and their line items; a tenth of the texts is cut off and so invalid."""
+    item = F.struct(F.struct(F.col("l_partkey").alias("key"), F.array(F.col("l_suppkey").cast("long"), F.col("l_linenumber").cast("long")).alias("path")).alias("part"), F.col("l_returnflag").alias("mode"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", item.alias("item")))).alias("i"))
+    o = table(spark, sf_dir, "orders").join(items, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    customer = F.struct(F.col("o_custkey").alias("key"), (F.col("o_orderstatus") == "O").alias("open"), F.when(F.col("o_custkey") % 2 == 0, "a b").alias("note"))
+    whole = F.struct(F.col("o_orderkey").alias("order"), customer.alias("customer"), F.coalesce(F.transform("i", lambda x: x["item"]), F.array()).alias("items"), F.struct(F.array().cast("array<int>").alias("list")).alias("none"))
+    text = F.to_json(whole, {"ignoreNullFields": "false"})
+    texts = o.select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 10 == 3, F.left(text, F.length(text) - 1)).otherwise(text).alias("text"))
+    return J.json_leaves(texts, "key", "text")
