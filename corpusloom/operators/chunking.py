@@ -123,3 +123,75 @@ def tag_sections(html: Column, tags: list[str] = SECTION_TAGS) -> Column:
     found = F.zip_with(names, contents, lambda t, c: F.struct(F.lower(t).alias("tag"), c.alias("content")))
     parts = F.transform(F.split(html, r"\n\s*\n"), lambda c, i: F.struct(F.concat(F.lit("section_"), i.cast("string")).alias("tag"), c.alias("content")))
     return F.when(F.size(names) > 0, F.filter(found, lambda x: F.length(x["content"]) > 0)).otherwise(F.filter(parts, lambda x: x["content"].rlike(r"\S")))
+
+
+def placed(content: Column, matches: Column) -> Column:
+    """array<struct<text, line>> of matches in their order: each is looked for behind the one before, lines count from 1."""
+    zero = F.struct(F.array().cast("array<struct<text:string,line:int>>").alias("done"), F.lit(1).alias("at"))
+
+    def step(acc, m):
+        at = F.call_function("locate", m, content, acc["at"])
+        before = F.left(content, at - 1)
+        line = (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("int")
+        return F.struct(F.concat(acc["done"], F.array(F.struct(m.alias("text"), line.alias("line")))).alias("done"), (at + F.length(m)).alias("at"))
+
+    return F.aggregate(matches, zero, step, lambda acc: acc["done"])
+
+
+#: Sections of single-file components: what marks them, and their importance (fixed values).
+COMPONENT_SECTIONS = [("template", r"(?is)<template\b[^>]*>.*</template>", 0.8), ("script", r"(?is)<script\b[^>]*>.*?</script>", 0.9), ("style", r"(?is)<style\b[^>]*>.*?</style>", 0.5)]
+
+
+def component_sections(df: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, section, language, content, start_line, end_line, importance) of every section of Vue and Svelte components.
+
+    A template runs from the first to the last of its tags, so that templates
+    within it are part of it.  A component without one, but with a script or a
+    style, has as its template what is left beside these, if that is not blank;
+    its lines are null.  ``language`` is the section's lang, else that of its kind.
+    """
+    text = F.col(content)
+    found = []
+    for name, pattern, importance in COMPONENT_SECTIONS:
+        rows = placed(text, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        default = {"template": "html", "script": "javascript", "style": "css"}[name]
+
+        def section(x):
+            tag = F.regexp_extract(x["text"], r"(?s)^<[^>]*>", 0)
+            inner = F.regexp_replace(F.regexp_replace(x["text"], r"(?s)^<[^>]*>", ""), rf"(?is)</{name}>$", "")
+            lang = F.coalesce(F.nullif(F.regexp_extract(tag, r"\blang\s*=\s*['\"]?(\w+)", 1), F.lit("")), F.lit(default))
+            lines = F.length(x["text"]) - F.length(F.replace(x["text"], F.lit("\n"), F.lit("")))
+            return F.struct(F.lit(name).alias("section"), lang.alias("language"), inner.alias("content"), x["line"].alias("start_line"), (x["line"] + lines).cast("int").alias("end_line"), F.lit(importance).alias("importance"))
+
+        found.append(F.transform(rows, section))
+    rest = text
+    for _, pattern, _ in COMPONENT_SECTIONS[1:]:
+        rest = F.regexp_replace(rest, pattern, "")
+    none = F.lit(None).cast("int")
+    other = F.struct(F.lit("template").alias("section"), F.lit("html").alias("language"), F.trim(rest).alias("content"), none.alias("start_line"), none.alias("end_line"), F.lit(COMPONENT_SECTIONS[0][2]).alias("importance"))
+    parts = F.concat(*found)
+    whole = F.when((F.size(found[0]) == 0) & (F.size(parts) > 0) & rest.rlike(r"\S"), F.concat(parts, F.array(other))).otherwise(parts)
+    return df.select(key, F.inline(whole))
+
+
+#: Parts of Streamlit pages: what marks them, which group names them, and their importance (fixed values).
+STREAMLIT_CHUNKS = [
+    ("page", r"def\s+(\w+_page|\w+_view|\w+_tab)\s*\([^)]*\)\s*:", 1, 0.9),
+    ("widget", r"st\.(button|selectbox|slider|text_input|file_uploader|multiselect|radio|checkbox|date_input|time_input|number_input|text_area|color_picker)\s*\([^)]*\)", 1, 0.7),
+    ("display", r"st\.(dataframe|table|metric|json|code|plotly_chart|pyplot|altair_chart|vega_lite_chart|line_chart|area_chart|bar_chart|map)\s*\([^)]*\)", 1, 0.6),
+    ("layout", r"st\.(sidebar|columns|container|expander|form|empty|placeholder)\s*\([^)]*\)", 1, 0.5),
+    ("cached", r"@st\.(?:cache_data|cache_resource|cache|experimental_memo|experimental_singleton)(?:\([^)]*\))?\s*\n\s*def\s+(\w+)", 1, 0.8),
+]
+
+
+def streamlit_chunks(df: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, chunk, name, content, start_line, importance): pages, widgets, displays, layouts and cached functions of Streamlit sources; all matches."""
+    found = []
+    for chunk, pattern, group, importance in STREAMLIT_CHUNKS:
+        rows = placed(F.col(content), F.regexp_extract_all(content, F.lit(pattern), F.lit(0)))
+
+        def part(x):
+            return F.struct(F.lit(chunk).alias("chunk"), F.regexp_extract(x["text"], pattern, group).alias("name"), x["text"].alias("content"), x["line"].alias("start_line"), F.lit(importance).alias("importance"))
+
+        found.append(F.transform(rows, part))
+    return df.select(key, F.inline(F.concat(*found)))
