@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import mmap
 import os
+import sys
 import tempfile
 import uuid
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +43,8 @@ FLUSH = 1_500_000
 #: Texts scored at once, in bytes.
 SCORE_BYTES = 1 << 20
 
+#: Files that a worker keeps mapped; others are mapped again when they are needed.
+MOST_MAPS = 512
 #: Largest count of a pair in the main arrays; a count that reaches it stands in an array of its own.
 MOST = (1 << 32) - 1
 
@@ -87,8 +91,8 @@ def _mapped(folder: str, name: str, *kinds) -> list[np.ndarray]:
             while block := source.read(8 << 20):
                 f.write(block)
         f.flush()
-    with f:
-        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    with f:  # the map needs the file no longer, and no descriptor of it
+        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
     n = int(np.frombuffer(data, np.int64, 1)[0])
     out, at = [], 8
     for kind in kinds:
@@ -97,6 +101,22 @@ def _mapped(folder: str, name: str, *kinds) -> list[np.ndarray]:
     return out
 
 
+class Files:
+    """Files of a model as they are asked for; no more than ``MOST_MAPS`` of them stay mapped, those used last."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.kept: OrderedDict[str, list[np.ndarray]] = OrderedDict()
+
+    def get(self, name: str, *kinds) -> list[np.ndarray]:
+        if name not in self.kept:
+            self.kept[name] = _mapped(self.folder, name, *kinds)
+        self.kept.move_to_end(name)
+        while len(self.kept) > MOST_MAPS:
+            self.kept.popitem(last=False)
+        return self.kept[name]
+
+
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys with their values summed."""
     order = np.argsort(keys, kind="stable")
@@ -180,10 +200,7 @@ class Reader:
     def __init__(self, layout: Layout):
         self.layout = layout
         self.base = np.concatenate([[0], np.cumsum(layout.sizes)])
-        self.vocabulary = [_mapped(layout.folder, f"words-{i}", np.uint64, np.int64) if n else None for i, n in enumerate(layout.sizes)]
-        self.pair_files: dict[int, list[np.ndarray]] = {}
-        self.large: dict[int, list[np.ndarray]] = {}
-        self.stat_files: dict[int, list[np.ndarray]] = {}
+        self.files = Files(layout.folder)
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count) of each hash."""
@@ -191,9 +208,10 @@ class Reader:
         shard = self.layout.word_shard(known)
         cut = np.searchsorted(shard, np.arange(self.layout.shards + 1))
         out, count = np.full(len(known), -1, np.int64), np.zeros(len(known), np.int64)
-        for i, file in enumerate(self.vocabulary):
+        for i in np.flatnonzero(np.diff(cut)).tolist():
             a, z = cut[i], cut[i + 1]
-            if file is not None and z > a:
+            if self.layout.sizes[i]:
+                file = self.files.get(f"words-{i}", np.uint64, np.int64)
                 at = np.minimum(np.searchsorted(file[0], known[a:z]), len(file[0]) - 1)
                 hit = file[0][at] == known[a:z]
                 out[a:z] = np.where(hit, at + self.base[i], -1)
@@ -205,20 +223,16 @@ class Reader:
         shard = self.layout.pair_shard(keys)
         order = np.lexsort((keys, shard))
         cut = np.searchsorted(shard[order], np.arange(self.layout.shards + 1))
-        for i in range(self.layout.shards):
+        for i in np.flatnonzero(np.diff(cut)).tolist():
             own = order[cut[i] : cut[i + 1]]
-            if not len(own):
-                continue
-            if i not in self.pair_files:
-                self.pair_files[i] = _mapped(self.layout.folder, f"pairs-{i}", np.uint64, np.uint32)
-                self.large[i] = _mapped(self.layout.folder, f"large-{i}", np.uint64, np.int64)
-            file = self.pair_files[i]
+            file = self.files.get(f"pairs-{i}", np.uint64, np.uint32)
             if len(file[0]):
                 at = np.minimum(np.searchsorted(file[0], keys[own]), len(file[0]) - 1)
                 out[own] = np.where(file[0][at] == keys[own], file[1][at], 0)
                 more = own[out[own] == self.layout.most]
                 if len(more):
-                    out[more] = self.large[i][1][np.searchsorted(self.large[i][0], keys[more])]
+                    large = self.files.get(f"large-{i}", np.uint64, np.int64)
+                    out[more] = large[1][np.searchsorted(large[0], keys[more])]
         return out
 
     def stats(self, ids: np.ndarray) -> np.ndarray:
@@ -226,14 +240,13 @@ class Reader:
         known, back = np.unique(ids, return_inverse=True)
         out = np.zeros((len(known), 4), np.int64)
         bounds = np.concatenate([self.base[:-1], [self.base[-1] + 2]])
-        for i in range(self.layout.shards):
-            own = np.flatnonzero((known >= bounds[i]) & (known < bounds[i + 1]))
-            if len(own):
-                if i not in self.stat_files:
-                    self.stat_files[i] = _mapped(self.layout.folder, f"stats-{i}", *[np.uint32] * 4)
-                at = known[own] - bounds[i]
-                for c in range(4):
-                    out[own, c] = self.stat_files[i][c][at]
+        cut = np.searchsorted(known, bounds)  # ids ascend
+        for i in np.flatnonzero(np.diff(cut)).tolist():
+            own = slice(cut[i], cut[i + 1])
+            file = self.files.get(f"stats-{i}", *[np.uint32] * 4)
+            at = known[own] - bounds[i]
+            for c in range(4):
+                out[own, c] = file[c][at]
         return out[back]
 
 
