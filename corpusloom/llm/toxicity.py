@@ -187,7 +187,7 @@ def fit_model(texts: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, t
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1000)) < int(1000 * CALIBRATION_SHARE)
     chosen = labels.where(h < min(1 << 20, -(-most_rows * (1 << 20) // max(n, 1)))).withColumn("part", part)
     sample = written(texts.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "part"), "toxicity-texts")
-    words = learn_lexicon(sample)
+    words = learn_lexicon(sample.where(~F.col("part")))  # rows that calibrate must not choose the words
     table = written(with_features(sample, words).withColumn("label", F.col("toxic").cast("double")).coalesce(6), "toxicity-sample")
     split = {(r[0], r[1]): r[2] for r in table.groupBy("part", "toxic").count().collect()}
     total = sum(split.values())
