@@ -77,3 +77,11 @@ def angular_generation(files: DataFrame, dependencies: DataFrame) -> DataFrame:
     new, old = F.col("new_points") + F.col("new_packages"), F.col("old_points") + F.col("old_packages")
     by_points = F.when((new > old) & (new > LEAST_POINTS), "angular").when((old > new) & (old > LEAST_POINTS), "angularjs")
     return both.select("project", F.when((F.col("new_file") == 1) & (F.col("old_file") == 0), "angular").when((F.col("old_file") == 1) & (F.col("new_file") == 0), "angularjs").otherwise(by_points).alias("generation"))
+
+
+def topmost(folders: DataFrame) -> DataFrame:
+    """Rows of ``folders`` (folder, ...) of which no other row's folder is above, at any depth."""
+    parts = F.split("folder", "/")
+    above = folders.select("folder", F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: n > 0), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("above"))
+    below = above.join(folders.select(F.col("folder").alias("above")).distinct(), "above", "left_semi").select("folder").distinct()
+    return folders.join(below, "folder", "left_anti")

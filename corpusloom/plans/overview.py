@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..sources import code
 from ..sources.tables import CHUNKS_SQL, chunks, table
@@ -15,16 +16,16 @@ SOURCES: dict[str, tuple[Callable, str]] = {"chunks": (chunks, CHUNKS_SQL), "fil
 
 
 def _shared(name: str, doc: str, sql: str) -> None:
-    """Registers SQL in which {name} stands for a table or a derived one."""
+    """Registers SQL in which {name} stands for a table or a derived one, and EACH(array) for a row of each of its elements."""
     used = [n for n in ("chunks", "files", "documents", "events", "conversations", "labels", "supplier", "part", "lineitem", "orders") if f"{{{n}}}" in sql]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, **{n: SOURCES[n][0](spark, sf_dir) if n in SOURCES else table(spark, sf_dir, n) for n in used})
+        return spark.sql(sql.replace("EACH(", "explode("), **{n: SOURCES[n][0](spark, sf_dir) if n in SOURCES else table(spark, sf_dir, n) for n in used})
 
     run.__name__, run.__doc__ = name, doc
     QUERIES[name] = run
     own = ",\n".join(SOURCES[n][1] for n in used if n in SOURCES)
-    text = sql.format(**{n: n for n in used})
+    text = sql.replace("EACH(", "unnest(").format(**{n: n for n in used})
     ORACLE_SQL[name] = (f"WITH {own}" + (", " + text.removeprefix("WITH ") if text.startswith("WITH ") else " " + text)) if own else text
 
 
@@ -137,6 +138,32 @@ _shared(
 SELECT file_id, framework, round(score, 6) AS score, n_hits, row_number() OVER (PARTITION BY file_id ORDER BY round(score, 6) DESC, ord) = 1 AND round(score, 6) >= 0.5e0 AS is_framework FROM hits""",
 )
 
+
+def _hits(files: DataFrame) -> DataFrame:
+    """(file_id, framework, ord, score, whole, n_hits) of each file, from one look at its text: no join and no shuffle."""
+
+    def scores(text):  # the text is a variable here, so that what makes it is worked out once for all indicators
+        rows = []
+        for framework in dict.fromkeys(f for f, _, _ in INDICATORS):
+            own = [(F.contains(text, F.lit(i)), k, w) for k, (f, i, w) in enumerate(INDICATORS) if f == framework]
+            score = sum((F.when(h, w).otherwise(0.0) for h, _, w in own[1:]), F.when(own[0][0], own[0][2]).otherwise(0.0))
+            first = F.least(*[F.when(h, k) for h, k, _ in own], F.lit(len(INDICATORS)))
+            n = sum((h.cast("bigint") for h, _, _ in own[1:]), own[0][0].cast("bigint"))
+            rows.append(F.struct(F.round(score, 6).alias("score"), (-first).alias("ord"), F.lit(framework).alias("framework"), n.alias("n_hits"), score.alias("whole")))
+        return F.array_sort(F.filter(F.array(*rows), lambda r: r["n_hits"] > 0), lambda x, y: F.when(F.struct(x["score"], x["ord"]) > F.struct(y["score"], y["ord"]), -1).otherwise(1))
+
+    found = files.select("file_id", F.posexplode(F.transform(F.array("content"), scores)[0]).alias("place", "r"))
+    return found.select("file_id", "place", "r.*")
+
+
+def framework_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each framework in each file by its indicators, and which of them the file is of: the best, if it reaches .5."""
+    found = _hits(code.files(spark, sf_dir))
+    return found.select("file_id", "framework", "score", "n_hits", ((F.col("place") == 0) & (F.col("score") >= 0.5)).alias("is_framework"))
+
+
+QUERIES["framework_scores"] = framework_scores
+
 _shared(
     "framework_confidence",
     "Confidence in each framework over all files: primary, secondary or neither, and the mean.",
@@ -145,6 +172,17 @@ c AS (SELECT framework, count(*) AS n_files, round(avg(round(least(score, 1e0),
 SELECT framework, n_files, confidence, CASE WHEN r = 1 THEN 'primary' WHEN r <= 3 THEN 'secondary' ELSE 'other' END AS standing, round(mean_confidence, 6) AS mean_confidence FROM (SELECT *, row_number() OVER (ORDER BY n_files DESC, framework) AS r, avg(confidence) OVER () AS mean_confidence FROM c)""",
 )
 
+
+def framework_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence in each framework over all files: primary, secondary or neither, and the mean; only the frameworks' totals meet in one task."""
+    c = _hits(code.files(spark, sf_dir)).groupBy("framework").agg(F.count("*").alias("n_files"), F.round(F.avg(F.round(F.least("whole", F.lit(1.0)), 6)), 6).alias("confidence"))
+    place = F.row_number().over(Window.orderBy(F.desc("n_files"), "framework"))
+    c = c.withColumns({"r": place, "mean_confidence": F.round(F.avg("confidence").over(Window.partitionBy()), 6)})
+    return c.select("framework", "n_files", "confidence", F.when(F.col("r") == 1, "primary").when(F.col("r") <= 3, "secondary").otherwise("other").alias("standing"), "mean_confidence")
+
+
+QUERIES["framework_confidence"] = framework_confidence
+
 _shared(
     "step_confidence",
     "Confidence of a chain of steps, later steps weighing more; a conversation is a chain, its turns are steps.",
@@ -237,30 +275,23 @@ SELECT user_id, id, score, r FROM (SELECT *, row_number() OVER (PARTITION BY use
 
 _shared(
     "class_edges",
-    "Edges from classes to known classes that they extend, implement or import.",
-    """WITH c AS (SELECT file_id, regexp_extract(content, 'class ([A-Za-z0-9_]+)', 1) AS name, regexp_extract(content, 'extends ([A-Za-z0-9_]+)', 1) AS parent, regexp_extract(content, 'implements ([A-Za-z0-9_]+)', 1) AS contract, regexp_extract(content, 'from ''[.]/([A-Za-z0-9_]+)', 1) AS dep FROM {files}),
-t AS (SELECT file_id, name, 'extends' AS kind, parent AS target, 0.9e0 AS weight FROM c UNION ALL SELECT file_id, name, 'implements', contract, 0.8e0 FROM c UNION ALL SELECT file_id, name, 'imports', dep, 0.5e0 FROM c),
-known AS (SELECT name, min(file_id) AS target_file FROM c WHERE name <> '' GROUP BY name)
+    "Edges from every class to known classes that it extends or implements or that its file imports.",
+    """WITH h AS (SELECT file_id, content, EACH(regexp_extract_all(content, '(class [A-Za-z0-9_]+[^:;(){{}}]*)', 1)) AS head FROM {files}),
+c AS (SELECT file_id, content, head, regexp_extract(head, 'class ([A-Za-z0-9_]+)', 1) AS name FROM h),
+t AS (SELECT file_id, name, 'extends' AS kind, regexp_extract(head, 'extends ([A-Za-z0-9_]+)', 1) AS target, 0.9e0 AS weight FROM c
+UNION SELECT file_id, name, 'implements', EACH(regexp_extract_all(regexp_extract(head, 'implements ([A-Za-z0-9_, ]+)', 1), '([A-Za-z0-9_]+)', 1)), 0.8e0 FROM c
+UNION SELECT file_id, name, 'imports', EACH(regexp_extract_all(content, 'from ''[.]/([A-Za-z0-9_]+)', 1)), 0.5e0 FROM c),
+known AS (SELECT name, min(file_id) AS target_file FROM c GROUP BY name)
 SELECT t.file_id, t.name, t.kind, t.target, known.target_file, t.weight FROM t JOIN known ON known.name = t.target""",
 )
 
 _shared(
     "navigation_targets",
     "Where each class and file name leads: the last one that has the name, and the first for lookups by name.",
-    """WITH c AS (SELECT file_id, regexp_extract(content, 'class ([A-Za-z0-9_]+)', 1) AS name FROM {files}), k AS (SELECT file_id, name FROM c WHERE name <> '' UNION ALL SELECT file_id, file_path FROM {files})
+    """WITH k AS (SELECT file_id, EACH(regexp_extract_all(content, 'class ([A-Za-z0-9_]+)', 1)) AS name FROM {files} UNION ALL SELECT file_id, file_path FROM {files})
 SELECT name, max(file_id) AS last_file, min(file_id) AS first_file, count(*) AS n FROM k GROUP BY name""",
 )
 
-_shared(
-    "service_roots",
-    "Folders that look like roots of services, without those below another.",
-    """WITH f AS (SELECT regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS folder, bool_or(contains(content, 'Flask(') OR contains(content, '@RestController')) AS is_service, count(*) AS n_files FROM {files} GROUP BY regexp_extract(file_path, '^(.*)/[^/]*$', 1)),
-r AS (SELECT folder, n_files FROM f WHERE is_service),
-up AS (SELECT folder, regexp_extract(folder, '^([^/]+)/', 1) AS above FROM r UNION ALL SELECT folder, regexp_extract(folder, '^([^/]+/[^/]+)/', 1) FROM r UNION ALL SELECT folder, regexp_extract(folder, '^([^/]+/[^/]+/[^/]+)/', 1) FROM r
-UNION ALL SELECT folder, regexp_extract(folder, '^([^/]+/[^/]+/[^/]+/[^/]+)/', 1) FROM r UNION ALL SELECT folder, regexp_extract(folder, '^([^/]+/[^/]+/[^/]+/[^/]+/[^/]+)/', 1) FROM r)
-SELECT folder, n_files FROM r WHERE folder NOT IN (SELECT up.folder FROM up JOIN r ON r.folder = up.above)""",
-)
-
 _shared(
     "applicable_tools",
     "Analysis tools that apply to each file by extension and framework.",
@@ -420,10 +451,10 @@ SELECT kind, pattern, confidence, confidence >= threshold AS is_shown FROM u""",
 
 _shared(
     "spring_layers",
-    "Controllers, services and repositories named in Java files, with the files of each layer.",
-    """SELECT layer, count(*) AS n_files, min(file_id) AS first_file, count(DISTINCT name) AS n_names FROM (
-SELECT file_id, 'controller' AS layer, regexp_extract(content, 'class ([A-Za-z0-9_]+Controller)', 1) AS name FROM {files} WHERE kind = 'java' UNION ALL
-SELECT file_id, 'service', regexp_extract(content, 'private ([A-Za-z0-9_]+Service)', 1) FROM {files} WHERE kind = 'java' UNION ALL SELECT file_id, 'repository', regexp_extract(content, 'private ([A-Za-z0-9_]+Repository)', 1) FROM {files} WHERE kind = 'java') WHERE name <> '' GROUP BY layer""",
+    "All controllers, services and repositories named in Java files, with the files of each layer.",
+    """SELECT layer, count(DISTINCT file_id) AS n_files, min(file_id) AS first_file, count(DISTINCT name) AS n_names, count(*) AS n FROM (
+SELECT file_id, 'controller' AS layer, EACH(regexp_extract_all(content, 'class ([A-Za-z0-9_]+Controller)', 1)) AS name FROM {files} WHERE kind = 'java' UNION ALL
+SELECT file_id, 'service', EACH(regexp_extract_all(content, 'private ([A-Za-z0-9_]+Service)', 1)) FROM {files} WHERE kind = 'java' UNION ALL SELECT file_id, 'repository', EACH(regexp_extract_all(content, 'private ([A-Za-z0-9_]+Repository)', 1)) FROM {files} WHERE kind = 'java') GROUP BY layer""",
 )
 
 _shared(
@@ -436,8 +467,8 @@ SELECT file_id, provided_by, segment, 'http' AS protocol FROM consumer JOIN prov
 
 _shared(
     "endpoint_groups",
-    "Endpoints of Java and Flask files by method, searchable by path, with the document beside them.",
-    """WITH e AS (SELECT file_id, 'GET' AS method, regexp_extract(content, '@GetMapping[(]"([^"]+)"', 1) AS path FROM {files} WHERE kind = 'java' UNION ALL SELECT file_id, 'POST', regexp_extract(content, '@PostMapping[(]"([^"]+)"', 1) FROM {files} WHERE kind = 'java'
-UNION ALL SELECT file_id, 'ANY', regexp_extract(content, '@app.route[(]"([^"]+)"', 1) FROM {files} WHERE kind = 'flask' UNION ALL SELECT file_id, 'GET', regexp_extract(content, '@app.get[(]"([^"]+)"', 1) FROM {files} WHERE kind = 'flask')
-SELECT e.file_id, method, path, lang, source, row_number() OVER (PARTITION BY source ORDER BY path, method, e.file_id) AS place FROM e LEFT JOIN {documents} d ON d.doc_id = e.file_id WHERE path <> '' AND (contains(path, 'the') OR method <> 'ANY')""",
+    "All endpoints of Java and Flask files in order within their base path, with the document beside them.",
+    """WITH e AS (SELECT file_id, 'GET' AS method, EACH(regexp_extract_all(content, '@GetMapping[(]"([^"]+)"', 1)) AS path FROM {files} WHERE kind = 'java' UNION ALL SELECT file_id, 'POST', EACH(regexp_extract_all(content, '@PostMapping[(]"([^"]+)"', 1)) FROM {files} WHERE kind = 'java'
+UNION ALL SELECT file_id, 'ANY', EACH(regexp_extract_all(content, '@app.route[(]"([^"]+)"', 1)) FROM {files} WHERE kind = 'flask' UNION ALL SELECT file_id, 'GET', EACH(regexp_extract_all(content, '@app.get[(]"([^"]+)"', 1)) FROM {files} WHERE kind = 'flask')
+SELECT e.file_id, method, path, lang, source, row_number() OVER (PARTITION BY regexp_extract(path, '^/([^/]*)', 1) ORDER BY path, method, e.file_id) AS place FROM e LEFT JOIN {documents} d ON d.doc_id = e.file_id""",
 )

@@ -112,3 +112,13 @@ def included_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("urlpatterns = [\n    path('nation/"), F.col("n").cast("string"), F.lit("/', show_"), F.col("k").cast("string"), F.lit("),\n"), F.coalesce("lines", F.lit("")), F.lit("\n]\n"))
     files = s.join(below, F.col("up") == F.col("k"), "left").select(F.format_string("m%d/urls.py", F.col("k")).alias("file_path"), text.alias("content"))
     return R.included_routes(R.url_entries(files)).select("root", "path", "handler", F.size("modules").alias("depth"))
+
+
+@query(f"""WITH {code.SQL}, f AS (SELECT regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS folder, bool_or(contains(content, 'Flask(') OR contains(content, '@RestController')) AS is_service, count(*) AS n_files FROM files GROUP BY 1), r AS (SELECT folder, n_files FROM f WHERE is_service),
+up AS (SELECT folder, array_to_string(string_split(folder, '/')[1:n], '/') AS above FROM (SELECT folder, unnest(range(1, len(string_split(folder, '/')))) AS n FROM r))
+SELECT folder, CAST(n_files AS BIGINT) AS n_files FROM r WHERE NOT EXISTS (SELECT 1 FROM up JOIN r a ON a.folder = up.above WHERE up.folder = r.folder)""")
+def service_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that look like roots of services, without those at any depth below another."""
+    service = F.contains("content", F.lit("Flask(")) | F.contains("content", F.lit("@RestController"))
+    f = code.files(spark, sf_dir).groupBy(F.regexp_extract("file_path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.bool_or(service).alias("is_service"), F.count("*").alias("n_files"))
+    return M.topmost(f.where("is_service").select("folder", "n_files"))

@@ -71,3 +71,9 @@ def test_resource_routes(spark):
     five = lambda base, name: [(base, "GET", f"{name}#index"), (base, "POST", f"{name}#create"), (base + "/:id", "GET", f"{name}#show"), (base + "/:id", "PUT", f"{name}#update"), (base + "/:id", "DELETE", f"{name}#destroy")]
     four = [("/admin/users/:user_id/avatar", m, f"avatar#{a}") for m, a in (("GET", "show"), ("POST", "create"), ("PUT", "update"), ("DELETE", "destroy"))]
     assert got == sorted([("/health", "GET", "status#up"), *five("/admin/users", "users"), *four, ("/admin/users/:user_id/ban", "POST", "unknown"), *five("/admin/logs", "logs"), *five("/posts", "posts")])
+
+
+def test_topmost(spark):
+    rows = ["a", "a/b/c/d/e/f/g", "ab", "x/y", "x/yz", "x/y/z/1/2/3/4/5", "q/r", "q"]
+    got = sorted(r[0] for r in M.topmost(spark.createDataFrame([(r,) for r in rows], "folder string")).collect())
+    assert got == ["a", "ab", "q", "x/y", "x/yz"]
