@@ -34,10 +34,11 @@ class TermIndex:
 def term_index(docs: DataFrame, tokens: Column, name: str) -> TermIndex:
     """The index of ``docs`` (id, text), built from one pass over the texts when it is first asked for.
 
-    Postings are dealt out and sorted by term, so that a search reads the row
-    groups of its own terms only.
+    Postings are dealt out by term and part of the ids and sorted by term, so that
+    a search reads the row groups of its own terms only and no task has all
+    postings of a term that every document holds.
     """
-    post = stored(docs, f"{name}-postings", lambda d: postings(d, tokens).repartition("term").sortWithinPartitions("term"))
+    post = stored(docs, f"{name}-postings", lambda d: _by_term(postings(d, tokens)))
     dl = stored(post, f"{name}-lengths", lengths)
     df = stored(post, f"{name}-frequencies", document_frequencies)
     n = stored(docs, f"{name}-documents", lambda d: d.agg(F.count("*").alias("n")))
@@ -45,6 +46,14 @@ def term_index(docs: DataFrame, tokens: Column, name: str) -> TermIndex:
     return TermIndex(post, dl, df, size)
 
 
+#: Parts that the postings of a term are dealt out to.
+ID_PARTS = 16
+
+
+def _by_term(post: DataFrame) -> DataFrame:
+    return post.repartition(F.col("term"), F.pmod(F.xxhash64("id"), F.lit(ID_PARTS))).sortWithinPartitions("term")
+
+
 def lengths(post: DataFrame) -> DataFrame:
     return post.groupBy("id").agg(F.sum("tf").alias("dl"), F.count("*").alias("distinct_terms"))
 
@@ -93,7 +102,7 @@ def sparse_vectors(index: TermIndex, name: str, k1: float = 1.2, b: float = 0.75
         w = _with_statistics(post.select("id", "term", "tf"), index)
         w = w.select("id", "term", term_weights(k1, b, "B").alias("w"))
         norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norm, "id").repartition("term").sortWithinPartitions("term")
+        return _by_term(w.join(norm, "id"))
 
     return stored(index.postings, f"{name}-sparse", build)
 
