@@ -29,7 +29,7 @@ from .shared import crc_remainder, documents, small_batches, written
 MOST_ROWS = 30_000
 #: Words of the learned lexicon, in three tiers of a third each.
 MOST_WORDS = 120
-CALIBRATION_SHARE = 0.3
+CALIBRATION_SHARE = 0.2
 THRESHOLD = 0.3
 NEAR = 5
 
