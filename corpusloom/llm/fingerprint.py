@@ -11,11 +11,12 @@ written as text; it has the same size however long the text is.
 Two versions are compared by subtracting fingerprint from fingerprint, cell by
 cell, which leaves the differing digests only, and peeling: a cell with a single
 digest gives it away, and the digest is taken out of the other sub-tables.  A
-fingerprint is sized for a small difference.  Where cells remain, the pair is
-retried on a sketch sized by both texts, cut into blocks of the same shape by
-the digests' hashes; a block that fails is retried on four blocks with other
-hashes, and what not even these give away (a few digests in millions) is told
-by comparing the digests of that block.
+fingerprint is sized for a small difference.  Where cells remain, the spread of
+the subtracted counts tells how many digests differ, and the pair is retried on
+a sketch of as many blocks of the same shape as that difference asks for,
+however long both texts are; a block that fails is retried on four blocks with
+other hashes, and what not even these give away (a few digests in millions) is
+told by comparing the digests of that block.
 
 All of this is array functions inside one row; the only shuffle brings each
 text beside its next one.
@@ -34,8 +35,10 @@ PIECE = 200
 HASHES = 3
 #: Cells of each sub-table.
 CELLS = 8
-#: Digests of both sides that a block of the larger sketch is meant for, and the logarithm of the blocks that are dealt out in one step.
+#: Differing digests that a block of the larger sketch is meant for, and the logarithm of the blocks that are dealt out in one step.
 BLOCK = 10
+#: Factor on the estimated difference, whose error is about a third.
+MARGIN = 1.4
 SUPER = 6
 #: Rounds of peeling; each takes out all digests that lie alone in a cell.
 ROUNDS = 10
@@ -160,8 +163,22 @@ def _over(first: Column, last: Column, body: Callable[[Column], Column]) -> Colu
     return F.flatten(F.transform(F.sequence(first.cast("long"), last.cast("long")), body))
 
 
-def larger(plus: Column, minus: Column) -> Column:
-    """The differing digests of two sides' elements, array of (n, k), by a sketch as large as both need."""
+def estimated(cells: Column, plus: Column, minus: Column) -> Column:
+    """How many digests a subtracted sketch of two sides' elements holds, from the spread of its counts, with a margin.
+
+    In a sub-table d digests of either sign give the counts a sum of squares
+    about their mean of d * (1 - 1 / CELLS) on average; the error of all
+    sub-tables together is about a third.
+    """
+    surplus = F.size(plus) - F.size(minus)
+    mean = surplus / CELLS
+    squares = F.aggregate(cells, F.lit(0.0), lambda a, c: a + (c["n"] - mean) * (c["n"] - mean))
+    spread = F.greatest(F.abs(surplus).cast("double"), squares * (MARGIN / (HASHES * (1 - 1 / CELLS))))
+    return F.least(spread, (F.size(plus) + F.size(minus)).cast("double"))
+
+
+def larger(plus: Column, minus: Column, differing: Column) -> Column:
+    """The differing digests of two sides' elements, array of (n, k), by a sketch for about ``differing`` of them."""
 
     def retried(own: Column) -> Column:
         side = lambda n: _elements(F.transform(F.filter(own, lambda e: e["n"] == n), lambda e: e["k"]), n, 1)
@@ -181,7 +198,7 @@ def larger(plus: Column, minus: Column) -> Column:
         inner = lambda own, g: _over(g * size, (g + 1) * size - 1, lambda b: let(F.filter(own, lambda e: _block(e, s["lg"]) == b), block))
         return _over(F.lit(0), _shifted("shiftleft", F.lit(1).cast("long"), many) - 1, lambda g: let(outer(g), lambda own: inner(own, g)))
 
-    lg = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.size(plus) + F.size(minus), F.lit(1)) / BLOCK))).cast("int")
+    lg = F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(differing, F.lit(1.0)) / BLOCK))).cast("int")
     return let(F.struct(F.concat(plus, _minus(minus)).alias("own"), lg.alias("lg")), dealt)
 
 
@@ -189,8 +206,12 @@ def difference(a: Column, b: Column, plus: Column, minus: Column) -> Column:
     """(found, tries): the differing digests of two texts from their sketches ``a`` and ``b``, or else from larger ones of their elements."""
     # a sketch of so many cells cannot give away more digests than it has cells
     hopeless = F.abs(F.size(plus) - F.size(minus)) > HASHES * CELLS
-    small = F.when(hopeless, F.lit(None).cast(FOUND)).otherwise(peeled(subtracted(a, b)))
-    return let(small, lambda s: F.struct(F.coalesce(s, larger(plus, minus)).alias("found"), F.when(s.isNull(), 2).otherwise(1).alias("tries")))
+
+    def compared(cells: Column) -> Column:
+        small = F.when(hopeless, F.lit(None).cast(FOUND)).otherwise(peeled(cells))
+        return let(small, lambda s: F.struct(F.coalesce(s, larger(plus, minus, estimated(cells, plus, minus))).alias("found"), F.when(s.isNull(), 2).otherwise(1).alias("tries")))
+
+    return let(subtracted(a, b), compared)
 
 
 def one_sided(found: Column, sign: int) -> Column:

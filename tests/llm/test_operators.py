@@ -125,6 +125,17 @@ def test_recovered_digests(spark):
         assert set(got[r["id"]]["removed_digests"]) == set(r["a"]) - set(r["b"]) and set(got[r["id"]]["added_digests"]) == set(r["b"]) - set(r["a"])
 
 
+def test_retries_are_sized_by_the_difference(spark):
+    """The estimate follows the differing digests, not the length of the texts, and is at most both sides' number."""
+    pieces = [f"sentence {i}" for i in range(2000)]
+    edited = lambda n: ". ".join(["phrase" + p for p in pieces[:n]] + pieces[n:])
+    df = spark.createDataFrame([(n, ". ".join(pieces), edited(n)) for n in (0, 30, 200, 2000)], "n int, a string, b string")
+    df = df.select("n", *[fingerprint._elements(fingerprint.digests(F.col(c))).alias(c) for c in "ab"])
+    cells = fingerprint.subtracted(fingerprint._cells(F.col("a")), fingerprint._cells(F.col("b")))
+    got = {r["n"]: r["d"] for r in df.select("n", fingerprint.estimated(cells, F.col("a"), F.col("b")).alias("d")).collect()}
+    assert got[0] == 0 and 30 < got[30] < 160 and 200 < got[200] < 1000 and 2000 < got[2000] <= 4000
+
+
 def test_licenses(docs, none):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
