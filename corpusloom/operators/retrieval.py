@@ -173,6 +173,65 @@ def fused(legs: dict[str, DataFrame], weights: dict[str, float], keys: list[str]
     return out.select(*keys, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in legs], total.alias("score"))
 
 
+#: Weights of the legs, and what the kind of a component and its expected result make of them (fixed values).
+LEG_WEIGHTS = {"semantic": 0.4, "keyword": 0.35, "bm25": 0.25}
+LEAST_WEIGHTS = {"semantic": ("semantic", 0.6), "structural": ("keyword", 0.7), "technical": ("bm25", 0.5)}
+RAISED_WEIGHTS = {"code": ("keyword", 1.2), "explanation": ("semantic", 1.2)}
+#: Terms that an action adds to a component's query (fixed values).
+ACTION_TERMS = {"find": "implementation definition", "explain": "documentation description", "analyze": "structure pattern"}
+
+
+def component_query() -> Column:
+    """The query text of a component: its subject, keywords (array), entities (array) and the terms of its action; nulls add nothing."""
+    terms = F.lit(None).cast("string")
+    for action, more in ACTION_TERMS.items():
+        terms = F.when(F.col("action") == action, more).otherwise(terms)
+    return F.concat_ws(" ", F.nullif("subject", F.lit("")), "keywords", "entities", terms)
+
+
+def component_weights() -> dict[str, Column]:
+    """The weight of each leg for a component of some kind (``type``) and expected result (``output``)."""
+    out = {}
+    for leg, base in LEG_WEIGHTS.items():
+        weight = F.lit(base)
+        for kind, (own, least) in LEAST_WEIGHTS.items():
+            if own == leg:
+                weight = F.when(F.col("type") == kind, F.lit(max(base, least))).otherwise(weight)
+        for result, (own, factor) in RAISED_WEIGHTS.items():
+            if own == leg:
+                weight = weight * F.when(F.col("output") == result, factor).otherwise(1.0)
+        out[leg] = weight
+    return out
+
+
+def context_relevance(query: Column, content: Column, name: Column) -> Column:
+    """.2 where the text holds the query, .3 where its name does, whatever the case; an empty query stands in every text."""
+    holds = lambda c: F.coalesce(F.contains(F.lower(c), F.lower(query)), F.lit(False))
+    return F.when(holds(content), 0.2).otherwise(0.0) + F.when(holds(name), 0.3).otherwise(0.0)
+
+
+def in_scope(scope: Column, kind: Column, content: Column) -> Column:
+    """Whether a chunk fits the scope of a component: classes and functions by kind or text, files by kind; any other scope takes all."""
+    word = lambda w: F.coalesce(F.contains(kind, F.lit(w)), F.lit(False)) | F.coalesce(F.contains(F.lower(content), F.lit(w)), F.lit(False))
+    return F.when(scope == "class", word("class")).when(scope == "function", word("function")).when(scope == "file", F.coalesce(F.contains(kind, F.lit("file")), F.lit(False))).otherwise(True)
+
+
+def component_search(components: DataFrame, legs: DataFrame, chunks: DataFrame, most: int = 20) -> DataFrame:
+    """(qid, id, rank, score, context): the best chunks of every component of a question, all components in one pass.
+
+    components: (qid, type, output, scope, query); legs: (qid, id) with a scaled
+    score of each leg; chunks: (id, chunk_type, name, content).  Each component
+    weighs the legs by its kind.  Its first ``most`` hits meet their texts, and
+    those out of its scope go, so fewer may be left; ranks are those before.
+    """
+    weighed = components.select("qid", *[w.alias(f"w_{leg}") for leg, w in component_weights().items()])
+    score = sum((F.col(leg) * F.col(f"w_{leg}") for leg in LEG_WEIGHTS), F.lit(0.0))
+    best = top_k(legs.join(weighed, "qid").select("qid", "id", F.round(score, 6).alias("score")), most, group="qid")
+    found = best.join(chunks.select("id", "chunk_type", "name", "content"), "id").join(components.select("qid", "scope", "query"), "qid")
+    found = found.where(in_scope(F.col("scope"), F.col("chunk_type"), F.col("content")))
+    return found.select("qid", "id", "rank", "score", context_relevance(F.col("query"), F.col("content"), F.col("name")).alias("context"))
+
+
 def first_seen_bonus(df: DataFrame, columns: dict[str, float], score: str, order: list) -> DataFrame:
     """Adds a bonus to the first row of each value of a column, in the given order."""
     for column, bonus in columns.items():

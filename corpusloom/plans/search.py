@@ -43,9 +43,10 @@ def _hybrid_index(spark: SparkSession, sf_dir: str) -> R.TermIndex:
     return R.term_index(_documents(spark, sf_dir), T.hybrid_tokens(F.col("text")), "hybrid")
 
 
-def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All terms of each benchmark passage."""
-    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(T.bm25_tokens(F.col("text"))).alias("term"))
+def _queries(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
+    """All terms of each benchmark passage, or of other items (item_id, text)."""
+    items = table(spark, sf_dir, "benchmark") if items is None else items
+    terms = items.select(F.col("item_id").alias("qid"), F.explode(T.bm25_tokens(F.col("text"))).alias("term"))
     return terms.groupBy("qid", "term").agg(F.count("*").alias("n"))
 
 
@@ -102,8 +103,8 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(scores, 10, group="qid").select("qid", "id", "score", "rank")
 
 
-def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), T.hybrid_tokens(F.col("text")).alias("t"))
+def _keyword(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
+    items = (table(spark, sf_dir, "benchmark") if items is None else items).select(F.col("item_id").alias("qid"), T.hybrid_tokens(F.col("text")).alias("t"))
     q = items.select("qid", F.explode(F.array_distinct("t")).alias("term"))
     pairs = items.select("qid", F.posexplode(F.arrays_zip(F.col("t").alias("left"), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))).alias("right"))).alias("at", "p")).select("qid", "at", "p.left", "p.right")
     return R.keyword_scores(q, pairs.where("right IS NOT NULL"), _hybrid_index(spark, sf_dir))
@@ -184,16 +185,46 @@ def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("qid", "id", *[F.round(n, 6).alias(n) for n in ("semantic", "keyword", "bm25")], "score", "rank")
 
 
-def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fused(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
     q = vectors.join(wanted, "id").select(F.col("id").alias("qid"), F.col("v").alias("q"))
     legs = {
         "semantic": R.semantic_scores(q, vectors),
-        "keyword": _keyword(spark, sf_dir),
-        "bm25": R.bm25(_queries(spark, sf_dir), _index(spark, sf_dir), k1=1.5, variant="C").where("score > 0"),
+        "keyword": _keyword(spark, sf_dir, items),
+        "bm25": R.bm25(_queries(spark, sf_dir, items), _index(spark, sf_dir), k1=1.5, variant="C").where("score > 0"),
     }
-    return R.fused(legs, {"semantic": 0.4, "keyword": 0.35, "bm25": 0.25}, ["qid", "id"]).withColumn("score", F.round("score", 6))
+    return R.fused(legs, R.LEG_WEIGHTS, ["qid", "id"]).withColumn("score", F.round("score", 6))
+
+
+#: Kinds, actions, expected results and scopes that the benchmark passages get as components, in turn.
+_KINDS, _ACTIONS, _RESULTS, _SCOPES = ("semantic", "structural", "technical", "other"), ("find", "explain", "analyze", "list", "other"), ("code", "explanation", "list"), ("class", "function", "file", "all")
+
+
+def _turn(values: tuple[str, ...]) -> str:
+    return f"([{', '.join(f'{chr(39)}{v}{chr(39)}' for v in values)}])[CAST(item_id % {len(values)} AS INTEGER) + 1]"
+
+
+_WEIGHTED_SQL = """semantic * CASE WHEN type = 'semantic' THEN 0.6e0 ELSE 0.4e0 END * CASE WHEN output = 'explanation' THEN 1.2e0 ELSE 1e0 END + keyword * CASE WHEN type = 'structural' THEN 0.7e0 ELSE 0.35e0 END * CASE WHEN output = 'code' THEN 1.2e0 ELSE 1e0 END
+ + bm25 * CASE WHEN type = 'technical' THEN 0.5e0 ELSE 0.25e0 END"""
+_ASKED_SQL = f"""parts AS (SELECT item_id, {_turn(_KINDS)} AS type, {_turn(_ACTIONS)} AS action, {_turn(_RESULTS)} AS output, {_turn(_SCOPES)} AS scope, text AS subject, regexp_extract_all(text, '[a-z]{{8,}}') AS keywords, regexp_extract_all(text, '[A-Z][a-z]+') AS entities FROM benchmark),
+asked AS (SELECT item_id, type, output, scope, subject, concat_ws(' ', nullif(subject, ''), nullif(array_to_string(keywords, ' '), ''), nullif(array_to_string(entities, ' '), ''), CASE action WHEN 'find' THEN 'implementation definition' WHEN 'explain' THEN 'documentation description' WHEN 'analyze' THEN 'structure pattern' END) AS text FROM parts)"""
+
+
+@query(f"""WITH {_ASKED_SQL}, {_FUSED_SQL.removeprefix("WITH ").replace("FROM benchmark", "FROM asked")} {CHUNKS_SQL},
+w AS (SELECT qid, id, round({_WEIGHTED_SQL}, 6) AS score FROM f JOIN asked ON item_id = qid), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM w)
+SELECT qid, r.id, rank, score, CASE WHEN contains(lower(content), lower(subject)) THEN 0.2e0 ELSE 0e0 END + CASE WHEN contains(lower(class_name), lower(subject)) THEN 0.3e0 ELSE 0e0 END AS context FROM r JOIN asked ON item_id = qid JOIN chunks ON chunk_idx = r.id
+WHERE rank <= 20 AND CASE scope WHEN 'class' THEN contains(chunk_type, 'class') OR contains(lower(content), 'class') WHEN 'function' THEN contains(chunk_type, 'function') OR contains(lower(content), 'function') WHEN 'file' THEN contains(chunk_type, 'file') ELSE true END""")
+def component_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best chunks of each component: every benchmark passage is one, its kind, action, result and scope in turn."""
+    turn = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("item_id") % len(values)).cast("int"))
+    own = {"type": turn(_KINDS), "action": turn(_ACTIONS), "output": turn(_RESULTS), "scope": turn(_SCOPES), "subject": F.col("text")}
+    own |= {"keywords": F.regexp_extract_all("text", F.lit("[a-z]{8,}"), F.lit(0)), "entities": F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))}
+    asked = table(spark, sf_dir, "benchmark").select("item_id", *[c.alias(k) for k, c in own.items()])
+    items = asked.select("item_id", R.component_query().alias("text"))
+    components = asked.select(F.col("item_id").alias("qid"), "type", "output", "scope", F.col("subject").alias("query"))
+    texts = chunks(spark, sf_dir).select(F.col("chunk_idx").alias("id"), "chunk_type", F.col("class_name").alias("name"), "content")
+    return R.component_search(components, _fused(spark, sf_dir, items), texts)
 
 
 _RERANK_SQL = _FUSED_SQL + f""" top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 20), {CHUNKS_SQL},
