@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..sources.stored import Rounds
 from ..sources.tables import CHUNKS_SQL, chunks, table
 from .registry import query
 from .texts import bm25_tokens_sql, hybrid_tokens_sql
@@ -99,15 +101,16 @@ SELECT qid, id, sum(tf / CAST(dl AS DOUBLE) * (1 + 0.2 * greatest(0, 1 - pos_sum
 @query(f"""WITH {_POS_SQL}, s AS ({_KEYWORD_SQL}), r AS (SELECT qid, id, round(score, 6) AS score FROM s) SELECT qid, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM r) WHERE rank <= 10""")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term shares with a bonus for early positions and for neighbouring terms that stand together."""
-    scores = _keyword(spark, sf_dir).withColumn("score", F.round("score", 6))
+    scores = R.keyword_scores(*_keyword_terms(spark, sf_dir), _hybrid_index(spark, sf_dir)).withColumn("score", F.round("score", 6))
     return R.top_k(scores, 10, group="qid").select("qid", "id", "score", "rank")
 
 
-def _keyword(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
+def _keyword_terms(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The different terms of each item and its neighbouring terms."""
     items = (table(spark, sf_dir, "benchmark") if items is None else items).select(F.col("item_id").alias("qid"), T.hybrid_tokens(F.col("text")).alias("t"))
     q = items.select("qid", F.explode(F.array_distinct("t")).alias("term"))
     pairs = items.select("qid", F.posexplode(F.arrays_zip(F.col("t").alias("left"), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))).alias("right"))).alias("at", "p")).select("qid", "at", "p.left", "p.right")
-    return R.keyword_scores(q, pairs.where("right IS NOT NULL"), _hybrid_index(spark, sf_dir))
+    return q, pairs.where("right IS NOT NULL")
 
 
 _COS = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))"
@@ -189,12 +192,16 @@ def _fused(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) ->
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
     q = vectors.join(wanted, "id").select(F.col("id").alias("qid"), F.col("v").alias("q"))
-    legs = {
-        "semantic": R.semantic_scores(q, vectors),
-        "keyword": _keyword(spark, sf_dir, items),
-        "bm25": R.bm25(_queries(spark, sf_dir, items), _index(spark, sf_dir), k1=1.5, variant="C").where("score > 0"),
-    }
-    return R.fused(legs, R.LEG_WEIGHTS, ["qid", "id"]).withColumn("score", F.round("score", 6))
+    index = _hybrid_index(spark, sf_dir)
+    legs = [
+        R.vector_leg(Rounds(spark).keep("semantic", R.semantic_scores(q, vectors))),
+        R.keyword_leg(*_keyword_terms(spark, sf_dir, items), index),
+        R.bm25_leg(_queries(spark, sf_dir, items), _index(spark, sf_dir), k1=1.5, variant="C"),
+    ]
+    entries, asked = (reduce(DataFrame.unionByName, side) for side in zip(*legs, strict=True))
+    scores = R.summed(entries, asked, index.documents(), {"semantic": ["vector"], "keyword": ["word", "pair"], "bm25": ["bm25"]})
+    found = scores.withColumn("bm25", F.when(F.col("bm25") > 0, F.col("bm25")))
+    return R.fused(found, R.LEG_WEIGHTS).withColumn("score", F.round("score", 6))
 
 
 #: Kinds, actions, expected results and scopes that the benchmark passages get as components, in turn.
