@@ -49,7 +49,8 @@ def bm25_tokens(text: Column, split_camel: bool = False) -> Column:
 
 def hybrid_tokens(text: Column) -> Column:
     """Lower-case words; dots and hyphens stay."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\w\s.\-]", " "), r"\s+"), lambda t: F.length(t) > 1)
+    # the class without them is several times faster than one with them
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\w\s](?<![.\-])", " "), r"\s+"), lambda t: F.length(t) > 1)
 
 
 def query_keywords(text: Column, stop_words: list[str] = QUERY_STOP_WORDS, most: int = 10) -> Column:
