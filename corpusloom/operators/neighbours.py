@@ -26,6 +26,8 @@ EACH, MOST_CELLS = 64, 256
 RECALL = 0.97
 #: Expected vectors and queries of one group.
 GROUP_ROWS, GROUP_QUERIES = 8_192, 1_024
+#: Parts into which the chunks that a file refers to are dealt.
+FILE_PARTS = 32
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -136,11 +138,18 @@ def cross_references(chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> D
 
     A chunk refers to the chunks of all nodes on which a node of its file
     depends, and is used by those of all nodes that depend on one; never to itself.
+    What a file refers to is found once for all its chunks, which meet it in the
+    end, in parts; only chunks of several files can then refer to one twice.
     """
-    of_file = chunks.join(nodes.select("node", "file"), "file").select("id", "node").distinct()
+    files = chunks.select("id", "file").distinct()
+    files = files.join(files.groupBy("id").agg((F.count("*") > 1).alias("several")), "id")
+    own = nodes.where("file IS NOT NULL").select("node", "file").distinct()
     of_chunk = nodes.where("chunk IS NOT NULL").select(F.col("node").alias("other_node"), F.col("chunk").alias("other")).distinct()
     e = edges.select("source", "target").distinct()
-    out = of_file.join(e.select(F.col("source").alias("node"), F.col("target").alias("other_node")), "node").withColumn("relationship", F.lit("depends_on"))
-    into = of_file.join(e.select(F.col("target").alias("node"), F.col("source").alias("other_node")), "node").withColumn("relationship", F.lit("used_by"))
-    both = out.unionByName(into).join(of_chunk, "other_node").where("id <> other")
-    return both.select("id", "other", "relationship").distinct().withColumn("confidence", F.lit(0.8))
+    out = e.join(own.withColumnRenamed("node", "source"), "source").select("file", F.col("target").alias("other_node"), F.lit("depends_on").alias("relationship"))
+    into = e.join(own.withColumnRenamed("node", "target"), "target").select("file", F.col("source").alias("other_node"), F.lit("used_by").alias("relationship"))
+    found = out.unionByName(into).distinct().join(of_chunk, "other_node").select("file", "other", "relationship").distinct()
+    found = found.withColumn("part", F.pmod(F.xxhash64("other"), F.lit(FILE_PARTS)))
+    every = files.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(FILE_PARTS - 1).cast("bigint"))))
+    both = found.join(every, ["file", "part"]).where("id <> other").select("id", "other", "relationship", "several")
+    return both.where("NOT several").unionByName(both.where("several").distinct()).select("id", "other", "relationship", F.lit(0.8).alias("confidence"))
