@@ -54,3 +54,27 @@ def test_cross_references(spark):
     edges = spark.createDataFrame([(1, 2), (1, 2), (3, 4), (1, 1), (2, 4)], "source long, target long")
     got = sorted((r["id"], r["other"], r["relationship"]) for r in N.cross_references(chunks, nodes, edges).collect())
     assert got == [("a", "c", "depends_on"), ("a", "c", "used_by"), ("a", "d", "used_by"), ("b", "a", "depends_on"), ("b", "a", "used_by"), ("b", "c", "depends_on"), ("b", "c", "used_by"), ("b", "d", "used_by"), ("c", "a", "used_by")]
+
+
+def test_neighbours_of_equal_ids_and_of_many_groups(spark, monkeypatch):
+    """Rows of one id are one document, and groups of any size give the same neighbours as all pairs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import hierarchy as H
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(60), " ".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 6)))) for _ in range(90)]
+    sets = {}
+    for i, text in rows:
+        sets.setdefault(i, set()).update(text.split())
+    want = {}
+    for a, x in sets.items():
+        near = sorted((-round(len(x & y) / len(x | y), 6), b) for b, y in sets.items() if b != a and len(x & y) / len(x | y) > 0.1)
+        want |= {(a, b): (-s, i + 1) for i, (s, b) in enumerate(near[:5])}
+    monkeypatch.setattr(H, "GROUP_ROWS", 20)
+    monkeypatch.setattr(H, "GROUP_QUERIES", 15)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    got = H.neighbours(docs, F.split("text", " "), 5, 0.1).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): (r["similarity"], r["rank"]) for r in got} == want
