@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import similar as S
 from ..operators.filters import Rule, SearchFilter, apply_rules, ordered, page
 from ..sources.tables import CHUNKS_SQL, chunks, table
 from .registry import query
@@ -69,14 +70,8 @@ def synonym_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT a.s_suppkey AS a, b.s_suppkey AS b, CAST(levenshtein(a.s_name, b.s_name) AS BIGINT) AS distance, round(1 - levenshtein(a.s_name, b.s_name) / CAST(greatest(length(a.s_name), length(b.s_name)) AS DOUBLE), 6) AS similarity
 FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE 1 - levenshtein(a.s_name, b.s_name) / CAST(greatest(length(a.s_name), length(b.s_name)) AS DOUBLE) >= 0.8""")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar names within a nation; lengths rule pairs out before distances are computed."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name")
-    a, b = s.alias("a"), s.alias("b")
-    longest = F.greatest(F.length("a.s_name"), F.length("b.s_name"))
-    near = F.abs(F.length("a.s_name") - F.length("b.s_name")) <= 0.2 * longest
-    pairs = a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")) & near)
-    similarity = T.edit_similarity(F.col("a.s_name"), F.col("b.s_name"))
-    return pairs.where(similarity >= 0.8).select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), F.levenshtein("a.s_name", "b.s_name").cast("long").alias("distance"), F.round(similarity, 6).alias("similarity"))
+    """Similar names within a nation."""
+    return S.edit_similar_within(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("group"), F.col("s_name").alias("word")), 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH {CHUNKS_SQL} SELECT id, upper(substr(id, 1, 1)) || substr(id, 2) AS title, regexp_replace(file_path, '[^a-zA-Z0-9]', '_', 'g') AS node, chunk_type || '_' || id AS chunk_name,
