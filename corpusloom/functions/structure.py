@@ -9,11 +9,12 @@ from ..sources.stored import Rounds
 
 #: Kinds of values that have values inside.
 _NESTED = ("OBJECT", "ARRAY")
+#: Levels that are opened before values are written.
+LEVELS = 6
 
 
-def _kind(v: Column) -> Column:
-    """OBJECT, ARRAY, or the type of a plain value; NULL for JSON's null."""
-    name = F.schema_of_variant(v)
+def _kind(name: Column) -> Column:
+    """OBJECT, ARRAY, or the type of a plain value, of a variant's schema; NULL for JSON's null."""
     return F.when(name.startswith("OBJECT"), "OBJECT").when(name.startswith("ARRAY"), "ARRAY").when(name == "VOID", "NULL").when(name.isin("BIGINT", "DOUBLE") | name.startswith("DECIMAL"), "NUMBER").otherwise(name)
 
 
@@ -24,22 +25,27 @@ def json_leaves(df: DataFrame, key: str, text: str) -> DataFrame:
     word) and ``[i]`` for an element.  ``kind`` is STRING, NUMBER, BOOLEAN or
     NULL (its value is null); EMPTY for an object or array without values; and
     INVALID, at ``$``, for a text that is no JSON or names a field twice.  A null
-    text has no row.  Values are opened one level at a time, all texts at once,
-    until none has a value inside.
+    text has no row.  Values are opened ``LEVELS`` levels at a time, all texts at
+    once, until none has a value inside; a plain value goes through the levels
+    below it as it is, and kinds are told only once, of what the last one leaves.
     """
     rounds = Rounds(df.sparkSession)
     parsed = df.where(F.col(text).isNotNull()).select(key, F.lit("$").alias("path"), F.try_parse_json(text).alias("v"))
-    level = rounds.keep("level", parsed.withColumn("kind", F.coalesce(_kind(F.col("v")), F.lit("INVALID"))))
-    out, n = None, 0
+    level, out, n = parsed, None, 0
     while True:
-        nested = level.where(F.col("kind").isin(*_NESTED))
-        plain = level.where(~F.col("kind").isin(*_NESTED)).select(key, "path", "kind", F.when(F.col("kind") != "NULL", F.variant_get("v", "$", "string")).alias("value"))
-        opened = nested.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).select(F.col("pos"), F.col("key").alias("name"), F.col("value").alias("inner")))
-        step = F.when(F.col("name").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("name").rlike(r"^[A-Za-z_][A-Za-z0-9_]*$"), F.concat(F.lit("."), "name")).otherwise(F.concat(F.lit('."'), "name", F.lit('"')))
-        empty = opened.where("pos IS NULL").select(key, "path", F.lit("EMPTY").alias("kind"), F.lit(None).cast("string").alias("value"))
-        found = rounds.keep(f"found-{n}", plain.unionByName(empty))
-        out = found if out is None else out.unionByName(found)
-        level = rounds.keep("level", opened.where("pos IS NOT NULL").select(key, F.concat("path", step).alias("path"), F.col("inner").alias("v"), _kind(F.col("inner")).alias("kind")))
+        for _ in range(LEVELS):
+            inner = df.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).select("pos", F.col("key").alias("name"), F.col("value").alias("inner"))
+            step = F.when(F.col("name").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("name").rlike(r"^[A-Za-z_][A-Za-z0-9_]*$"), F.concat(F.lit("."), "name")).otherwise(F.concat(F.lit('."'), "name", F.lit('"')))
+            end = F.col("pos").isNull()
+            level = level.lateralJoin(inner).select(key, F.when(end, F.col("path")).otherwise(F.concat("path", step)).alias("path"), F.when(end, F.col("v")).otherwise(F.col("inner")).alias("v"), end.alias("ended"))
+        kind = F.coalesce(_kind(F.col("schema")), F.lit("INVALID"))
+        nested = F.col("kind").isin(*_NESTED)
+        told = level.withColumn("schema", F.schema_of_variant("v")).withColumn("kind", kind).withColumn("open", nested & ~F.col("ended"))
+        value = F.when(~nested & ~F.col("kind").isin("NULL", "INVALID"), F.variant_get("v", "$", "string"))
+        found = rounds.keep(f"found-{n}", told.select(key, "path", F.when(nested, "EMPTY").otherwise(F.col("kind")).alias("kind"), value.alias("value"), F.when(F.col("open"), F.col("v")).alias("v"), "open"))
+        part = found.where("NOT open").select(key, "path", "kind", "value")
+        out = part if out is None else out.unionByName(part)
+        level = found.where("open").select(key, "path", "v")
         n += 1
         if level.isEmpty():
             break

@@ -51,3 +51,17 @@ def test_marks(spark):
     ]
     df = spark.createDataFrame([(i, e, t) for i, (e, t, _) in enumerate(rows)], "i int, e string, t string")
     assert [r["s"] for r in df.select("i", S.structured(F.col("t"), F.col("e")).alias("s")).orderBy("i").collect()] == [w for *_, w in rows]
+
+
+def test_levels_are_opened_together(spark, monkeypatch):
+    """Texts of five levels are written once, as their plain values; one of ten levels goes on alone."""
+    kept = []
+    keep = S.Rounds.keep
+    monkeypatch.setattr(S.Rounds, "keep", lambda self, name, df: (out := keep(self, name, df), kept.append(out.count()))[0])
+    five = '{"items": [{"part": {"path": [1, 2]}, "none": [], "no": null}]}'
+    rows = [(i, five) for i in range(20)]
+    leaves_of = lambda r: sorted(tuple(x) for x in S.json_leaves(spark.createDataFrame(r, "id long, t string"), "id", "t").collect() if x[0] == r[-1][0])
+    want = [("$.items[0].no", "NULL", None), ("$.items[0].none", "EMPTY", None), ("$.items[0].part.path[0]", "NUMBER", "1"), ("$.items[0].part.path[1]", "NUMBER", "2")]
+    assert leaves_of(rows) == [(19, *w) for w in want] and kept == [80]
+    kept.clear()
+    assert leaves_of([*rows, (20, "[" * 10 + "{}" + "]" * 10)]) == [(20, "$" + "[0]" * 10, "EMPTY", None)] and kept == [81, 1]
