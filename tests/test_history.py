@@ -49,3 +49,26 @@ def test_status(spark):
     text = "M  staged.py\n M dirty.py\nMM both.py\n?? new file.py\nR  old.py -> new.py\n"
     got = sorted((r["path"], r["old_path"], r["state"]) for r in H.status_entries(spark.createDataFrame([("r", text), ("e", ""), ("n", None)], "repository string, value string")).collect())
     assert got == [("both.py", None, "staged"), ("both.py", None, "unstaged"), ("dirty.py", None, "unstaged"), ("new file.py", None, "untracked"), ("new.py", "old.py", "staged"), ("staged.py", None, "staged")]
+
+
+def test_partitions_grow_with_the_files(spark, tmp_path, monkeypatch):
+    """Shuffles have a partition for each part of the input files, never fewer than are set."""
+    from corpusloom.plans import changes
+    from corpusloom.sources import stored
+
+    d = [datetime(2024, 1, 1), datetime(2024, 1, 3)]
+    spark.createDataFrame([(i, i % 7, 10.0, d[i % 2]) for i in range(40)], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i % 40, i % 9, i // 40, 5.0, 0.1, 100.0, d[i % 2], i % 3) for i in range(120)], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_extendedprice double, l_shipdate timestamp, l_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for query in (changes.totals_at_commits, changes.last_changes_as_of):
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            plain = sorted(map(repr, query(spark, str(tmp_path)).collect()))
+            assert spark.conf.get("spark.sql.shuffle.partitions") == before
+            with monkeypatch.context() as m:
+                m.setattr(stored, "PART_BYTES", 100)
+                got = query(spark, str(tmp_path))
+                assert int(spark.conf.get("spark.sql.shuffle.partitions")) > 20
+                assert sorted(map(repr, got.collect())) == plain
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
