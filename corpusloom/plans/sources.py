@@ -15,7 +15,7 @@ from ..sources.tables import table
 from .registry import query
 
 #: Language of each kind of generated file.
-LANGUAGES = {"java": "java", "react": "tsx", "flask": "python", "streamlit": "python"}
+LANGUAGES = {"java": "java", "react": "tsx", "flask": "python", "streamlit": "python", "vue": "vue"}
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
